@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, shard, topk
-from .util import table
+from . import decontam, html, jaccard, langid, mixing, pii, shard, tokens, topk, toxicity
+from .util import fold, table
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +53,49 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_passages")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.read_vocabulary(VOCABULARY))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(*pii.spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op7_personal_data": op7_personal_data,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op9_decontaminate": op9_decontaminate,
     "op1_exact_topk": op1_exact_topk,
+    "op2_main_text": op2_main_text,
     "op3_shard": op3_shard,
+    "op4_toxicity": op4_toxicity,
     "op6_mix": op6_mix,
+    "op8_token_counts": op8_token_counts,
+    "op10_language": op10_language,
 }
 SQL = {"op1_exact_topk": OP1_SQL, "op6_mix": OP6_SQL}

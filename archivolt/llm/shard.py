@@ -119,7 +119,14 @@ def shard(
     crc = F.coalesce(F.crc32(text), F.lit(0)).cast("long")
     lone = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(2**32))
     used = [d for d in dims if d in sized.columns]
-    base = saved(sized.select(F.col(id_col).alias("doc_id"), "size", crc.alias("text_crc32"), F.array(*[code(sized, d) for d in used], crc, lone).alias("key")), "kd-base")
+    rows_in = saved(
+        sized.select(F.col(id_col).alias("doc_id"), "size", crc.alias("text_crc32"), F.xxhash64(text).alias("same"), F.array(*[code(sized, d) for d in used]).alias("dims"), lone.alias("lone")),
+        "kd-rows",
+    )
+    # Equal texts get one place: the least codes of the group. Partial sums take hot groups before the shuffle.
+    places = rows_in.groupBy("same").agg(*[F.min(F.col("dims")[i]).alias(f"d{i}") for i in range(len(used))])
+    key = F.array(*[F.col(f"d{i}") for i in range(len(used))], F.col("text_crc32"), F.col("lone"))
+    base = saved(rows_in.join(places, "same").select("doc_id", "size", "text_crc32", key.alias("key")), "kd-base")
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if shards is None:
         shards = max(1, -(-total // (target_bytes or 2**30)))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,17 @@ def input_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that further columns of any name cannot clash; missing ones are null."""
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of about `most` bytes of text; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        begin, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < len(sizes):
+            yield batch.slice(begin)

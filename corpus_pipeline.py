@@ -1,6 +1,64 @@
-STAGES = []
+"""The corpus pipeline: from documents to shards in five stages, each a job over all that the stage before kept.
+
+Each stage is written as Parquet to the shared folder and read again, so a lost executor never costs more than a stage.
+Every stage keeps rows with nulls in other columns and passes unknown columns through, but for the last, whose result is
+the assignment to shards.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from archivolt.llm import decontam, jaccard, langid, mixing, shard
+from archivolt.llm.util import saved, table
+
+SHARDS = 40
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without a letter, or no nearer to one language than chance, go."""
+    filters = langid.learn(docs)
+    found = langid.identify(docs, filters, keep=tuple(docs.columns))
+    chance = 1.0 / max(1, len(filters.langs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= chance * 0.999)).drop("lang_pred", "score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the least id."""
+    kept = jaccard.classes(docs, count_links=False).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mixing.emit(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every copy."""
+    return shard.shard(docs, shards=SHARDS)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("mixed", mixed),
+    ("sharded", sharded),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

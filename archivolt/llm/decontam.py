@@ -26,7 +26,8 @@ from .words import word_hashes
 
 ITEMS = 2000
 WINDOW, STRIDE = 32, 16
-RANK = 32
+RANK = 64
+FLOOR, KEPT = 4.5, 5
 
 
 class Space:
@@ -143,16 +144,22 @@ def _search(space, cosine: float, coverage: float, answers: float):
         for b in portions(batches, "text", 1_000_000):
             t, place, begin, end = s.terms(b["text"])
             row, first, last = _windows(begin, end, STRIDE)
-            total = np.concatenate([np.zeros((1, s.vectors.shape[1])), np.cumsum(s.vectors[t], axis=0)])
-            x = total[np.searchsorted(place, last)] - total[np.searchsorted(place, first)]
+            told = np.flatnonzero(s.idf[t] > 0)
+            total = np.concatenate([np.zeros((1, s.vectors.shape[1])), np.cumsum(s.vectors[t[told]], axis=0)])
+            x = total[np.searchsorted(place[told], last)] - total[np.searchsorted(place[told], first)]
             norm = np.linalg.norm(x, axis=1)
-            some = np.flatnonzero(norm > 1e-9)
             found: dict[tuple[int, int], tuple[float, int, float]] = {}
-            for lo in range(0, len(some), 8192):
-                part = some[lo : lo + 8192]
-                cos = (x[part] / norm[part, None]) @ s.latent.T
-                for i, k in zip(*np.nonzero(cos >= cosine), strict=True):
-                    w = part[i]
+            edge = np.concatenate([[True], row[1:] != row[:-1], [True]])
+            for lo in range(0, len(first), 8192):
+                hi = min(lo + 8192, len(first))
+                wide = slice(max(lo - 1, 0), hi + 1)
+                cos = (x[wide] / np.maximum(norm[wide], 1e-9)[:, None]) @ s.latent.T
+                cos = np.concatenate([np.full((1 - min(lo, 1), cos.shape[1]), -1.0), cos, np.full((int(hi == len(first)), cos.shape[1]), -1.0)])
+                mid = cos[1:-1]
+                # Neighbouring windows see the same words: the check looks beyond a window, so its local peaks will do.
+                peak = (mid >= cosine) & ((mid >= cos[:-2]) | edge[lo:hi, None]) & ((mid > cos[2:]) | edge[lo + 1 : hi + 1, None])
+                for i, k in zip(*np.nonzero(peak), strict=True):
+                    w = lo + i
                     item, words = s.items[k]
                     length, r = len(words), int(row[w])
                     a = max(int(begin[r]), int(first[w]) - length)
@@ -161,8 +168,8 @@ def _search(space, cosine: float, coverage: float, answers: float):
                     if len(s.rare[k].intersection(near)) < answers * len(s.rare[k]):
                         continue
                     lcs = common_subsequence(s.masks[k], length, near)
-                    if lcs >= coverage * length and (lcs, cos[i, k]) > found.get((r, item), (0, 0.0))[:2]:
-                        found[r, item] = (lcs, float(cos[i, k]), lcs / length)
+                    if lcs >= coverage * length and (lcs, mid[i, k]) > found.get((r, item), (0, 0.0))[:2]:
+                        found[r, item] = (lcs, float(mid[i, k]), lcs / length)
             ids = b["doc_id"].to_pylist()
             keys = [(ids[r], item, *v) for (r, item), v in sorted(found.items())]
             yield pa.record_batch([pa.array([k[c] for k in keys], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "lcs", "cosine", "coverage"])
@@ -176,7 +183,7 @@ def leaks(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    cosine: float = 0.45,
+    cosine: float = 0.55,
     coverage: float = 0.6,
     answers: float = 0.6,
     rank: int = RANK,
@@ -199,7 +206,9 @@ def leaks(
         df = source.mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
         counts = {r["term"]: r["n"] for r in df}
         space.idf = np.log((1 + counts.get(-1, 0) + len(space.items)) / (1 + np.array([counts.get(k, 0) for k in range(len(space.vocabulary))])))
-        space.idf = np.where(space.idf < 1.0, 0.0, space.idf)  # words of over a third of all passages tell nothing
+        # Words of over a hundredth of all passages hardly tell one item from another; each item keeps its rarest ones.
+        kept = [np.sort(space.idf[np.unique(w)])[-min(len(np.unique(w)), KEPT)] for _, w in space.items]
+        space.idf = np.where(space.idf < min(FLOOR, *kept), 0.0, space.idf)
         omega = np.random.default_rng(seed).standard_normal((len(space.vocabulary), rank + 8))
         weighted, noise = sc.broadcast(space), sc.broadcast(omega)
         sums = source.mapInArrow(_product(weighted, noise), "term long, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(rank + 8)]).alias("y")).collect()  # a row a term

@@ -2,9 +2,8 @@
 
 Texts are sets of word shingles. In each of RUNS runs a set chooses about 1 / similarity of its shingles by a hash that
 all sets share, so similar sets choose alike; each chosen shingle is a bucket. Buckets of at most `limit` sets are compared
-by brute force; larger ones split again on further shared shingles (a path), and so on. Sets whose shingles are nearly
-all in large buckets (groups of near copies) are compared where they stand, in blocks, and count as one from then on, so
-large groups do not multiply. RUNS follows from the target recall. Every link is checked on the whole sets, and the links
+by brute force; larger ones split again on further shared shingles (a path), and so on. Sets whose choices are mostly in
+large buckets (groups of near copies) are compared where they stand, in blocks, and not again. The number of runs follows from the target recall. Every link is checked on the whole sets, and the links
 within a class are counted over all its pairs, in blocks.
 
 Texts with the same set are one class member with a number of copies, so copies are never paired with each other.
@@ -29,6 +28,7 @@ from .words import mix, shingles
 
 BLOCK = 512
 DEPTH = 6
+TOPS = 3
 
 
 def runs_for(recall: float, similarity: float, choices: float) -> int:
@@ -58,7 +58,12 @@ def _choose(width: int, runs: int, choices: float):
             order = np.argsort(rows_all, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(rows_all, minlength=len(n)))]).astype(np.int32)
             pool = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys_all[order].view(np.int64)))
-            yield pa.record_batch([b["doc_id"], pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pool], names=["doc_id", "k1", "k2", "n", "pool"])
+            # One bit for each of 64 ranges of hashes: the last bit of the least hash in it (x is sorted within rows).
+            span = (x >> np.uint64(58)).astype(np.int64)
+            least = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (row[1:] != row[:-1])])) if len(x) else np.zeros(0, np.int64)
+            sig = np.zeros(len(n), np.uint64)
+            np.bitwise_or.at(sig, row[least], (x[least] & np.uint64(1)) << span[least].astype(np.uint64))
+            yield pa.record_batch([b["doc_id"], pa.array(sig.view(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pool], names=["doc_id", "sig", "k1", "k2", "n", "pool"])
 
     return run
 
@@ -161,17 +166,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks(rows: DataFrame, key: str, size: str, all_pairs: bool) -> DataFrame:
-    """Deals the rows of each key into blocks of about BLOCK rows and repeats them for each pair of blocks to compare.
-
-    all_pairs: each block with each; else each block with itself and with the next one only.
-    """
+def blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Deals the rows of each key into blocks of about BLOCK rows and repeats them for each pair of blocks to compare."""
     nb = F.greatest(F.ceil(F.col(size) / BLOCK), F.lit(1)).cast("int")
     mine = rows.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    if all_pairs:
-        partners = F.expr("transform(sequence(0, nb - 1), o -> IF(o < blk, named_struct('x', o, 'y', blk, 'side', 1), named_struct('x', blk, 'y', o, 'side', 0)))")
-    else:
-        partners = F.expr("IF(nb = 1, array(named_struct('x', blk, 'y', blk, 'side', 0)), array(named_struct('x', blk, 'y', blk, 'side', 0), named_struct('x', blk, 'y', pmod(blk + 1, nb), 'side', 0), named_struct('x', pmod(blk - 1 + nb, nb), 'y', blk, 'side', 1)))")
+    partners = F.expr("transform(sequence(0, nb - 1), o -> IF(o < blk, named_struct('x', o, 'y', blk, 'side', 1), named_struct('x', blk, 'y', o, 'side', 0)))")
     return mine.withColumn("p", F.explode(partners)).select(F.col(key).alias("key"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.side").alias("side"), "rep", *[c for c in rows.columns if c not in (key, size, "rep")])
 
 
@@ -182,71 +181,67 @@ def classes(
     text_col: str = "text",
     similarity: float = 0.8,
     width: int = 5,
-    recall: float = 0.9999999,
-    limit: int = 48,
+    recall: float = 0.999999,
+    limit: int = 24,
     count_links: bool = True,
 ) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other documents at that similarity), n_shingles."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     choices = 1 / similarity
     runs = runs_for(recall, similarity, choices)
-    base = saved(source.mapInArrow(_choose(width, runs, choices), "doc_id long, k1 long, k2 long, n int, pool array<long>"), "cp-base")
+    base = saved(source.mapInArrow(_choose(width, runs, choices), "doc_id long, sig long, k1 long, k2 long, n int, pool array<long>"), "cp-base")
     groups = base.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     members = saved(base.select("doc_id", "n", "k1", "k2").join(groups, ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "cp-members")
-    reps = saved(base.where("n > 0").join(members.where("doc_id = rep AND n > 0").select("doc_id", "copies").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "copies", "n", "pool").dropDuplicates(["rep"]), "cp-reps")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        text = source.withColumnRenamed("doc_id", "rep").join(wanted.select("rep").distinct(), "rep")
-        return text.mapInArrow(_sets(width), "rep long, set array<int>").dropDuplicates(["rep"])
+    reps = saved(base.where("n > 0").join(members.where("doc_id = rep AND n > 0").select("doc_id", "copies").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "copies", "n", "sig", "pool").dropDuplicates(["rep"]), "cp-reps")
 
     def counted(nodes: DataFrame) -> DataFrame:
-        """Nodes of buckets that hold sets of more than one class so far, with the bucket's size."""
-        size = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return nodes.join(size.select("key", "m"), "key")
+        """Nodes of buckets that hold more than one set, with the bucket's size."""
+        size = nodes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        return nodes.join(size, "key")
 
-    nodes = reps.select("rep", F.col("rep").alias("comp"), F.explode("pool").alias("key"))
+    nodes = reps.select("rep", "n", "sig", F.explode("pool").alias("key"))
     live = saved(counted(nodes), "cp-live")
 
-    # Sets that stand in large buckets with most of their choices: compare where they stand, in blocks.
-    dense = live.where(F.col("m") > limit).groupBy("rep").agg(F.count("*").alias("hot"), F.max(F.struct("m", "key"))["key"].alias("big"))
-    dense = saved(dense.join(reps.select("rep", F.size("pool").alias("all")), "rep").where("hot >= 0.5 * all").select("rep", "big"), "cp-dense")
-    edges: list[DataFrame] = []
-    comps = None
-    if dense.limit(1).count():
-        sizes = dense.groupBy("big").agg(F.count("*").alias("many"))
-        dealt = blocks(dense.join(sizes, "big").join(sets_of(dense), "rep"), "big", "many", False)
-        edges.append(saved(dealt.groupBy("key", "x", "y").applyInArrow(_forest(similarity), "a long, b long"), "cp-edges"))
-        comps = components(edges[0])
-        relabel = live.drop("m").join(comps, live["rep"] == comps["node"], "left").select("rep", F.coalesce(F.col("node") * 0 + comps["comp"], live["comp"]).alias("comp"), "key")
-        live = saved(counted(relabel), "cp-live")
-
+    # Sets that stand in large buckets with most of their choices: brute force where they stand, in blocks, in each of
+    # their TOPS largest buckets. Pairs that share one of those are done with.
+    hot = live.where(F.col("m") > limit).groupBy("rep").agg(F.count("*").alias("hot"), F.expr(f"transform(slice(sort_array(collect_list(struct(m, key)), false), 1, {TOPS}), x -> x.key)").alias("tops"))
+    dense = saved(hot.join(reps.select("rep", F.size("pool").alias("all")), "rep").where("hot >= 0.5 * all").select("rep", "tops"), "cp-dense")
+    live = live.join(dense, "rep", "left")
     leaves, big = [live.where(F.col("m") <= limit)], live.where(F.col("m") > limit)
     for depth in range(1, DEPTH + 1):
         if not big.limit(1).count():
             break
-        pool = reps.select("rep", "pool")
         # About 1.5 choices a set: enough that paths of similar sets live on, and those of sets that share little die out.
         chosen = F.expr("filter(pool, t -> t <> key AND pmod(xxhash64(key, t), 1000000) < 1500000 / size(pool))")
-        paths = big.join(pool, "rep").select("rep", "comp", "key", F.explode(chosen).alias("t")).select("rep", "comp", F.xxhash64("key", "t").alias("key"))
+        paths = big.drop("m").join(reps.select("rep", "pool"), "rep").withColumn("t", F.explode(chosen)).select("rep", "n", "sig", "tops", F.xxhash64("key", "t").alias("key"))
         live = saved(counted(paths), "cp-live")
         last = depth == DEPTH
         leaves.append(live if last else live.where(F.col("m") <= limit))
         big = live.where(F.col("m") > limit)
         if last:
             break
-    leaf = reduce(DataFrame.unionByName, leaves).select("key", "rep", "comp")
-    x, y = leaf.alias("x"), leaf.alias("y")
-    met = x.join(y, F.expr("x.key = y.key AND x.rep < y.rep AND x.comp <> y.comp")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    small = reps.select("rep", "n", "pool")
-    pa_, pb_ = (small.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("pool").alias(f"pool{c}")) for c in "ab")
-    # The chosen shingles that two sets share tell unlike pairs apart; similar ones share four fifths of them.
-    close = F.expr(f"least(na, nb) >= {similarity} * greatest(na, nb) AND size(array_intersect(poola, poolb)) >= 0.25 * least(size(poola), size(poolb))")
-    pairs = saved(met.join(pa_, "a").join(pb_, "b").where(close).select("a", "b"), "cp-pairs")
+    leaf = reduce(DataFrame.unionByName, leaves).select("key", "rep", "n", "sig", "tops")
+    # The sketch tells unlike sets apart: its bits differ with probability (1 - similarity) / 2 at most.
+    differ = 64 * (1 - similarity) / 2
+    most = math.ceil(differ + 5.7 * math.sqrt(differ))
+    close = f"least(x.n, y.n) >= {similarity}D * greatest(x.n, y.n) AND bit_count(x.sig ^ y.sig) <= {most} AND NOT coalesce(arrays_overlap(x.tops, y.tops), false)"
+    met = leaf.alias("x").join(leaf.alias("y"), F.expr(f"x.key = y.key AND x.rep < y.rep AND {close}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = saved(met.distinct(), "cp-pairs")
+
+    # Whole sets, once for all that any comparison needs.
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense.select("rep")).distinct()
+    text = source.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    sets = saved(text.mapInArrow(_sets(width), "rep long, set array<int>").dropDuplicates(["rep"]), "cp-sets")
+    edges: list[DataFrame] = []
+    if dense.limit(1).count():
+        stands = dense.select("rep", F.explode("tops").alias("key0"))
+        sizes = stands.groupBy("key0").agg(F.count("*").alias("many")).where("many > 1")
+        dealt = blocks(stands.join(sizes, "key0").join(sets, "rep"), "key0", "many")
+        edges.append(saved(dealt.groupBy("key", "x", "y").applyInArrow(_forest(similarity), "a long, b long").distinct(), "cp-edges"))
     if pairs.limit(1).count():
-        sets = saved(sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))), "cp-sets")
         sa, sb = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
         common = F.expr("size(array_intersect(seta, setb))")
-        exact = pairs.join(sa, "a").join(sb, "b").withColumn("i", common).where(F.expr(f"i > 0 AND i >= {similarity} * (size(seta) + size(setb) - i) - 1e-6"))
+        exact = pairs.join(sa, "a").join(sb, "b").withColumn("i", common).where(F.expr(f"i > 0 AND i >= {similarity}D * (size(seta) + size(setb) - i) - 1e-6"))
         edges.append(saved(exact.select("a", "b"), "cp-edges"))
     if not edges:
         return members.select("doc_id", F.col("rep").alias("class_id"), (F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
@@ -254,8 +249,8 @@ def classes(
     labelled = comps.withColumnRenamed("node", "rep")
     if count_links:
         sizes = labelled.groupBy("comp").agg(F.count("*").alias("many"))
-        within = labelled.join(sizes, "comp").join(reps.select("rep", "copies"), "rep").join(sets_of(labelled), "rep")
-        links = blocks(within, "comp", "many", True).groupBy("key", "x", "y").applyInArrow(_links(similarity), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+        within = labelled.join(sizes, "comp").join(reps.select("rep", "copies"), "rep").join(sets, "rep")
+        links = blocks(within, "comp", "many").groupBy("key", "x", "y").applyInArrow(_links(similarity), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
         labelled = labelled.join(links, "rep", "left")
     else:
         labelled = labelled.withColumn("links", F.lit(0).cast("long"))

@@ -230,7 +230,7 @@ def classes(
 
     # Whole sets, once for all that any comparison needs.
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense.select("rep")).distinct()
-    text = source.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    text = source.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep", "left_semi")  # wanted grows with the input: never broadcast
     sets = saved(text.mapInArrow(_sets(width), "rep long, set array<int>").dropDuplicates(["rep"]), "cp-sets")
     edges: list[DataFrame] = []
     if dense.limit(1).count():

@@ -68,7 +68,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tole
     one task and a hot key is split by time. The tolerance must not exceed the bucket.
     """
     bucket = max(tolerance_s, 3600)
-    sec = lambda c: F.unix_micros(c) / 1e6
+    sec = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     b = F.floor(sec(F.col(ts)) / bucket)
     probe = left.withColumn("_b", b).withColumn("_t", F.col(ts)).withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_s", F.lit(1))
     base = right.select(key, F.explode(F.array(b, b + 1)).alias("_b"), F.col(ts).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_s"))

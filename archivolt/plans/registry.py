@@ -261,7 +261,7 @@ def e3(spark, d):
     return R.gold_metrics(search(spark, d), gold)
 
 
-@query("e7_confusion", """WITH p AS (SELECT source, quality AS predicted, 1 - toxic AS actual FROM documents JOIN labels USING (doc_id)), c AS (SELECT source, count_if(predicted = 1 AND actual = 1) AS tp, count_if(predicted = 1 AND actual <> 1) AS fp, count_if(predicted <> 1 AND actual = 1) AS fn, count_if(predicted <> 1 AND actual <> 1) AS tn FROM p GROUP BY source),
+@query("e7_confusion", """WITH p AS (SELECT source, quality AS predicted, 1 - toxic AS actual FROM documents JOIN labels USING (doc_id)), c AS (SELECT source, count_if(predicted = 1 AND actual = 1)::BIGINT AS tp, count_if(predicted = 1 AND actual <> 1)::BIGINT AS fp, count_if(predicted <> 1 AND actual = 1)::BIGINT AS fn, count_if(predicted <> 1 AND actual <> 1)::BIGINT AS tn FROM p GROUP BY source),
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re FROM c)
 SELECT source, tp, fp, fn, tn, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM m""")
 def e7(spark, d):
@@ -364,10 +364,10 @@ def k19(spark, d):
     return S.table(spark, d, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("entities"), F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
 
 
-@query("k20_neighbours", """WITH s AS (SELECT c_nationkey AS qid, c_custkey AS id FROM customer WHERE c_custkey <= 30), r AS (SELECT o_orderkey AS ord, o_orderkey AS rid, o_custkey AS source, -o_orderkey AS target FROM orders),
+@query("k20_neighbours", """WITH s AS (SELECT c_nationkey AS qid, c_custkey AS id FROM customer WHERE c_custkey <= 30), r AS (SELECT o_orderkey AS ord, o_orderkey AS rid, o_custkey AS source, -o_orderkey - 1 AS target FROM orders),
 h AS (SELECT DISTINCT qid, ord, rid, target AS other FROM r JOIN s ON r.source = s.id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord, other)::INTEGER AS place FROM h) SELECT * FROM k WHERE place <= 5""")
 def k20(spark, d):
-    r = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("source"), (-F.col("o_orderkey")).alias("target"))
+    r = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("source"), (-F.col("o_orderkey") - 1).alias("target"))
     return K.neighbours(S.table(spark, d, "customer").where("c_custkey <= 30").select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("id")), r, 5)
 
 
@@ -410,9 +410,9 @@ def g4(spark, d):
     return G.nearest(points(spark, d), F.broadcast(sites(spark, d)), 3)
 
 
-@query("g6_distinct_sites", f"WITH p AS (SELECT s_suppkey AS point, {POINT} FROM supplier) SELECT min(point) AS point, round_even(plat / 10, 0) AS la, round_even(plng / 10, 0) AS lo FROM p GROUP BY 2, 3")
+@query("g6_distinct_sites", f"WITH p AS (SELECT s_suppkey AS point, {POINT} FROM supplier) SELECT min(point) AS point, round_even(plat / 10, 0) + 0.0::DOUBLE AS la, round_even(plng / 10, 0) + 0.0::DOUBLE AS lo FROM p GROUP BY 2, 3")
 def g6(spark, d):
-    return points(spark, d).groupBy(F.bround(F.col("plat") / 10, 0).alias("la"), F.bround(F.col("plng") / 10, 0).alias("lo")).agg(F.min("point").alias("point"))
+    return points(spark, d).groupBy((F.bround(F.col("plat") / 10, 0) + F.lit(0.0)).alias("la"), (F.bround(F.col("plng") / 10, 0) + F.lit(0.0)).alias("lo")).agg(F.min("point").alias("point"))
 
 
 @query("g10_price_quote", "WITH q AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 98 WHEN 'O' THEN 128 ELSE 110 END AS fee, least(greatest(o_custkey % 260, 1), 200)::INTEGER AS size, least(greatest(o_orderkey % 10, 1), 7)::INTEGER AS days FROM orders) SELECT o_orderkey, (fee * days)::INTEGER AS per_head, (fee * days * size)::INTEGER AS total, ceil(size / 20.0)::BIGINT AS guides FROM q")

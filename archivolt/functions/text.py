@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Python's str.isspace has it, in a form that Java and RE2 both read; Han characters.
@@ -79,3 +79,18 @@ def token_set(c: Column) -> Column:
 def entity_id(kind: Column, name: Column) -> Column:
     """The kind's first letter and eight hexadecimal digits of a digest of kind and name."""
     return F.concat(F.upper(F.substring(kind, 1, 1)), F.lit("_"), F.upper(F.substring(F.sha1(F.concat_ws(":", kind, name)), 1, 8)))
+
+
+def fact_check(rows: DataFrame, column: str) -> DataFrame:
+    """worst, confidence and verified from a JSON answer {"claims": [{"status", "severity"}]}.
+
+    Unsupported and contradicted claims are issues; contradicted ones are high, unknown severities medium. Unreadable JSON
+    has no issues.
+    """
+    c = F.from_json(F.col(column), "struct<claims: array<struct<status: string, severity: string>>>")["claims"]
+    bad = F.filter(c, lambda x: x["status"].isin("unsupported", "contradicted"))
+    level = F.transform(bad, lambda x: F.when(x["status"] == "contradicted", 3).when(x["severity"] == "high", 3).when(x["severity"] == "low", 1).otherwise(2))
+    r = rows.withColumn("_l", F.array_max(level))
+    worst = F.when(F.col("_l") == 3, "high").when(F.col("_l") == 2, "medium").when(F.col("_l") == 1, "low")
+    sure = F.when(F.col("_l") == 3, 0.35).when(F.col("_l") == 2, 0.6).when(F.col("_l") == 1, 0.8).otherwise(0.9)
+    return r.withColumn("worst", worst).withColumn("confidence", sure).withColumn("verified", F.coalesce(F.col("_l") < 3, F.lit(True))).drop("_l")

@@ -100,3 +100,21 @@ def section_of(chunks: DataFrame, toc: DataFrame) -> DataFrame:
     ranges = toc.withColumn("stop", next_page(toc)).where(F.col("page").isNotNull())
     hit = chunks.alias("c").join(ranges.alias("t"), F.expr("c.book = t.book AND c.page >= t.page AND c.page < t.stop"), "left")
     return hit.groupBy("c.book", "c.chunk_id", "c.page").agg(F.min_by("t.item", "t.ord").alias("section"))
+
+
+def books(pages: DataFrame, letter: str = X.HAN) -> DataFrame:
+    """book, text: the cleaned pages that are not blank in page order, each behind its mark. pages: book, page, ord, text."""
+    p = pages.withColumn("text", X.clean_ocr_text(F.col("text"), letter)).where("text <> ''")
+    p = p.withColumn("text", F.concat(F.lit("[PAGE:"), F.col("page").cast("string"), F.lit("]\n"), F.col("text")))
+    parts = F.array_sort(F.collect_list(F.struct("page", "ord", "text")))
+    return p.groupBy("book").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def anchored(chunks: DataFrame, segments: DataFrame) -> DataFrame:
+    """chunks (book, chunk_id, offset, section) with the section of the first segment that holds the offset, else their own.
+
+    segments: book, ord, start, stop (exclusive), title.
+    """
+    hit = chunks.alias("c").join(segments.alias("s"), F.expr("c.book = s.book AND c.offset >= s.start AND c.offset < s.stop"), "left")
+    got = hit.groupBy("c.book", "c.chunk_id", "c.section").agg(F.min_by("s.title", "s.ord").alias("exact"))
+    return got.select("book", "chunk_id", F.coalesce("exact", "section").alias("section"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("section").isNotNull(), "approx").alias("how"))

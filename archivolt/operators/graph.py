@@ -104,3 +104,67 @@ def coerced_type(c: Column, allowed: tuple[str, ...], rules: tuple[tuple[str, st
     for part, kind in rules:
         out = out.when(F.contains(c, F.lit(part)), F.lit(kind))
     return out.otherwise("other")
+
+
+def without_junk(mentions: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """Mentions whose stripped name has two characters or more and is not in the stop list."""
+    name = X.strip(F.col("name"))
+    return mentions.where((F.length(name) >= 2) & ~name.isin(*stop))
+
+
+def with_verdicts(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """ord, name, verdict, canonical, confidence: a name without verdict is suspicious (0.5); verdicts: one row a name."""
+    v = verdicts.select(F.col("name").alias("_n"), "verdict", "canonical", "confidence")
+    j = entities.join(v, entities["name"] == v["_n"], "left")
+    sure = F.when(F.col("verdict").isNull(), 0.5).otherwise(F.coalesce("confidence", F.lit(0.6)))
+    return j.select("ord", "name", F.coalesce("verdict", F.lit("suspicious")).alias("verdict"), F.coalesce("canonical", "name").alias("canonical"), sure.alias("confidence"))
+
+
+def renamed_ends(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Both ends renamed through the normal name to the canonical one (the last of a name wins); others stay."""
+    names = entities.groupBy(X.normalize_name(F.col("name")).alias("key")).agg(F.max_by("canonical", "ord").alias("canonical"))
+    out = relations
+    for end in ("source", "target"):
+        n = names.select(F.col("key").alias("_k"), F.col("canonical").alias("_c"))
+        out = out.join(n, X.normalize_name(out[end]) == n["_k"], "left").withColumn(end, F.coalesce("_c", end)).drop("_k", "_c")
+    return out
+
+
+def merged_relations(new: DataFrame, names: DataFrame, rules: DataFrame, base: DataFrame) -> DataFrame:
+    """Resolved, rule-checked new relations that the base lacks; the first of each (source, target, relation).
+
+    names: name, id, type, one row a name. rules: relation, stype, ttype (nulls allow any); relations without a rule go.
+    A relation that fits only the other way round is turned.
+    """
+    side = lambda p: names.select(F.col("name").alias(p), F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"))
+    j = new.join(side("source"), "source").join(side("target"), "target").join(rules, "relation")
+    fits = lambda a, b: F.coalesce(F.col("stype") == F.col(f"{a}_type"), F.col("stype").isNull()) & F.coalesce(F.col("ttype") == F.col(f"{b}_type"), F.col("ttype").isNull())
+    j = j.withColumn("ahead", fits("source", "target")).where(F.col("ahead") | fits("target", "source"))
+    ends = j.select("ord", "relation", "label", F.when(F.col("ahead"), F.col("source_id")).otherwise(F.col("target_id")).alias("source"), F.when(F.col("ahead"), F.col("target_id")).otherwise(F.col("source_id")).alias("target"))
+    first = ends.groupBy("source", "target", "relation").agg(F.min_by("label", "ord").alias("label"))
+    fresh = first.join(base, ["source", "target", "relation"], "left_anti")
+    digest = F.upper(F.substring(F.sha1(F.concat_ws(":", "source", "relation", "target")), 1, 8))
+    return fresh.select(F.concat(F.lit("X_"), digest).alias("id"), "source", "target", "relation", F.coalesce("label", "relation").alias("label"))
+
+
+def merged_duplicates(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, keep_id, n, aliases, properties) of each normal name, and the map id → keep_id.
+
+    entities: ord, id, name, aliases, properties. Of each property the first value by ord stays. Groups shuffle as sets
+    of distinct aliases and one value a property, so copies do not pile up.
+    """
+    e = entities.withColumn("key", X.normalize(F.lower("name"))).where("key <> ''")
+    kept = e.groupBy("key").agg(F.min_by("id", F.struct(F.col("id").rlike(HASH_ID), F.col("ord"))).alias("keep_id"), F.count("*").alias("n"))
+    alias = e.select("key", F.explode("aliases").alias("a")).groupBy("key").agg(F.sort_array(F.collect_set("a")).alias("aliases"))
+    prop = e.select("key", "ord", F.explode("properties").alias("k", "v")).groupBy("key", "k").agg(F.min_by("v", "ord").alias("v"))
+    prop = prop.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("properties"))
+    return kept.join(alias, "key", "left").join(prop, "key", "left"), e.join(kept, "key").select("id", "keep_id")
+
+
+def redirected(relations: DataFrame, ids: DataFrame) -> DataFrame:
+    """Relations with both ends redirected by a map id → keep_id; equal relations are not joined up."""
+    out = relations
+    for end in ("source", "target"):
+        m = ids.select(F.col("id").alias("_i"), F.col("keep_id").alias("_k"))
+        out = out.join(m, out[end] == m["_i"], "left").withColumn(end, F.coalesce("_k", end)).drop("_i", "_k")
+    return out

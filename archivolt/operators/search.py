@@ -97,3 +97,70 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).alias("bin")
     m = rows.where(F.col("confidence").isNotNull()).groupBy(b).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.avg("label").alias("a"))
     return m.select("bin", "n", F.round("c", 6).alias("mean_confidence"), F.round("a", 6).alias("accuracy"), F.round(F.abs(F.col("c") - F.col("a")), 6).alias("gap"))
+
+
+def reranked(fused: DataFrame, scores: DataFrame, topn: int, k: int) -> DataFrame:
+    """qid, unit, rank, score: the head of max(topn, k) by external score (stable, sigmoid), then the tail as it was.
+
+    Lists of k rows or fewer stay as they are. A head row without an external score counts as the lowest.
+    """
+    head = max(topn, k)
+    long = fused.groupBy("qid").agg((F.count("*") > k).alias("long"))
+    j = fused.join(long, "qid").join(scores.select("qid", "unit", "outer"), ["qid", "unit"], "left")
+    moved = F.col("long") & (F.col("rank") <= head)
+    w = Window.partitionBy("qid").orderBy(F.when(moved, 0).otherwise(1), F.when(moved, F.col("outer")).desc_nulls_last(), "rank")
+    score = F.when(moved & F.col("outer").isNotNull(), 1 / (1 + F.exp(-F.col("outer")))).otherwise(F.col("score"))
+    return j.select("qid", "unit", F.row_number().over(w).alias("rank"), F.round(score, 6).alias("score"))
+
+
+def place_candidates(scored: DataFrame, wanted: DataFrame, postings: DataFrame, least: int = 20) -> DataFrame:
+    """Scored candidates (qid, unit, …) of queries with a place (qid, place): those of the place if it has `least` units,
+    else all. Two branches, so that both joins are equi-joins."""
+    size = postings.groupBy("place").agg(F.count("*").alias("many"))
+    w = wanted.join(size, "place", "left").withColumn("filtered", F.coalesce(F.col("many") >= least, F.lit(False)))
+    narrow = scored.join(w.where("filtered").select("qid", "place"), "qid").join(postings, ["place", "unit"], "left_semi").drop("place")
+    return narrow.unionByName(scored.join(w.where("NOT filtered").select("qid"), "qid", "left_semi"))
+
+
+def weak_metrics(rankings: DataFrame, questions: DataFrame, units: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """hit@k, recall@k and MRR with weak labels: a unit is relevant if it holds the question's anchor or a keyword.
+
+    questions: qid, anchor, keywords. recall@k divides by min(min(max(gold, 1), 20), k).
+    """
+    holds = lambda t: F.contains(t, F.col("anchor")) | F.exists("keywords", lambda w: F.contains(t, w))
+    gold = questions.join(units, holds(F.col("text"))).groupBy("qid").agg(F.count("*").alias("gold"))
+    hit = rankings.join(units, "unit").join(questions, "qid").where(holds(F.col("text"))).groupBy("qid")
+    hit = hit.agg(F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"rel_{k}") for k in ks])
+    q = questions.select("qid").join(gold, "qid", "left").join(hit, "qid", "left")
+    top = lambda k: F.least(F.least(F.greatest(F.coalesce("gold", F.lit(0)), F.lit(1)), F.lit(20)), F.lit(k))
+    out = [F.round(F.avg((F.coalesce(f"rel_{k}", F.lit(0)) > 0).cast("int")), 4).alias(f"hit_{k}") for k in ks]
+    out += [F.round(F.avg(F.coalesce(f"rel_{k}", F.lit(0)) / top(k)), 4).alias(f"recall_{k}") for k in ks]
+    return q.agg(F.count("*").alias("questions"), *out, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "method") -> DataFrame:
+    """New rows in place of the old rows of the same key; other rows stay."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def labelled(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """qid, unit, by_anchor for each unit that holds a question's anchor or a keyword of it."""
+    a = F.contains("text", F.col("anchor"))
+    return questions.join(units, a | F.exists("keywords", lambda w: F.contains("text", w))).select("qid", "unit", a.alias("by_anchor"))
+
+
+def gold(questions: DataFrame, units: DataFrame, most: int = 20) -> DataFrame:
+    """qid, by_anchor (how many units hold the anchor), by_keyword (the first `most` units of anchor or keywords)."""
+    r = labelled(questions, units).withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("unit")))
+    return r.groupBy("qid").agg(F.count_if("by_anchor").alias("by_anchor"), F.sort_array(F.collect_list(F.when(F.col("i") <= most, F.col("unit")))).alias("by_keyword"))
+
+
+def hybrid(legs: DataFrame, names: tuple[str, ...], top: int = 5) -> DataFrame:
+    """Fusion of the legs that found anything for a query; a leg alone scores by its length less the rank. Adds the mode."""
+    m = legs.groupBy("qid").agg(F.sort_array(F.collect_set("leg")).alias("has"), F.count("*").alias("n"))
+    f = legs.join(m, "qid").groupBy("qid", "unit", "has", "n").agg(F.round(F.sum(F.col("weight") / (60 + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("leg", "rank")).alias("first"))
+    score = F.when(F.size("has") == 1, (F.col("n") - F.col("first.rank")).cast("double")).otherwise(F.col("rrf"))
+    mode = F.array_join(F.transform("has", lambda i: F.get(F.array(*[F.lit(x) for x in names]), i)), "+")
+    r = f.select("qid", "unit", score.alias("score"), mode.alias("mode"), "first")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first", "unit"))
+    return r.withColumn("rank", rank).where(F.col("rank") <= top).drop("first")

@@ -121,3 +121,59 @@ def profile(visits: DataFrame, top: int = 3) -> DataFrame:
     r = by.withColumn("place", place)
     pref = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= top, F.struct("place", "site")))), lambda x: x["site"]), ",")
     return r.groupBy("user_id").agg(F.sum("n").alias("visits"), F.max_by("site", "at").alias("last_site"), pref.alias("preferred"))
+
+
+def match_coordinates(points: DataFrame, sites: DataFrame, within: float) -> DataFrame:
+    """point, site: the first site, by order, within that many degrees on both axes. Cells make it an equi-join."""
+    cell = lambda c: F.floor(c / within)
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    p = points.withColumn("o", F.explode(near)).withColumn("ci", cell(F.col("plat")) + F.col("o.i")).withColumn("cj", cell(F.col("plng")) + F.col("o.j"))
+    s = sites.withColumn("ci", cell(F.col("lat"))).withColumn("cj", cell(F.col("lng")))
+    hit = p.join(s, ["ci", "cj"]).where((F.abs(F.col("plat") - F.col("lat")) <= within) & (F.abs(F.col("plng") - F.col("lng")) <= within))
+    return hit.groupBy("point").agg(F.min_by("site", "ord").alias("site"))
+
+
+def low_effort(sites: DataFrame) -> DataFrame:
+    """request, site, place: of each request's sites the max(2, min(count, 2 * days)) with least energy (null: 2), then date."""
+    w = Window.partitionBy("request")
+    place = F.row_number().over(w.orderBy(F.coalesce("energy", F.lit(2)), "date", "site"))
+    r = sites.withColumn("place", place).withColumn("many", F.count("*").over(w))
+    return r.where(F.col("place") <= F.greatest(F.lit(2), F.least(F.col("many"), 2 * F.col("days")))).select("request", "site", "place")
+
+
+def itinerary_days(stops: DataFrame) -> DataFrame:
+    """request, day, stops, km, energy, level, lodging. stops: request, ord (a total order), day, lat, lng, energy, lodging.
+
+    The leg to a stop counts on its day of arrival; the lodging is that of the day's last stop.
+    """
+    w = Window.partitionBy("request").orderBy("ord")
+    leg = F.round(haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), 1)
+    d = stops.withColumn("leg", F.coalesce(leg, F.lit(0.0))).groupBy("request", "day")
+    d = d.agg(F.count("*").alias("stops"), F.round(F.sum("leg"), 1).alias("km"), F.sum("energy").alias("energy"), F.max_by("lodging", "ord").alias("lodging"))
+    return d.withColumn("level", F.when(F.col("energy") <= 3, "easy").when(F.col("energy") <= 6, "medium").otherwise("hard"))
+
+
+def expected_load(bases: DataFrame, weights: DataFrame) -> DataFrame:
+    """site, hour, expected: half-even base × weight for each hour of the day (24 rows at most)."""
+    return bases.join(F.broadcast(weights), F.col("hour") >= 0).select("site", "hour", F.bround(F.col("base") * F.col("weight"), 0).cast("long").alias("expected"))
+
+
+def load_snapshot(expected: DataFrame, capacity: DataFrame, hours: tuple[int, ...], factor: float) -> DataFrame:
+    """site, visitors, ratio, level for a slot of hours under the weather and day factor; no capacity gives ratio 0."""
+    m = expected.where(F.col("hour").isin(*hours)).groupBy("site").agg(F.bround(F.avg("expected"), 0).alias("mean"))
+    n = m.join(capacity, "site", "left").withColumn("visitors", F.bround(F.col("mean") * factor, 0).cast("long"))
+    ratio = F.when(F.col("capacity") > 0, F.col("visitors") / F.col("capacity")).otherwise(0.0)
+    return n.select("site", "visitors", F.round(ratio, 3).alias("ratio"), level(ratio).alias("level"))
+
+
+def recall(questions: DataFrame, memories: DataFrame, top: int = 2, least: float = 0.03) -> DataFrame:
+    """conv_id, ord, score: the `top` memories of a question's conversation by Jaccard of tokens, then those of `least`.
+
+    One question a conversation, so the join gives one row a memory. (conv_id, ord, tokens) on either side.
+    """
+    q = questions.select("conv_id", F.col("tokens").alias("asked"))
+    j = memories.join(q, "conv_id")
+    both, all_ = F.size(F.array_intersect("tokens", "asked")), F.size(F.array_union("tokens", "asked"))
+    s = j.withColumn("score", F.when(all_ > 0, both / all_).otherwise(0.0))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "ord"))
+    return s.withColumn("place", place).where((F.col("place") <= top) & (F.col("score") >= least)).select("conv_id", "ord", F.round("score", 6).alias("score"))

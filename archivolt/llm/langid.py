@@ -22,6 +22,7 @@ from .util import fold, portions, saved
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000  # labelled rows that the filters are learned from, by hash of the id
 GRAMS = 50_000  # n-grams per language in the filters, most frequent first
+PORTION = 400_000  # bytes of text whose n-grams are held at once; a longer text stands alone
 LEAST_SHARE = 0.4  # a language contains an n-gram if its rate is at least so much of the largest rate
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(1 << 16, bool)
@@ -66,7 +67,7 @@ def gram_keys(texts: list[str | None], orders: tuple[int, ...] = ORDERS) -> tupl
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in portions(batches, "text"):
+    for b in portions(batches, "text", PORTION):
         keys, rows = gram_keys(b["text"].to_pylist())
         names, code = np.unique(np.array(b["lang"].to_pylist(), object).astype(str), return_inverse=True)
         of = code[rows]
@@ -139,13 +140,14 @@ def learn(docs: DataFrame, *, rows: int = TRAIN_ROWS, grams: int = GRAMS, id_col
 
 def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, lang_pred and score, for every row. Map only: no shuffle, whole texts."""
+    text = text_col if text_col in keep else "__text"  # whole rows carry the text once
     share = docs.sparkSession.sparkContext.broadcast(filters)  # size set by GRAMS, the languages and `spare`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, "__text"):
-            said, score = share.value.decide(b["__text"].to_pylist())
+        for b in portions(batches, text, PORTION):
+            said, score = share.value.decide(b[text].to_pylist())
             yield pa.record_batch([*[b[c] for c in keep], pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
+    source = docs.select(*keep) if text == text_col else docs.select(*keep, F.col(text_col).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
     return source.mapInArrow(run, schema)

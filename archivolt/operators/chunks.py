@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
 
+# The mark of a page; what stands between a title and its page number in a table of contents.
 MARK = r"\[PAGE:(\d+)\]"
+PAGE_BEHIND = r"[\s,，．。·、—\-]*\d{1,4}"
 
 
 def window_chunks(docs: DataFrame, max_chars: int = 3500, overlap: int = 300) -> DataFrame:
@@ -118,3 +120,54 @@ def anchored(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     hit = chunks.alias("c").join(segments.alias("s"), F.expr("c.book = s.book AND c.offset >= s.start AND c.offset < s.stop"), "left")
     got = hit.groupBy("c.book", "c.chunk_id", "c.section").agg(F.min_by("s.title", "s.ord").alias("exact"))
     return got.select("book", "chunk_id", F.coalesce("exact", "section").alias("section"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("section").isNotNull(), "approx").alias("how"))
+
+
+def title_places(text: str, title: str, gap: int = 12) -> list[int]:
+    """Places of a title, as it is or without white space and punctuation, that no page number follows within `gap`."""
+    import re
+
+    half = title.translate(str.maketrans(X.FULL_WIDTH, X.HALF_WIDTH))
+    bare = re.sub(rf"[\s{re.escape(X.PUNCTUATION_TOC)}]", "", half)
+    number = re.compile(PAGE_BEHIND)
+    found = {m.start() for t in {title, bare} if t for m in re.finditer(f"(?={re.escape(t)})", text) if not number.match(text[m.start() + len(t) : m.start() + len(t) + gap])}
+    return sorted(found)
+
+
+def anchor_segments(text: str, items: Sequence[tuple[str, int | None]]) -> list[tuple[int, str, int | None, int, int]]:
+    """(ord, title, page, start, stop) of each title from the first found on; empty if too few titles are found.
+
+    A table of contents at the front also holds the titles, so the walk begins at the upper quartile of first places. A
+    title without a place of its own takes the segment before it; one that comes twice has the page of its first.
+    """
+    places = [title_places(text, t) for t, _ in items]
+    firsts = sorted(p[0] for p in places if p)
+    if len(firsts) < max(3, 0.3 * len(items)):
+        return []
+    at, first_page, anchors = firsts[int(len(firsts) * 0.75)], {}, []
+    for (title, page), found in zip(items, places, strict=True):
+        first_page.setdefault(title, page)
+        place = next((p for p in found if p >= at), None)
+        if place is not None:
+            anchors.append((title, first_page[title], place))
+            at = place + max(1, len(title))
+        elif anchors:
+            anchors.append(anchors[-1])
+    starts = sorted({a[2] for a in anchors})
+    stop = dict(zip(starts, [*starts[1:], len(text)], strict=True))
+    return [(i, t, page, place, stop[place]) for i, (t, page, place) in enumerate(anchors)]
+
+
+def anchors(books: DataFrame, toc: DataFrame) -> DataFrame:
+    """book, ord, title, page, start, stop of the reliably anchored titles; one book with its titles a group.
+
+    books: book, text. toc: book, ord, item, page. Walking a cursor is sequential within a book, so a helper.
+    """
+    items = toc.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("ord", "item", "page"))).alias("items"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(b, *s) for b, t, xs in zip(f["book"], f["text"], f["items"], strict=True) for s in anchor_segments(t, [(x["item"] or "", x["page"]) for x in xs])]
+            yield pd.DataFrame(rows, columns=["book", "ord", "title", "page", "start", "stop"]).astype({"page": "Int32"})
+
+    kind = dict(books.dtypes)["book"]
+    return books.where("text IS NOT NULL").join(items, "book").select("book", "text", "items").mapInPandas(run, f"book {kind}, ord int, title string, page int, start int, stop int")

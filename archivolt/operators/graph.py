@@ -168,3 +168,39 @@ def redirected(relations: DataFrame, ids: DataFrame) -> DataFrame:
         m = ids.select(F.col("id").alias("_i"), F.col("keep_id").alias("_k"))
         out = out.join(m, out[end] == m["_i"], "left").withColumn(end, F.coalesce("_k", end)).drop("_i", "_k")
     return out
+
+
+def found_phrases(docs: DataFrame, phrases: DataFrame, width: int = 8) -> DataFrame:
+    """(doc_id, eid) of the phrases (eid, part) that stand anywhere in a text.
+
+    Both meet on the first `width` characters of the phrase, so nothing is compared with all; the texts join back once for
+    the check of the whole phrase. The empty phrase stands in every text.
+    """
+    p = phrases.where("part IS NOT NULL").withColumn("gram", F.substring("part", 1, width))
+    sizes = [r[0] for r in p.select(F.length("gram")).distinct().collect()]  # at most width + 1 numbers
+    grams = [F.array(F.lit("")) if n == 0 else F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes or [0]]
+    met = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")).join(p, "gram")
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("part"))).select("doc_id", "eid").distinct()
+
+
+def timeline_mentions(docs: DataFrame, events: DataFrame, lead: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, eid) of events whose label or start of description stands in the text, and (doc_id, eid, place) relations.
+
+    events: eid, label, description, place. An event without a description stands in every text.
+    """
+    start = F.substring(F.coalesce("description", F.lit("")), 1, lead)
+    met = found_phrases(docs, events.select("eid", F.explode(F.array_distinct(F.array(F.nullif("label", F.lit("")), start))).alias("part")))
+    return met, met.join(events.where("place IS NOT NULL").select("eid", "place"), "eid").select("doc_id", "eid", "place")
+
+
+def split_verdicts(judged: DataFrame, with_suspicious: bool = False) -> DataFrame:
+    """Judged entities that enter the merge, under their canonical names: rejected ones go, suspicious ones if not asked for."""
+    kept = ("confirmed", "suspicious") if with_suspicious else ("confirmed",)
+    return judged.where(F.col("verdict").isin(*kept)).withColumn("name", F.col("canonical"))
+
+
+def with_fallback(docs: DataFrame, external: DataFrame, entities: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """(doc_id, name, how): external mentions, and dictionary mentions of the texts that have none; no junk names."""
+    bare = docs.join(external.select("doc_id").distinct(), "doc_id", "left_anti")
+    rules = dictionary_mentions(bare, entities).withColumn("how", F.lit("rules"))
+    return without_junk(external.select("doc_id", "name", F.lit("external").alias("how")).unionByName(rules), stop)

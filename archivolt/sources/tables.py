@@ -50,3 +50,26 @@ def not_done(rows: DataFrame, done: DataFrame, key: str, least_chars: int, most:
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("source").parquet(path)
+
+
+def write_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """Both tables of a graph as Parquet; the positions stay in `ord`."""
+    for name, df in (("entities", entities), ("relations", relations)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("entities", "relations"))
+
+
+def save_turns(turns: DataFrame, path: str, buckets: int = 64) -> None:
+    """Appends conversation turns, filed by a hash of the conversation, so that reading one touches one folder."""
+    turns.withColumn("part", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("part").parquet(path)
+
+
+def load_turns(spark: SparkSession, path: str, conv_id: int | None = None, buckets: int = 64) -> DataFrame:
+    """All turns, or those of one conversation with the other folders pruned."""
+    df = spark.read.parquet(path)
+    if conv_id is not None:
+        df = df.where((F.col("part") == F.pmod(F.xxhash64(F.lit(conv_id).cast("long")), F.lit(buckets)).cast("int")) & (F.col("conv_id") == conv_id))
+    return df.drop("part")

@@ -102,7 +102,7 @@ def v2(spark, d):
     return L.variants(*names_and_runs(spark, d))
 
 
-@query("v2_edit_variants", r"WITH r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS run FROM documents) WHERE length(run) BETWEEN 2 AND 8 GROUP BY run HAVING count(*) >= 3), c AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}]+')) AS name FROM benchmark) WHERE length(name) BETWEEN 4 AND 8), a AS (SELECT * FROM r WHERE run NOT IN (SELECT name FROM c)), m AS (SELECT run AS variant, name, n, (SELECT min(x) FROM (SELECT 0 AS x)) AS z FROM a JOIN c ON substr(run, 1, 1) = substr(name, 1, 1) AND abs(length(run) - length(name)) <= 2), s AS (SELECT variant, name, n FROM m) SELECT variant, name, n, levenshtein(translate(variant, 'éèêçàôûîÉ', '012345678'), translate(name, 'éèêçàôûîÉ', '012345678'))::INTEGER AS distance FROM s WHERE levenshtein(translate(variant, 'éèêçàôûîÉ', '012345678'), translate(name, 'éèêçàôûîÉ', '012345678')) <= 2")
+@query("v2_edit_variants")
 def v2_edit(spark, d):
     return L.edit_variants(*names_and_runs(spark, d))
 

@@ -24,12 +24,13 @@ def _letters(names: DataFrame, column: str) -> DataFrame:
     return n.select(column, "letter", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, least: float, also: Column | None = None) -> DataFrame:
     """(a, b, ratio) of all distinct names a of `left` and b of `right` with a ratio of `least` or more.
 
     Lossless prefix filter: M characters match, so the multisets of characters share M at least. Since M <= len b, a pair
     needs least / (2 - least) of either side's characters; so both have one in common among their rarest
-    len - needed + 1. Names meet on those; length and multiset bounds go before the exact ratio.
+    len - needed + 1. Names meet on those. Before the exact ratio go `also`, a bound on lengths, and one on the edit distance,
+    which is never more than len a + len b - 2 M.
     """
     x = _letters(left.select("a"), "a"), _letters(right.select("b"), "b")
     rare = x[0].select("letter", "nth").unionAll(x[1].select("letter", "nth")).groupBy("letter", "nth").agg(F.count("*").alias("df"))
@@ -42,6 +43,8 @@ def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     met = prefix(x[0], "a").join(prefix(x[1], "b"), ["letter", "nth"])
     met = met.where(2 * F.least(F.length("a"), F.length("b")) >= (least - 1e-9) * (F.length("a") + F.length("b"))).select("a", "b").distinct()
+    near = F.levenshtein("a", "b") <= (1 - least + 1e-9) * (F.length("a") + F.length("b"))
+    met = met.where(near if also is None else also & near)
     return met.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
 
 
@@ -75,9 +78,9 @@ def variants(counts: DataFrame, canonical: DataFrame, least_count: int = 3, most
     counts: run, n. canonical: name. Same first character, lengths at most two apart, 1 - ratio at most `most_apart`.
     """
     runs = counts.where(F.col("n") >= least_count).join(canonical.select(F.col("name").alias("run")), "run", "left_anti")
-    met = similar(runs.select(F.col("run").alias("a")), canonical.select(F.col("name").alias("b")), 1 - most_apart)
-    fits = (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.abs(F.length("a") - F.length("b")) <= 2) & (F.col("ratio") < 1)
-    return met.where(fits).join(runs, met["a"] == runs["run"]).select(F.col("a").alias("variant"), F.col("b").alias("name"), "n", "ratio")
+    fits = (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.abs(F.length("a") - F.length("b")) <= 2)
+    met = similar(runs.select(F.col("run").alias("a")), canonical.select(F.col("name").alias("b")), 1 - most_apart, fits)
+    return met.where("ratio < 1").join(runs, met["a"] == runs["run"]).select(F.col("a").alias("variant"), F.col("b").alias("name"), "n", "ratio")
 
 
 def edit_variants(counts: DataFrame, canonical: DataFrame, least_count: int = 3, most: int = 2) -> DataFrame:

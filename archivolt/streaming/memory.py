@@ -16,14 +16,14 @@ from archivolt.operators.chunks import line_chunks, tag_places
 def memory_stream(turns: DataFrame, keep: int = 8, batch: int = 6) -> DataFrame:
     """conv_id, batch, turns: the oldest `batch` turns of a conversation each time more than `keep` are held.
 
-    turns: conv_id, turn, role, content, in the order of `turn` from trigger to trigger. The state of a conversation is at
+    turns: conv_id, turn, role, text, in the order of `turn` from trigger to trigger. The state of a conversation is at
     most `keep` turns; over a whole log the batches equal those of memory_batches.
     """
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, held = state.get if state.exists else (0, [])
         held = [tuple(x) for x in held]
-        fresh = sorted((int(t), r or "", c or "") for f in frames for t, r, c in zip(f["turn"], f["role"], f["content"], strict=True))
+        fresh = sorted((int(t), r or "", c or "") for f in frames for t, r, c in zip(f["turn"], f["role"], f["text"], strict=True))
         out = []
         for x in fresh:
             held.append(x)
@@ -34,7 +34,7 @@ def memory_stream(turns: DataFrame, keep: int = 8, batch: int = 6) -> DataFrame:
         yield pd.DataFrame(out, columns=["conv_id", "batch", "turns"])
 
     return turns.groupBy("conv_id").applyInPandasWithState(
-        run, "conv_id long, batch int, turns array<long>", "done int, held array<struct<turn: long, role: string, content: string>>", "append", GroupStateTimeout.NoTimeout
+        run, "conv_id long, batch int, turns array<long>", "done int, held array<struct<turn: long, role: string, text: string>>", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -3,10 +3,14 @@
 Built-in functions only. Base matches and identifier-like tokens are cut out of each text once (places come from the
 lengths of the pieces between matches); what is shuffled afterwards are those matches, never texts.
 
-Bootstrapping: distinct instances (token values) and lexical patterns (the left context: a word, or a label with its
-separator and quote; and the shape with the right context) form a graph. Seeds are the base entities' own values and values that stand
-behind one of `labels`; each round scores a pattern by the mean score of its instances (shrunk by `doubt`) and an instance
-by its best pattern. Instances of patterns with at least `support` seeds and a score of `confidence` are identifiers.
+Bootstrapping: distinct instances (the values of base entities at their own spans, and of tokens that touch none) and
+lexical patterns (the left context: a word, or a label with its separator and quote; and the shape with the right context)
+form a graph. Seeds are the base entities and values that stand behind one of `labels`; each round scores a pattern by the
+mean score of its instances (shrunk by `doubt`) and an instance by its best pattern. A pattern counts from `support`
+accepted instances on: seeds, and whatever scored `confidence` in the round before. Instances of such patterns with a score
+of `confidence` are identifiers. Tokens are runs of letters and digits with a digit and four characters or more, such runs
+joined by one of . _ / + - (none need four then), and those continued over a blank between digits; of accepted tokens that
+hold one another the widest is the span.
 
 Edge cases: null and empty texts have no span and the hash of ''; repeated rows are answered alike; places are code
 points; runs of any length are matched without recursion; an empty table gives an empty result.
@@ -27,17 +31,21 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{9,}+(?![A-Za-z0-9])"
+# Tokens: runs, joined runs and runs over blanks. Each of the wider ones holds the narrower whole.
+TOKENS = {
+    "id": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{4,}+(?![A-Za-z0-9])",
+    "joined": r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._/+-])(?=[A-Za-z._/+-]*+[0-9])[A-Za-z0-9]++(?:[._/+-][A-Za-z0-9]++)++",
+    "spaced": r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._/+-])(?<![0-9]\x20(?=[0-9]))(?=[A-Za-z._/+-]*+[0-9])[A-Za-z0-9]++(?:(?:[._/+-]|(?<=[0-9])\x20(?=[0-9]))[A-Za-z0-9]++)++",
+}
 LABELS = ("token", "secret", "password", "passwd", "apikey", "api_key", "key", "ssn", "iban", "passport")
 
 
-def _cut(text: Column, pattern: str, kind: str, contexts: bool = False) -> Column:
+def _cut(text: Column, pattern: str, kind: str) -> Column:
     """Matches of a kind as structs: its place in the order, the length of the text before it, value, contexts."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.lit("")
-    left = (lambda i: F.regexp_extract(F.substring(F.element_at(gaps, i + 1), -40, 40), r"(?:([\p{L}_]+)(\s*[=:]\s*[\"']?)|([\p{L}_]+)\W{0,3})$", 0)) if contexts else (lambda i: empty)
-    right = (lambda i: F.substring(F.element_at(gaps, i + 2), 1, 1)) if contexts else (lambda i: empty)
+    left = lambda i: F.regexp_extract(F.substring(F.element_at(gaps, i + 1), -40, 40), r"(?:([\p{L}_]+)(\s*[=:]\s*[\"']?)|([\p{L}_]+)\W{0,3})$", 0)
+    right = lambda i: F.substring(F.element_at(gaps, i + 2), 1, 1)
     return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.length(F.element_at(gaps, i + 1)).alias("gap"), v.alias("value"), left(i).alias("left"), right(i).alias("right")))
 
 
@@ -50,7 +58,9 @@ def _valid() -> Column:
     digits = F.regexp_replace("value", "[^0-9]", "")
     n = F.length(digits)
     small = F.forall(F.split("value", r"\."), lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(x, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
-    return F.when(F.col("kind") == "ip", small).when(F.col("kind") == "card", n.between(12, 19) & _luhn(digits)).when(F.col("kind") == "phone", n.between(9, 15)).otherwise(F.lit(True))
+    blank = F.col("value").contains(" ")
+    own = F.col("value").rlike("[0-9]")
+    return F.when(F.col("kind") == "joined", own).when(F.col("kind") == "spaced", own & blank).when(F.col("kind") == "ip", small).when(F.col("kind") == "card", n.between(12, 19) & _luhn(digits)).when(F.col("kind") == "phone", n.between(9, 15)).otherwise(F.lit(True))
 
 
 def _guarded(text: Column, kind: str) -> Column:
@@ -63,7 +73,8 @@ def matches(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     """(row, doc_id) of all rows, and the matches of all kinds with their places."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     number = F.when(text.rlike("[0-9]"), text).otherwise(F.lit(""))
-    cuts = [_cut(_guarded(text if k in ("email", "phone") else number, k), PATTERNS[k], k) for k in KINDS[:-1]] + [_cut(number, TOKEN, "id", True)]
+    cuts = [_cut(_guarded(text if k in ("email", "phone") else number, k), PATTERNS[k], k) for k in KINDS[:-1]]
+    cuts += [_cut(number, pattern, k) for k, pattern in TOKENS.items()]
     base = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.concat(*cuts).alias("m")), "pii-matches")
     flat = base.select("row", F.explode("m").alias("m")).select("row", "m.*")
     order = Window.partitionBy("row", "kind").orderBy("place")
@@ -73,31 +84,34 @@ def matches(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 
 def shape(value: Column) -> Column:
-    """Digits only, hexadecimal or other, with the length."""
-    return F.concat(F.when(value.rlike("^[0-9]+$"), F.lit("d")).when(F.lower(value).rlike("^[0-9a-f]+$"), F.lit("h")).otherwise(F.lit("a")), F.length(value).cast("string"))
+    """Digits only, hexadecimal or other (separators aside), with the lengths of the runs and what stands between them."""
+    plain = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    sort = F.when(plain.rlike("^[0-9]+$"), F.lit("d")).when(F.lower(plain).rlike("^[0-9a-f]+$"), F.lit("h")).otherwise(F.lit("a"))
+    runs = F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0)), lambda x: F.when(x.rlike("^[A-Za-z0-9]"), F.length(x).cast("string")).otherwise(x))
+    return F.concat(sort, F.array_join(runs, ""))
 
 
-def discovered(tokens: DataFrame, seeds: DataFrame, *, labels: tuple[str, ...], rounds: int, support: int, confidence: float, doubt: float) -> DataFrame:
-    """Values that the bootstrapping accepts. tokens: value, left, right; seeds: value."""
+def discovered(tokens: DataFrame, base: DataFrame, *, labels: tuple[str, ...], rounds: int, support: int, confidence: float, doubt: float) -> DataFrame:
+    """Values that the bootstrapping accepts. tokens and base (the seeds): value, left, right."""
     label = F.lower(F.regexp_extract("left", r"^([\p{L}_]+)\s*[=:]", 1))
-    context = F.concat(F.lit("L:"), F.lower(F.regexp_replace("left", r"\s+", " ")))
+    context = F.when(F.col("left") != "", F.concat(F.lit("L:"), F.lower(F.regexp_replace("left", r"\s+", " "))))
     form = F.concat(F.lit("S:"), shape(F.col("value")), F.lit(":"), F.when(F.col("left").rlike("[=:\"']$"), F.lit("=")).otherwise(F.lit("")), F.regexp_replace("right", r"\s", " "))
-    edges = tokens.select("value", label.isin(*labels).alias("labelled"), F.explode(F.array(context, form)).alias("pattern"))
+    every = tokens.select("value", "left", "right", label.isin(*labels).alias("seed")).unionByName(base.select("value", "left", "right", F.lit(True).alias("seed")))
+    edges = every.select("value", "seed", F.explode(F.array_compact(F.array(context, form))).alias("pattern"))
     # One row per instance and pattern: however often a value repeats, it counts once.
-    graph = edges.groupBy("value", "pattern").agg(F.max("labelled").alias("labelled"))
-    known = seeds.select("value").distinct().withColumn("base", F.lit(True))
-    marked = graph.groupBy("value").agg(F.max("labelled").alias("labelled")).join(known, "value", "left")
-    start = marked.select("value", (F.col("labelled") | F.coalesce("base", F.lit(False))).alias("seed"))
+    graph = saved(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "pii-values")
+    start = graph.groupBy("value").agg(F.max("seed").alias("seed"))
     edges = saved(graph.select("value", "pattern").join(start, "value"), "pii-graph")
     score = edges.select("value", F.col("seed").cast("double").alias("score")).distinct()
     patterns = None
     for _ in range(rounds):
-        patterns = edges.join(score, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(doubt))).alias("p"), F.count_if("seed").alias("seeds"))
+        held = F.count_if(F.col("seed") | (F.col("score") >= confidence))
+        patterns = edges.join(score, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(doubt))).alias("p"), held.alias("held"))
         patterns = saved(patterns, "pii-patterns")
-        best = F.max(F.when(F.col("seeds") >= support, F.col("p")).otherwise(F.lit(0.0)))
+        best = F.max(F.when(F.col("held") >= support, F.col("p")).otherwise(F.lit(0.0)))
         score = saved(edges.join(patterns, "pattern").groupBy("value").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(best).alias("score")), "pii-scores")
-    good = patterns.where((F.col("seeds") >= support) & (F.col("p") >= confidence)).select("pattern")
-    return edges.join(good, "pattern").select("value").union(edges.where("seed").join(edges.join(good, "pattern").select("value"), "value", "left_semi").select("value")).distinct()
+    good = patterns.where((F.col("held") >= support) & (F.col("p") >= confidence)).select("pattern")
+    return edges.join(good, "pattern").select("value").distinct()
 
 
 def spans(
@@ -114,17 +128,20 @@ def spans(
     """(row, doc_id) of all rows, and the spans (row, kind, start, end): base ones, and those discovered beside them."""
     rows, placed = matches(docs, id_col, text_col)
     placed = saved(placed, "pii-placed")
-    tokens = placed.where("kind = 'id'")
-    seeds = placed.where("kind = 'card'").select(F.regexp_replace("value", "[ -]", "").alias("value"))
-    found = discovered(tokens, seeds, labels=labels, rounds=rounds, support=support, confidence=confidence, doubt=doubt)
     # Tokens that touch a base span stay part of that span: look at the spans before and after in order of place.
     order = Window.partitionBy("row").orderBy("start", "end")
-    base_end, base_start = (F.when(F.col("kind") != "id", F.col(c)) for c in ("end", "start"))
+    token = F.col("kind").isin(*TOKENS)
+    base_end, base_start = (F.when(~token, F.col(c)) for c in ("end", "start"))
     before = F.max(base_end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(base_start).over(order.rowsBetween(1, Window.unboundedFollowing))
-    free = placed.withColumn("before", before).withColumn("after", after).where("kind = 'id' AND coalesce(before, 0) <= start AND coalesce(after, end) >= end")
-    extra = free.join(found, "value", "left_semi").select("row", "kind", "start", "end")
-    return rows, placed.where("kind <> 'id'").select("row", "kind", "start", "end").unionByName(extra)
+    free = saved(placed.withColumn("before", before).withColumn("after", after).where(token & F.expr("coalesce(before, 0) <= start AND coalesce(after, end) >= end")).drop("before", "after"), "pii-free")
+    own = F.when(F.col("kind") == "card", F.regexp_replace("value", "[ -]", "")).otherwise(F.col("value"))
+    base = placed.where(~token)
+    found = discovered(free, base.withColumn("value", own), labels=labels, rounds=rounds, support=support, confidence=confidence, doubt=doubt)
+    taken = free.join(found, "value", "left_semi")
+    wider = F.max("end").over(Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    extra = taken.withColumn("wider", wider).where("wider IS NULL OR wider < end").select("row", F.lit("id").alias("kind"), "start", "end")
+    return rows, base.select("row", "kind", "start", "end").unionByName(extra)
 
 
 def digest(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -164,3 +164,19 @@ def test_leaks_exact_and_paraphrased(spark):
     got = decontam.leaks(frame(spark, [*map(" ".join, docs), None, ""]), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(3, 0), (7, 1)}
     assert decontam.leaks(frame(spark, []), bench).count() == 0
+
+
+def test_identifiers_two_hops_from_the_seeds(spark):
+    token = lambda i: f"{i * 7919 + 1:010x}q{i % 10}"
+    first = [f'token = "{token(i)}"' for i in range(20)] + [f"ticket {token(i)};" for i in range(26)]
+    second = [f"badge {token(i)}!" for i in range(20, 27)]
+    plain = [f"around {token(i)}? and" for i in range(40, 48)]
+    got = {r.doc_id: r for r in pii.digest(*pii.spans(frame(spark, first + second + plain))).collect()}
+    assert [got[i].n_id for i in range(61)] == [1] * 53 + [0] * 8
+
+
+def test_identifiers_beside_base_entities_and_with_separators(spark):
+    mails = [f"reach user{i}@mail.example.com now" for i in range(6)] + ["reach k9-2x/77 now", "reach ab12 now"]
+    cards = [f"paid {x} ok" for x in ("4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881")] + ["paid 12-34-56 ok", "paid 1234 5678 ok"]
+    got = {r.doc_id: r for r in pii.digest(*pii.spans(frame(spark, [*mails, *cards, "seen 4242 there"]))).collect()}
+    assert [got[i].spans for i in (6, 7, 11, 12, 13)] == ["id:6:14", "id:6:10", "id:5:13", "id:5:14", ""]

@@ -5,7 +5,9 @@ Its leading right singular vectors come from a randomised range finder: one pass
 product A'(A Omega), whose Nystroem form gives the vectors; both are sums over partitions. A third pass projects every
 window of every document, takes items whose cosine is at least `cosine` as candidates, and checks each on the words
 themselves: the longest common subsequence with the item must cover `coverage` of it, and `answers` of its rarest words
-(the answer-bearing ones) must be there.
+(the answer-bearing ones) must be there. Items that are long against a window, or much reworded, may stay below that
+cosine: the same pass counts the rarest words in stretches of twice the size that a check looks at, and checks every window
+where enough of them stand. As the check asks for those words, none that would pass it is missed, whatever its cosine.
 
 Edge cases: null and empty texts contain nothing; items without words match nothing; of repeated items each is reported;
 repeated rows are reported alike (ids once); items are worked on in blocks of ITEMS, so what is broadcast is bounded;
@@ -50,7 +52,7 @@ class Space:
         place = np.flatnonzero(self.vocabulary[at] == h)
         return at[place], place, np.concatenate([[0], ends[:-1]]), ends
 
-    def finish(self, product: np.ndarray, omega: np.ndarray, rank: int) -> None:
+    def finish(self, product: np.ndarray, omega: np.ndarray, rank: int, answers: float) -> None:
         """Latent vectors from Y = A'A Omega (Nystroem): A'A is about Y (Omega'Y)^-1 Y'."""
         own = np.zeros((len(self.items), len(self.vocabulary)))
         for k, (_, w) in enumerate(self.items):
@@ -74,6 +76,19 @@ class Space:
             self.masks.append(bits)
             own_terms = np.unique(w)
             self.rare.append(set(own_terms[np.argsort(-self.idf[own_terms], kind="stable")][: max(1, len(own_terms) // 4)].tolist()))
+        # Words that a check asks for: the rarest, or any where no rare one is asked for.
+        self.sought = self.rare if answers > 0 else [set(w.tolist()) for _, w in self.items]
+        self.stretches = [(size, *self._postings([k for k, (_, w) in enumerate(self.items) if _stretch(len(w)) == size])) for size in sorted({_stretch(len(w)) for _, w in self.items})]
+
+    def _postings(self, items: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each term's items begin in the list, and the list: the items for which the term is sought."""
+        pairs = np.array(sorted((term, k) for k in items for term in self.sought[k]), np.int64).reshape(-1, 2)
+        return np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 1)), pairs[:, 1]
+
+
+def _stretch(length: int) -> int:
+    """A power of two that holds all words looked at around a window for an item of that length."""
+    return 1 << (2 * length + WINDOW - 1).bit_length()
 
 
 def common_subsequence(bits: dict[int, int], length: int, words: list[int]) -> int:
@@ -138,6 +153,30 @@ def _product(space, omega):
     return run
 
 
+def _crowded(s: Space, t: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, answers: float) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item, first and last window (counted in the row) of the stretches with `answers` of the item's rarest words."""
+    need = np.array([answers * len(r) for r in s.rare])
+    for size, ptr, listed in s.stretches:
+        known = np.flatnonzero(ptr[t + 1] > ptr[t])
+        if not len(known):
+            continue
+        term, at = t[known], place[known]
+        row = np.searchsorted(end, at, "right")
+        off = np.concatenate([[0], np.cumsum(-(-(end - begin) // size))])
+        block = off[row] + (at - begin[row]) // size
+        inner = block > off[row]  # a stretch is two blocks: each word stands in its own and in the one before
+        seen = np.unique(np.concatenate([block, block[inner] - 1]) * len(s.vocabulary) + np.concatenate([term, term[inner]]))
+        block, term = seen // len(s.vocabulary), seen % len(s.vocabulary)
+        many = ptr[term + 1] - ptr[term]
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pair, n = np.unique(np.repeat(block, many) * len(s.items) + listed[np.repeat(ptr[term], many) + nth], return_counts=True)
+        for block, k in zip(*np.divmod(pair[n >= need[pair % len(s.items)]], len(s.items)), strict=True):
+            r = int(np.searchsorted(off, block, "right")) - 1
+            length, b = len(s.items[k][1]), int(block - off[r])
+            # Windows whose looked-at words begin in the stretch's first half, so that all of them lie in it.
+            yield r, int(k), -(-(b * size + length) // STRIDE) if b else 0, ((b + 1) * size - 1 + length) // STRIDE
+
+
 def _search(space, cosine: float, coverage: float, answers: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space.value
@@ -170,6 +209,28 @@ def _search(space, cosine: float, coverage: float, answers: float):
                     lcs = common_subsequence(s.masks[k], length, near)
                     if lcs >= coverage * length and (lcs, mid[i, k]) > found.get((r, item), (0, 0.0))[:2]:
                         found[r, item] = (lcs, float(mid[i, k]), lcs / length)
+            windows = np.searchsorted(row, np.arange(len(begin) + 1))
+            for r, k, lo, hi in _crowded(s, t, place, begin, end, answers):
+                own = np.arange(windows[r] + lo, min(windows[r] + hi + 1, windows[r + 1]))
+                if not len(own):
+                    continue
+                item, words = s.items[k]
+                length = len(words)
+                a, z = np.maximum(begin[r], first[own] - length), np.minimum(end[r], last[own] + length)
+                a, z = np.searchsorted(place, a), np.searchsorted(place, z)
+                most = common_subsequence(s.masks[k], length, t[a[0] : z[-1]].tolist())
+                if most < coverage * length:
+                    continue
+                cos = (x[own] / np.maximum(norm[own], 1e-9)[:, None]) @ s.latent[k]
+                for i in np.argsort(-cos, kind="stable"):
+                    near = t[a[i] : z[i]].tolist()
+                    if len(s.rare[k].intersection(near)) < answers * len(s.rare[k]):
+                        continue
+                    lcs = common_subsequence(s.masks[k], length, near)
+                    if lcs >= coverage * length and (lcs, cos[i]) > found.get((r, item), (0, 0.0))[:2]:
+                        found[r, item] = (lcs, float(cos[i]), lcs / length)
+                    if lcs == most:  # no other window here has more
+                        break
             ids = b["doc_id"].to_pylist()
             keys = [(ids[r], item, *v) for (r, item), v in sorted(found.items())]
             yield pa.record_batch([pa.array([k[c] for k in keys], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "lcs", "cosine", "coverage"])
@@ -215,6 +276,6 @@ def leaks(
         product = np.zeros_like(omega)
         for r in sums:
             product[r["term"]] = r["y"]
-        space.finish(product, omega, rank)
+        space.finish(product, omega, rank, answers)
         out = out.unionByName(source.mapInArrow(_search(sc.broadcast(space), cosine, coverage, answers), out.schema))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "coverage")).alias("m")).select("doc_id", "item_id", "m.lcs", "m.cosine", "m.coverage")

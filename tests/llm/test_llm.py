@@ -180,3 +180,37 @@ def test_identifiers_beside_base_entities_and_with_separators(spark):
     cards = [f"paid {x} ok" for x in ("4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881")] + ["paid 12-34-56 ok", "paid 1234 5678 ok"]
     got = {r.doc_id: r for r in pii.digest(*pii.spans(frame(spark, [*mails, *cards, "seen 4242 there"]))).collect()}
     assert [got[i].spans for i in (6, 7, 11, 12, 13)] == ["id:6:14", "id:6:10", "id:5:13", "id:5:14", ""]
+
+
+def test_leaks_of_long_and_reworded_items_match_brute_force(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(4))
+    known = [word() for _ in range(4000)]
+    items = [rnd.sample(known, rnd.choice([8, 10, 12, 59, 150, 300])) for _ in range(150)]
+    docs = [[rnd.choice(known) for _ in range(rnd.choice([40, 700]))] for _ in range(200)]
+    for i in range(80):
+        said = list(items[i])
+        if i % 2:  # reworded evenly: two words of six go, others come
+            said = [w if j % 6 not in (1, 4) else rnd.choice(known) for j, w in enumerate(said)]
+        at = rnd.randrange(len(docs[i]))
+        docs[i][at:at] = said
+    terms = {w: i for i, w in enumerate({w for t in items for w in t})}
+
+    def lcs(item, doc):
+        bits = {}
+        for j, w in enumerate(item):
+            bits[terms[w]] = bits.get(terms[w], 0) | 1 << j
+        return decontam.common_subsequence(bits, len(item), [terms[w] for w in doc if w in terms])
+
+    def leaked(item, doc):
+        """Whether the item stands in the doc at all, and so in the words around one of its windows."""
+        most, n = 0.6 * len(item), len(item)
+        return lcs(item, doc) >= most and any(lcs(item, doc[max(0, j - n) : j + 32 + n]) >= most for j in range(0, max(1, len(doc) - 16), 16))
+
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if leaked(item, doc)}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = decontam.leaks(frame(spark, list(map(" ".join, docs))), bench, answers=0.0).collect()
+    assert {(i, i) for i in range(80)} <= want and {(r.doc_id, r.item_id) for r in found} == want
+    copied = {(i, i) for i in range(0, 80, 2)}  # a reworded item may lose its rarest words, a copied one does not
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, list(map(" ".join, docs))), bench).collect()}
+    assert copied <= found <= want

@@ -16,24 +16,41 @@ from archivolt.llm.util import saved, table
 SHARDS = 40
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, written so that every use sees the same one, and that column's name."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "stage-keyed"), name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter, or no nearer to one language than chance, go."""
+    """Documents in a language: those without a letter, or no nearer to one language than chance, go.
+
+    Without a labelled row there is nothing to tell languages by, and only those without a letter go.
+    """
     filters = langid.learn(docs)
+    if not filters.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, filters, keep=tuple(docs.columns))
-    chance = 1.0 / max(1, len(filters.langs))
+    chance = 1.0 / len(filters.langs)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= chance * 0.999)).drop("lang_pred", "score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least id."""
-    kept = jaccard.classes(docs, count_links=False).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each class of near copies: the one with the least id, null last. Ids may be null or repeat."""
+    rows, key = keyed(docs)
+    found = jaccard.classes(rows, id_col=key, count_links=False).select(F.col("doc_id").alias(key), "class_id")
+    ids = rows.select(key, F.col("doc_id").isNull().alias("lacks"), "doc_id")
+    least = found.join(ids, key).groupBy("class_id").agg(F.min(F.struct("lacks", "doc_id", key)).alias("least"))
+    return rows.join(least.select(F.col(f"least.{key}").alias(key)), key, "left_semi").drop(key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Rows without a passage of the benchmark."""
+    rows, key = keyed(docs)
+    found = decontam.leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_anti").drop(key)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,24 @@
 
 Texts are sets of word shingles. In each of RUNS runs a set chooses about 1 / similarity of its shingles by a hash that
 all sets share, so similar sets choose alike; each chosen shingle is a bucket. Buckets of at most `limit` sets are compared
-by brute force; larger ones split again on further shared shingles (a path), and so on. Sets whose choices are mostly in
-large buckets (groups of near copies) are compared where they stand, in blocks, and not again. The number of runs follows from the target recall. Every link is checked on the whole sets, and the links
-within a class are counted over all its pairs, in blocks.
+by brute force; larger ones split again on further shared shingles (a path), and so on. The number of runs follows from the
+target recall. Every link is checked on the whole sets, and the links within a class are counted over all its pairs.
+
+What keeps large groups of near copies linear:
+- each large bucket first compares its sets with one of them (its pivot), so that groups of near copies get one label;
+- a large bucket, or what is left of one at the last depth, is compared in blocks of BLOCK sets by a grouped job that
+  returns a spanning forest; sets of the bucket's most frequent label are its core and are compared with the others only;
+- sets that meet in large buckets with most of their choices are compared in each of their TOPS largest, and path buckets
+  whose sets all share one of those, or one label, are done with;
+- in a class of more than BLOCK sets, those within half the distance (1 - similarity) / 2 of one centre are all linked
+  with one another (the Jaccard distance is a metric), and only the others are compared with the whole class, in blocks.
 
 Texts with the same set are one class member with a number of copies, so copies are never paired with each other.
 
-Edge cases: null texts and texts without a word have no shingles, link to nothing and are classes of their own; texts of
-fewer words than the width have one shingle; rows that repeat an id are one document; an empty table gives an empty result.
+Edge cases: every row is a document, whatever its id; rows with a null id take part and count as links, and a class without
+any id has the class_id null; null texts and texts without a word have no shingles, link to nothing and are classes of
+their own; texts of fewer words than the width have one shingle; very long texts are sets like others; links do not depend
+on order, so there are no ties; an empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +39,7 @@ from .words import mix, shingles
 BLOCK = 512
 DEPTH = 6
 TOPS = 3
+CENTRE = 64
 
 
 def runs_for(recall: float, similarity: float, choices: float) -> int:
@@ -40,8 +51,10 @@ def runs_for(recall: float, similarity: float, choices: float) -> int:
 
 
 def _choose(width: int, runs: int, choices: float):
+    """Of each row: sketch, two sums that name its set, the set's size, its chosen buckets and the set itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, "text"):
+        for b in portions(batches, "text", 1_000_000):
             x, row, n = shingles(b["text"], width)
             ends = np.concatenate([[0], np.cumsum(n)])
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(x, s), dtype=np.uint64)]) for s in (101, 102)]
@@ -63,18 +76,8 @@ def _choose(width: int, runs: int, choices: float):
             least = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (row[1:] != row[:-1])])) if len(x) else np.zeros(0, np.int64)
             sig = np.zeros(len(n), np.uint64)
             np.bitwise_or.at(sig, row[least], (x[least] & np.uint64(1)) << span[least].astype(np.uint64))
-            yield pa.record_batch([b["doc_id"], pa.array(sig.view(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pool], names=["doc_id", "sig", "k1", "k2", "n", "pool"])
-
-    return run
-
-
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, "text"):
-            x, _, n = shingles(b["text"], width)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            short = (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.record_batch([b["rep"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))], names=["rep", "set"])
+            whole = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.record_batch([b["rid"], b["doc_id"], pa.array(sig.view(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int32)), pool, whole], names=["rid", "doc_id", "sig", "k1", "k2", "n", "pool", "set"])
 
     return run
 
@@ -102,31 +105,27 @@ def similar(sets_a: pa.ChunkedArray, sets_b: pa.ChunkedArray, similarity: float)
 
 
 def _forest(similarity: float):
-    """One group: sets of block `a` (side 0) against themselves, or of block a against those of block b (side 1)."""
+    """One group: sets of block x (side 0) against themselves, or against those of block y (side 1).
+
+    Returns edges between labels that turn out to be connected; a label is a node of an edge that is known already.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        rep = table["rep"].to_numpy()
+        side, lab = table["side"].to_numpy(), table["lab"].to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b if len(b) else a
-        src, dst = [], []
-        if len(a) and len(b):
-            near = similar(table["set"].take(pa.array(a)), table["set"].take(pa.array(b)), similarity)
-            label: dict[int, int] = {}
-
-            def root(v: int) -> int:
-                while label.get(v, v) != v:
-                    label[v] = label.get(label[v], label[v])
-                    v = label[v]
-                return v
-
-            for i, j in zip(*np.nonzero(near), strict=True):
-                p, q = root(int(rep[a[i]])), root(int(rep[b[j]]))
-                if p != q:
-                    label[max(p, q)] = min(p, q)
-                    src.append(max(p, q))
-                    dst.append(min(p, q))
-        return pa.table({"a": pa.array(dst, pa.int64()), "b": pa.array(src, pa.int64())})
+        b = a if table["x"][0] == table["y"][0] else b
+        if not len(a) or not len(b) or lab.min() == lab.max():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        near = similar(table["set"].take(pa.array(a)), table["set"].take(pa.array(b)), similarity)
+        far = np.iinfo(np.int64).max
+        new, old = lab.copy(), None
+        while old is None or (new != old).any():
+            old = new.copy()
+            new[a] = np.minimum(new[a], np.where(near, new[b][None, :], far).min(axis=1))
+            new[b] = np.minimum(new[b], np.where(near, new[a][:, None], far).min(axis=0))
+        moved = np.flatnonzero(new != lab)
+        pairs = np.unique(np.stack([new[moved], lab[moved]], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
@@ -135,9 +134,9 @@ def _links(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         side, rep, copies = (table[c].to_numpy() for c in ("side", "rep", "copies"))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(b)
+        same = table["x"][0] == table["y"][0]
         b = a if same else b
-        if not len(a):
+        if not len(a) or not len(b):
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         near = similar(table["set"].take(pa.array(a)), table["set"].take(pa.array(b)), similarity).astype(np.int64)
         if same:
@@ -166,12 +165,138 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """Deals the rows of each key into blocks of about BLOCK rows and repeats them for each pair of blocks to compare."""
-    nb = F.greatest(F.ceil(F.col(size) / BLOCK), F.lit(1)).cast("int")
-    mine = rows.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    partners = F.expr("transform(sequence(0, nb - 1), o -> IF(o < blk, named_struct('x', o, 'y', blk, 'side', 1), named_struct('x', blk, 'y', o, 'side', 0)))")
-    return mine.withColumn("p", F.explode(partners)).select(F.col(key).alias("key"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.side").alias("side"), "rep", *[c for c in rows.columns if c not in (key, size, "rep")])
+def blocks(rows: DataFrame, *, keep: tuple[str, ...]) -> DataFrame:
+    """Deals the rows (key, rep, core, cores, others, ...) of each key into blocks of about BLOCK and repeats them for each
+    pair of blocks to compare: others with others and with the core, never the core with itself. A key without others goes.
+    """
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = rows.where("others > 0").withColumn("nc", parts("cores")).withColumn("nb", parts("others"))
+    mine = dealt.withColumn("blk", F.expr("pmod(xxhash64(rep), IF(core, nc, nb))").cast("int"))
+    # Blocks of the core are numbered behind those of the others.
+    partners = F.expr("""
+        IF(core, transform(sequence(0, nb - 1), o -> named_struct('x', o, 'y', nb + blk, 'side', 1)),
+           concat(transform(sequence(0, nb - 1), o -> IF(o < blk, named_struct('x', o, 'y', blk, 'side', 1), named_struct('x', blk, 'y', o, 'side', 0))),
+                  IF(nc > 0, transform(sequence(0, greatest(nc, 1) - 1), o -> named_struct('x', blk, 'y', nb + o, 'side', 0)), array())))""")
+    return mine.withColumn("p", F.explode(partners)).select("key", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.side").alias("side"), "rep", *keep)
+
+
+def cored(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """The rows (key, rep, ...) with core: whether their `group` is the most frequent of their key, and the numbers of both."""
+    by = rows.groupBy("key", group).agg(F.count("*").alias("c"))
+    most = by.groupBy("key").agg(F.max_by(group, F.struct("c", group)).alias("most"), F.max("c").alias("cores"), (F.sum("c") - F.max("c")).alias("others"))
+    return rows.join(saved(most.where("others > 0"), name), "key").withColumn("core", F.col(group) == F.col("most")).drop("most")
+
+
+class Join:
+    """Sets and thresholds of one run over a table of documents."""
+
+    def __init__(self, similarity: float, limit: int) -> None:
+        self.similarity, self.limit = similarity, limit
+        # The sketch tells unlike sets apart: its bits differ with probability (1 - similarity) / 2 at most.
+        differ = 64 * (1 - similarity) / 2
+        self.differ = math.ceil(differ + 5.7 * math.sqrt(differ))
+        self.sets: DataFrame | None = None
+
+    def close(self, x: str, y: str) -> str:
+        return f"least({x}.n, {y}.n) >= {self.similarity}D * greatest({x}.n, {y}.n) AND bit_count({x}.sig ^ {y}.sig) <= {self.differ}"
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets are similar."""
+        sa, sb = (self.sets.select(F.col("rep").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
+        met = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.expr("size(array_intersect(seta, setb))"))
+        return met.where(F.expr(f"i > 0 AND i >= {self.similarity}D * (size(seta) + size(setb) - i) - 1e-6")).select("a", "b")
+
+    def in_blocks(self, rows: DataFrame, group: str, name: str) -> DataFrame:
+        """Edges between the rows (key, rep, lab) of each key, but for pairs of its most frequent group."""
+        dealt = blocks(cored(rows, group, f"{name}-core").join(self.sets, "rep"), keep=("lab", "set"))
+        return saved(dealt.groupBy("key", "x", "y").applyInArrow(_forest(self.similarity), "a long, b long").distinct(), name)
+
+
+def counted(nodes: DataFrame) -> DataFrame:
+    """Nodes of the buckets that hold more than one set and are not done with, with the bucket's size.
+
+    Done: all its sets have one label, or all were compared where their largest bucket, the same for all, stands.
+    """
+    size = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.count("top").alias("tops"), F.min("top").alias("t0"), F.max("top").alias("t1"))
+    open_ = size.where("m > 1 AND l0 <> l1 AND NOT (tops = m AND t0 = t1)").select("key", "m")
+    return nodes.join(saved(open_, "cp-size"), "key")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def linked(join: Join, reps: DataFrame) -> DataFrame | None:
+    """(node, comp): the connected components among the sets (rep, n, sig, pool) that have a link; None without any link."""
+    nodes = reps.select("rep", "n", "sig", F.col("rep").alias("lab"), F.lit(None).cast("long").alias("top"), F.explode("pool").alias("key"))
+    live = saved(counted(nodes), "cp-live")
+    join.sets = saved(join.sets.join(live.select("rep").distinct().hint("merge"), "rep", "left_semi"), "cp-sets")  # grows with the input: never broadcast
+    leaves, big = [live.where(F.col("m") <= join.limit)], live.where(F.col("m") > join.limit)
+    edges: list[DataFrame] = []
+    tops = None
+    if big.limit(1).count():
+        # Each large bucket against its pivot.
+        pivots = saved(big.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep"), "rep", "n", "sig")).alias("p")), "cp-pivots")
+        met = big.alias("x").join(pivots, "key").where(F.expr(f"x.rep <> p.rep AND {join.close('x', 'p')}")).select(F.col("p.rep").alias("a"), F.col("x.rep").alias("b"))
+        edges.append(saved(join.exact(saved(met.distinct(), "cp-met")), "cp-edges"))
+        big = relabelled(big, edges)
+
+        # Sets that stand in large buckets with most of their choices are compared there.
+        stands = big.groupBy("rep", "lab").agg(F.count("*").alias("hot"), F.expr(f"transform(slice(sort_array(collect_list(struct(m, key)), false), 1, {TOPS}), x -> x.key)").alias("tops"))
+        tops = saved(stands.join(reps.select("rep", F.size("pool").alias("all")), "rep").where("hot >= 0.5 * all").select("rep", "lab", "tops"), "cp-tops")
+        at = tops.select("rep", "lab", F.explode("tops").alias("key"))
+        edges.append(join.in_blocks(at, "lab", "cp-dense"))
+        pools = saved(reps.select("rep", "pool").join(big.select("rep").distinct(), "rep", "left_semi"), "cp-pools")
+        whole = big.drop("lab", "top", "m").join(tops.select("rep", F.col("tops")[0].alias("top")), "rep", "left")
+        big = saved(counted(relabelled(whole, edges)), "cp-live")
+    for depth in range(1, DEPTH + 1):
+        if not big.limit(1).count():
+            break
+        # About 1.5 choices a set: enough that paths of similar sets live on, and those of sets that share little die out.
+        chosen = F.expr("filter(pool, t -> t <> key AND pmod(xxhash64(key, t), 1000000) < 1500000 / size(pool))")
+        paths = big.drop("m").join(pools, "rep").withColumn("t", F.explode(chosen)).select("rep", "n", "sig", "lab", "top", F.xxhash64("key", "t").alias("key"))
+        live = saved(counted(paths), "cp-live")
+        leaves.append(live.where(F.col("m") <= join.limit))
+        big = live.where(F.col("m") > join.limit)
+        if depth == DEPTH and big.limit(1).count():
+            rows = big.select("key", "rep", "lab", F.coalesce("top", "lab").alias("met")).distinct()
+            edges.append(join.in_blocks(rows, "met", "cp-last"))
+    leaf = union(leaves).select("key", "rep", "n", "sig", "lab")
+    shared = ""
+    if tops is not None:
+        leaf = leaf.join(tops.select("rep", "tops"), "rep", "left")
+        shared = " AND NOT coalesce(arrays_overlap(x.tops, y.tops), false)"
+    met = leaf.alias("x").join(leaf.alias("y"), F.expr(f"x.key = y.key AND x.rep < y.rep AND x.lab <> y.lab AND {join.close('x', 'y')}{shared}"))
+    edges.append(saved(join.exact(saved(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "cp-pairs")), "cp-edges"))
+    found = union(edges)
+    return components(found) if found.limit(1).count() else None
+
+
+def relabelled(rows: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """The rows with lab: the least set that their set is known to be connected with."""
+    found = union(edges)
+    if not found.limit(1).count():
+        return rows.withColumn("lab", F.col("rep"))
+    return rows.drop("lab").join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("lab", F.coalesce("comp", "rep")).drop("comp")
+
+
+def link_counts(join: Join, labelled: DataFrame, copies: DataFrame) -> DataFrame:
+    """(rep, links): the documents of other sets at that similarity, for the sets (rep, comp) of all classes."""
+    many = saved(labelled.groupBy("comp").agg(F.count("*").alias("many")), "cp-many")
+    within = saved(labelled.join(many, "comp").join(copies, "rep").join(join.sets, "rep"), "cp-within")
+    # The centre of a large class: the shingles that most of about CENTRE of its sets have. Any set would do.
+    drawn = within.where(f"many > {BLOCK} AND pmod(xxhash64(rep, 7), many) < {CENTRE}")
+    of = drawn.groupBy("comp").agg(F.count("*").alias("drawn"))
+    parts = drawn.select("comp", F.explode("set").alias("t")).groupBy("comp", "t").agg(F.count("*").alias("c"))
+    centre = saved(parts.join(of, "comp").where("2 * c > drawn").groupBy("comp").agg(F.collect_list("t").alias("centre")), "cp-centre")
+    i, half = F.expr("size(array_intersect(set, centre))"), (1 + join.similarity) / 2
+    core = F.coalesce(i >= half * (F.size("set") + F.size("centre") - i), F.lit(False))
+    rows = saved(within.join(centre, "comp", "left").withColumn("core", core).select(F.col("comp").alias("key"), "rep", "copies", "core", "set"), "cp-shells")
+    sums = saved(rows.groupBy("key").agg(F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("others"), F.sum(F.when(F.col("core"), F.col("copies"))).alias("core_copies")), "cp-sums")
+    rows = rows.join(sums, "key")
+    counts = blocks(rows, keep=("copies", "set")).groupBy("key", "x", "y").applyInArrow(_links(join.similarity), "rep long, links long")
+    inside = rows.where("core").select("rep", (F.col("core_copies") - F.col("copies")).alias("links"))
+    return saved(counts.unionByName(inside).groupBy("rep").agg(F.sum("links").alias("links")), "cp-links")
 
 
 def classes(
@@ -186,73 +311,27 @@ def classes(
     count_links: bool = True,
 ) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other documents at that similarity), n_shingles."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     choices = 1 / similarity
     runs = runs_for(recall, similarity, choices)
-    base = saved(source.mapInArrow(_choose(width, runs, choices), "doc_id long, sig long, k1 long, k2 long, n int, pool array<long>"), "cp-base")
-    groups = base.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
-    members = saved(base.select("doc_id", "n", "k1", "k2").join(groups, ["k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "cp-members")
-    reps = saved(base.where("n > 0").join(members.where("doc_id = rep AND n > 0").select("doc_id", "copies").distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "copies", "n", "sig", "pool").dropDuplicates(["rep"]), "cp-reps")
-
-    def counted(nodes: DataFrame) -> DataFrame:
-        """Nodes of buckets that hold more than one set, with the bucket's size."""
-        size = nodes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        return nodes.join(size, "key")
-
-    nodes = reps.select("rep", "n", "sig", F.explode("pool").alias("key"))
-    live = saved(counted(nodes), "cp-live")
-
-    # Sets that stand in large buckets with most of their choices: brute force where they stand, in blocks, in each of
-    # their TOPS largest buckets. Pairs that share one of those are done with.
-    hot = live.where(F.col("m") > limit).groupBy("rep").agg(F.count("*").alias("hot"), F.expr(f"transform(slice(sort_array(collect_list(struct(m, key)), false), 1, {TOPS}), x -> x.key)").alias("tops"))
-    dense = saved(hot.join(reps.select("rep", F.size("pool").alias("all")), "rep").where("hot >= 0.5 * all").select("rep", "tops"), "cp-dense")
-    live = live.join(dense, "rep", "left")
-    leaves, big = [live.where(F.col("m") <= limit)], live.where(F.col("m") > limit)
-    for depth in range(1, DEPTH + 1):
-        if not big.limit(1).count():
-            break
-        # About 1.5 choices a set: enough that paths of similar sets live on, and those of sets that share little die out.
-        chosen = F.expr("filter(pool, t -> t <> key AND pmod(xxhash64(key, t), 1000000) < 1500000 / size(pool))")
-        paths = big.drop("m").join(reps.select("rep", "pool"), "rep").withColumn("t", F.explode(chosen)).select("rep", "n", "sig", "tops", F.xxhash64("key", "t").alias("key"))
-        live = saved(counted(paths), "cp-live")
-        last = depth == DEPTH
-        leaves.append(live if last else live.where(F.col("m") <= limit))
-        big = live.where(F.col("m") > limit)
-        if last:
-            break
-    leaf = reduce(DataFrame.unionByName, leaves).select("key", "rep", "n", "sig", "tops")
-    # The sketch tells unlike sets apart: its bits differ with probability (1 - similarity) / 2 at most.
-    differ = 64 * (1 - similarity) / 2
-    most = math.ceil(differ + 5.7 * math.sqrt(differ))
-    close = f"least(x.n, y.n) >= {similarity}D * greatest(x.n, y.n) AND bit_count(x.sig ^ y.sig) <= {most} AND NOT coalesce(arrays_overlap(x.tops, y.tops), false)"
-    met = leaf.alias("x").join(leaf.alias("y"), F.expr(f"x.key = y.key AND x.rep < y.rep AND {close}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = saved(met.distinct(), "cp-pairs")
-
-    # Whole sets, once for all that any comparison needs.
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense.select("rep")).distinct()
-    text = source.withColumnRenamed("doc_id", "rep").join(wanted.hint("merge"), "rep", "left_semi")  # wanted grows with the input: never broadcast
-    sets = saved(text.mapInArrow(_sets(width), "rep long, set array<int>").dropDuplicates(["rep"]), "cp-sets")
-    edges: list[DataFrame] = []
-    if dense.limit(1).count():
-        stands = dense.select("rep", F.explode("tops").alias("key0"))
-        sizes = stands.groupBy("key0").agg(F.count("*").alias("many")).where("many > 1")
-        dealt = blocks(stands.join(sizes, "key0").join(sets, "rep"), "key0", "many")
-        edges.append(saved(dealt.groupBy("key", "x", "y").applyInArrow(_forest(similarity), "a long, b long").distinct(), "cp-edges"))
-    if pairs.limit(1).count():
-        sa, sb = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set{c}")) for c in "ab")
-        common = F.expr("size(array_intersect(seta, setb))")
-        exact = pairs.join(sa, "a").join(sb, "b").withColumn("i", common).where(F.expr(f"i > 0 AND i >= {similarity}D * (size(seta) + size(setb) - i) - 1e-6"))
-        edges.append(saved(exact.select("a", "b"), "cp-edges"))
-    if not edges:
-        return members.select("doc_id", F.col("rep").alias("class_id"), (F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
-    comps = components(reduce(DataFrame.unionByName, edges))
-    labelled = comps.withColumnRenamed("node", "rep")
+    base = saved(source.mapInArrow(_choose(width, runs, choices), "rid long, doc_id long, sig long, k1 long, k2 long, n int, pool array<long>, set array<int>"), "cp-base")
+    same = saved(base.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "cp-same")
+    members = base.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(same, ["k1", "k2"], "left")
+    members = saved(members.select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "cp-members")
+    one = members.where("rid = rep AND n > 0").select("rep", "copies")
+    reps = saved(base.select(F.col("rid").alias("rep"), "n", "sig", "pool").join(one, "rep"), "cp-reps")
+
+    join = Join(similarity, limit)
+    join.sets = base.select(F.col("rid").alias("rep"), "set")
+    labelled = linked(join, reps)
+    if labelled is None:
+        labelled = members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).limit(0)
+    labelled = labelled.withColumnRenamed("node", "rep")
     if count_links:
-        sizes = labelled.groupBy("comp").agg(F.count("*").alias("many"))
-        within = labelled.join(sizes, "comp").join(reps.select("rep", "copies"), "rep").join(sets, "rep")
-        links = blocks(within, "comp", "many").groupBy("key", "x", "y").applyInArrow(_links(similarity), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-        labelled = labelled.join(links, "rep", "left")
+        counts = link_counts(join, labelled, one)
+        labelled = saved(labelled.join(counts, "rep", "left"), "cp-labelled")
     else:
         labelled = labelled.withColumn("links", F.lit(0).cast("long"))
-    out = members.join(labelled, "rep", "left")
-    return out.select("doc_id", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    out = saved(members.join(labelled, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles")), "cp-out")
+    least = saved(out.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "cp-least")
+    return out.join(least, "class", "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), "n_links", "n_shingles")

@@ -54,7 +54,9 @@ def test_shards_are_gapless_and_keep_equal_texts(spark):
     assert shard.shard(frame(spark, ODD).limit(0), shards=4).count() == 0
 
 
-def test_classes_match_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 8])
+def test_classes_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # small blocks: centres, cores and pairs of blocks
     rnd = random.Random(3)
     texts = list(ODD)
     for _ in range(60):
@@ -64,6 +66,10 @@ def test_classes_match_brute_force(spark):
             for _ in range(rnd.randrange(3)):
                 w[rnd.randrange(len(w))] = "zz" + str(rnd.randrange(1000))
             texts.append(" ".join(w))
+    star = [rnd.choice("abcd") + str(i) for i in range(80)]  # copies near one text, but not near one another
+    texts += [" ".join([*star[: 2 * i], f"n{i}", *star[2 * i + 1 :]]) for i in range(1, 39)] + [" ".join(star)]
+    passage = [f"p{i}" for i in range(60)]  # a passage that unlike texts share
+    texts += [" ".join([*passage, *(f"q{i}v{j}" for j in range(25))]) for i in range(60)]
     got = {r.doc_id: r for r in jaccard.classes(frame(spark, texts)).collect()}
     x, row, _ = shingles(pa.array(texts, pa.string()))
     sets = [set(x[row == i].tolist()) for i in range(len(texts))]

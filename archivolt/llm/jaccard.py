@@ -180,11 +180,16 @@ def blocks(rows: DataFrame, *, keep: tuple[str, ...]) -> DataFrame:
     return mine.withColumn("p", F.explode(partners)).select("key", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.side").alias("side"), "rep", *keep)
 
 
-def cored(rows: DataFrame, group: str, name: str) -> DataFrame:
-    """The rows (key, rep, ...) with core: whether their `group` is the most frequent of their key, and the numbers of both."""
-    by = rows.groupBy("key", group).agg(F.count("*").alias("c"))
-    most = by.groupBy("key").agg(F.max_by(group, F.struct("c", group)).alias("most"), F.max("c").alias("cores"), (F.sum("c") - F.max("c")).alias("others"))
-    return rows.join(saved(most.where("others > 0"), name), "key").withColumn("core", F.col(group) == F.col("most")).drop("most")
+def cored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows (key, rep, lab, met, ...) of the keys that hold sets still to compare, with the key's size m, whether a row
+    is of its core, the most frequent `met`, and the numbers of core rows and others.
+
+    Rows of one `met` have been compared with one another, or are known to be connected, like rows of one `lab`.
+    """
+    by = rows.groupBy("key", "met").agg(F.count("*").alias("c"), F.min("lab").alias("l0"), F.max("lab").alias("l1"))
+    size = by.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("cores"), F.max_by("met", F.struct("c", "met")).alias("most"), F.min("l0").alias("l0"), F.max("l1").alias("l1"))
+    open_ = size.where("m > cores AND l0 <> l1").select("key", "m", "most", "cores", (F.col("m") - F.col("cores")).alias("others"))
+    return rows.join(saved(open_, name), "key").withColumn("core", F.col("met") == F.col("most")).drop("most")
 
 
 class Join:
@@ -206,33 +211,24 @@ class Join:
         met = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.expr("size(array_intersect(seta, setb))"))
         return met.where(F.expr(f"i > 0 AND i >= {self.similarity}D * (size(seta) + size(setb) - i) - 1e-6")).select("a", "b")
 
-    def in_blocks(self, rows: DataFrame, group: str, name: str) -> DataFrame:
-        """Edges between the rows (key, rep, lab) of each key, but for pairs of its most frequent group."""
-        dealt = blocks(cored(rows, group, f"{name}-core").join(self.sets, "rep"), keep=("lab", "set"))
+    def in_blocks(self, rows: DataFrame, name: str) -> DataFrame:
+        """Edges between the rows, as of `cored`, of each key, but for pairs of its core."""
+        dealt = blocks(rows.join(self.sets, "rep"), keep=("lab", "set"))
         return saved(dealt.groupBy("key", "x", "y").applyInArrow(_forest(self.similarity), "a long, b long").distinct(), name)
 
 
-def counted(nodes: DataFrame) -> DataFrame:
-    """Nodes of the buckets that hold more than one set and are not done with, with the bucket's size.
-
-    Done: all its sets have one label, or all were compared where their largest bucket, the same for all, stands.
-    """
-    size = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.count("top").alias("tops"), F.min("top").alias("t0"), F.max("top").alias("t1"))
-    open_ = size.where("m > 1 AND l0 <> l1 AND NOT (tops = m AND t0 = t1)").select("key", "m")
-    return nodes.join(saved(open_, "cp-size"), "key")
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
 def linked(join: Join, reps: DataFrame) -> DataFrame | None:
     """(node, comp): the connected components among the sets (rep, n, sig, pool) that have a link; None without any link."""
-    nodes = reps.select("rep", "n", "sig", F.col("rep").alias("lab"), F.lit(None).cast("long").alias("top"), F.explode("pool").alias("key"))
-    live = saved(counted(nodes), "cp-live")
+    nodes = reps.select("rep", "n", "sig", F.col("rep").alias("lab"), F.col("rep").alias("met"), F.explode("pool").alias("key"))
+    live = saved(cored(nodes, "cp-size"), "cp-live")
     join.sets = saved(join.sets.join(live.select("rep").distinct().hint("merge"), "rep", "left_semi"), "cp-sets")  # grows with the input: never broadcast
     leaves, big = [live.where(F.col("m") <= join.limit)], live.where(F.col("m") > join.limit)
     edges: list[DataFrame] = []
+    last: list[DataFrame] = []
     tops = None
     if big.limit(1).count():
         # Each large bucket against its pivot.
@@ -244,23 +240,28 @@ def linked(join: Join, reps: DataFrame) -> DataFrame | None:
         # Sets that stand in large buckets with most of their choices are compared there.
         stands = big.groupBy("rep", "lab").agg(F.count("*").alias("hot"), F.expr(f"transform(slice(sort_array(collect_list(struct(m, key)), false), 1, {TOPS}), x -> x.key)").alias("tops"))
         tops = saved(stands.join(reps.select("rep", F.size("pool").alias("all")), "rep").where("hot >= 0.5 * all").select("rep", "lab", "tops"), "cp-tops")
-        at = tops.select("rep", "lab", F.explode("tops").alias("key"))
-        edges.append(join.in_blocks(at, "lab", "cp-dense"))
+        at = tops.select("rep", "lab", F.col("lab").alias("met"), F.explode("tops").alias("key"))
+        edges.append(join.in_blocks(cored(at, "cp-dense-size"), "cp-dense"))
         pools = saved(reps.select("rep", "pool").join(big.select("rep").distinct(), "rep", "left_semi"), "cp-pools")
-        whole = big.drop("lab", "top", "m").join(tops.select("rep", F.col("tops")[0].alias("top")), "rep", "left")
-        big = saved(counted(relabelled(whole, edges)), "cp-live")
-    for depth in range(1, DEPTH + 1):
-        if not big.limit(1).count():
+        again = relabelled(big.select("rep", "n", "sig", "key"), edges).join(tops.select("rep", F.col("tops")[0].alias("top")), "rep", "left")
+        live = saved(cored(again.withColumn("met", F.coalesce("top", "lab")).drop("top"), "cp-size"), "cp-live")
+        big = live
+    for depth in range(DEPTH + 1):
+        # Where few sets are left beside the core, the bucket is done in one go: each row of the core goes out once.
+        few = (F.col("others") <= BLOCK) & (F.col("others") <= F.col("cores")) if depth < DEPTH else F.lit(True)
+        if depth or tops is not None:
+            last.append(big.where(few))
+            big = big.where(~few)
+        if depth == DEPTH or not big.limit(1).count():
             break
         # About 1.5 choices a set: enough that paths of similar sets live on, and those of sets that share little die out.
         chosen = F.expr("filter(pool, t -> t <> key AND pmod(xxhash64(key, t), 1000000) < 1500000 / size(pool))")
-        paths = big.drop("m").join(pools, "rep").withColumn("t", F.explode(chosen)).select("rep", "n", "sig", "lab", "top", F.xxhash64("key", "t").alias("key"))
-        live = saved(counted(paths), "cp-live")
+        paths = big.join(pools, "rep").withColumn("t", F.explode(chosen)).select("rep", "n", "sig", "lab", "met", F.xxhash64("key", "t").alias("key"))
+        live = saved(cored(paths, "cp-size"), "cp-live")
         leaves.append(live.where(F.col("m") <= join.limit))
         big = live.where(F.col("m") > join.limit)
-        if depth == DEPTH and big.limit(1).count():
-            rows = big.select("key", "rep", "lab", F.coalesce("top", "lab").alias("met")).distinct()
-            edges.append(join.in_blocks(rows, "met", "cp-last"))
+    if last:
+        edges.append(join.in_blocks(union(last).select("key", "rep", "lab", "core", "cores", "others"), "cp-last"))
     leaf = union(leaves).select("key", "rep", "n", "sig", "lab")
     shared = ""
     if tops is not None:

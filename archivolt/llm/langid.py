@@ -3,9 +3,11 @@
 An n-gram's masks at its slots, ANDed, give all languages that contain it (and some by accident). A text's n-grams are
 counted per language, the count is corrected by the filter's false-positive rate, and the largest decides.
 
-Edge cases: a null or empty text, or one without a letter, is `und` with score 0; a text whose n-grams no language
-contains gets the language with most training rows and score 0; ties go to the first language in order; rows without a
-language are not learned from; repeated rows are answered alike; with no training rows every text is `und`.
+Edge cases: a null or empty text, or one without a letter (of any plane of Unicode), is `und` with score 0; a text whose
+n-grams no language contains gets the language with most training rows and score 0; ties go to the first language in order;
+rows without a language or a text are not learned from, nor are those with a null id (it is held out); repeated rows are
+answered alike; very long texts are read whole; with no training rows every text is `und`; an empty table gives an empty
+result; columns in `keep` come through whatever their names, and the two new ones have the names that are asked for.
 """
 
 from __future__ import annotations
@@ -17,20 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import fold, portions, saved
+from .util import fold, free_name, portions, quoted, saved, typed
 
 ORDERS = (1, 2, 3)
-TRAIN_ROWS = 20_000  # labelled rows that the filters are learned from, by hash of the id
-GRAMS = 50_000  # n-grams per language in the filters, most frequent first
+TRAIN_ROWS = 20_000  # labelled rows that the filters are learned from, shared evenly by the languages, by hash of the id
+GRAMS = 50_000  # size of the model: n-grams per language in the filters, most frequent first
+SEEN = 3  # an n-gram that the training rows of a language hold fewer times is no evidence of it
 PORTION = 400_000  # bytes of text whose n-grams are held at once; a longer text stands alone
 LEAST_SHARE = 0.4  # a language contains an n-gram if its rate is at least so much of the largest rate
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LETTER = np.zeros(1 << 16, bool)
+_LETTER = np.zeros(0x110000, bool)
 
 
 def _letters() -> np.ndarray:
     if not _LETTER[97]:
-        _LETTER[:] = [chr(i).isalpha() for i in range(1 << 16)]
+        _LETTER[:] = [chr(i).isalpha() for i in range(len(_LETTER))]
     return _LETTER
 
 
@@ -38,7 +41,7 @@ def gram_keys(texts: list[str | None], orders: tuple[int, ...] = ORDERS) -> tupl
     """Keys of all n-grams of letters (words padded with a blank), and the row each comes from. Texts are lower-cased."""
     joined = "\0".join(["", *[(t or "").replace("\0", " ") for t in texts], ""]).lower()
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    letter = _letters()[points]
     row = np.cumsum(points == 0) - 1
     before = np.concatenate([[False], letter[:-1]])
     kept = letter | before | (points == 0)  # a blank after each word; the row mark also stands before the first
@@ -114,40 +117,45 @@ class Filters:
         return said, np.clip(score, 0, 1)
 
 
-def learn(docs: DataFrame, *, rows: int = TRAIN_ROWS, grams: int = GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters from rows with a language outside the held-out fold; at most about `rows` of them, by hash of the id."""
+def learn(docs: DataFrame, *, rows: int = TRAIN_ROWS, grams: int = GRAMS, seen: int = SEEN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
+    """Filters from rows with a language outside the held-out fold; at most about `rows` of them, by hash of the id.
+
+    Each language has the same share of them, so small ones are learned whole.
+    """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where((fold("id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rows / n * 1_000_000))
     docs_by = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     langs = sorted(docs_by)
     if not langs:
         return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.int64), "und")
+    most = -(-rows // len(langs))
+    if max(docs_by.values()) > most:
+        share = F.create_map(*[F.lit(x) for k, n in docs_by.items() for x in (k, min(1_000_000, most * 1_000_000 // n))])
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")])
     counts = saved(known.select("lang", "text").mapInArrow(_count, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "lang-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     peak = rate.groupBy("gram").agg(F.max("rate").alias("peak"))
-    kept = rate.join(peak, "gram").where((F.col("rate") >= LEAST_SHARE * F.col("peak")) & ((F.col("n") > 2) | (F.col("total") < 10_000)))
+    kept = rate.join(peak, "gram").where((F.col("rate") >= LEAST_SHARE * F.col("peak")) & (F.col("n") >= seen))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     picked = kept.withColumn("place", place).where(F.col("place") <= grams).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     owners, of = [], []
     for r in picked.collect():  # a row a language, at most `grams` numbers each
         owners.append(np.array(r["grams"], np.int64).view(np.uint64))
         of.append(np.full(len(r["grams"]), langs.index(r["lang"])))
+    if not owners:
+        owners, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     return Filters(langs, np.concatenate(owners), np.concatenate(of), max(langs, key=lambda x: (docs_by[x], x)))
 
 
-def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `keep`, lang_pred and score, for every row. Map only: no shuffle, whole texts."""
-    text = text_col if text_col in keep else "__text"  # whole rows carry the text once
+def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in `keep`, then the language and the score under `names`, for every row. Map only: no shuffle."""
+    text = text_col if text_col in keep else free_name([*keep, *names], "text")  # whole rows carry the text once
     share = docs.sparkSession.sparkContext.broadcast(filters)  # size set by GRAMS, the languages and `spare`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches, text, PORTION):
             said, score = share.value.decide(b[text].to_pylist())
-            yield pa.record_batch([*[b[c] for c in keep], pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.record_batch([*[b[c] for c in keep], pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
-    source = docs.select(*keep) if text == text_col else docs.select(*keep, F.col(text_col).alias(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return source.mapInArrow(run, schema)
+    source = quoted(docs, *keep) if text_col in keep else quoted(docs.withColumn(text, F.col(text_col)), *keep, text)
+    return source.mapInArrow(run, f"{typed(docs, *keep)}, `{names[0]}` string, `{names[1]}` double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,8 +42,26 @@ def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFram
 
 
 def fold(doc_id: str = "doc_id", parts: int = 5) -> Column:
-    """crc32(id as text) mod parts: 0 is held out."""
-    return F.crc32(F.col(doc_id).cast("string")) % parts
+    """crc32(id as text) mod parts: 0 is held out. A null id counts as the empty text, which is held out."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column in `taken` has it in any case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def typed(df: DataFrame, *names: str) -> str:
+    """The schema of the named columns as text."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in quoted(df, *names).schema)
+
+
+def quoted(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, whatever characters their names hold."""
+    return df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names])
 
 
 def input_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -6,8 +6,13 @@ all others get the (slightly negative) log-odds of being unremarkable. A linear
 become bits beyond what chance gives in a text of that length, are summed, and a logistic curve fitted on the training
 rows turns the sum into a probability.
 
+A tail of evidence is flat: beyond SURE the curve is 1 for any slope that labels give, so the sum is not carried further.
+
 Edge cases: null and empty texts have no segment and get the calibrated score of that; repeated rows are answered alike;
-several labels of one document count as toxic if one says so; without labels of both kinds every score is the toxic share.
+several labels of one document count as toxic if one says so; labels of a null id are not learned from (it is held out);
+without labels of both kinds every score is the toxic share (tiny if there is no label); equal scores are kept as they are;
+very long texts are read whole; an empty table gives an empty result; columns in `keep` come through whatever their names,
+and the new ones have the names that are asked for.
 """
 
 from __future__ import annotations
@@ -23,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import fold, portions, saved
+from .util import fold, free_name, portions, quoted, saved, typed
 
 TRAIN_ROWS = 20_000  # labelled rows used, by hash of the id
-LEXICON = 65_536  # most tokens that carry a score of their own, by z
-Z = 3.0
+Z = 3.0  # tokens that stand out less score as all others
+SURE = 60.0
 PRIOR = 0.1  # mass of the Dirichlet prior as a share of the training tokens
 _TOKEN = re.compile(r"\w+")
 
@@ -56,7 +61,7 @@ class Model:
     def excess(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Sum over segments of rate * score - ln(n), the best one even where it is negative."""
         each = sorted((self.rate * s - math.log(max(n, 1)) for _, _, s in found), reverse=True)
-        return min(60.0, each[0] + sum(x for x in each[1:] if x > 0)) if each else -math.log(max(n, 1)) - 1.0
+        return min(SURE, each[0] + sum(x for x in each[1:] if x > 0)) if each else -math.log(max(n, 1)) - 1.0
 
     def probability(self, n: int, found: list[tuple[int, int, float]]) -> float:
         x = self.offset + self.slope * self.excess(n, found)
@@ -96,7 +101,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"token": pa.array(names, pa.string()), "a": pa.array([toxic[w] for w in names], pa.int64()), "b": pa.array([clean[w] for w in names], pa.int64())})
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Model:
     """A model from at most about `rows` labelled documents outside the held-out fold."""
     known = labels.select(F.col("doc_id"), F.col("toxic")).where((fold() != 0) & F.col("toxic").isNotNull())
     n = known.count()
@@ -116,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, lexicon
     ya, yb = F.col("a") + prior, F.col("b") + prior
     odds = F.log(ya / (na + mass - ya)) - F.log(yb / (nb + mass - yb))
     strong = counts.select("token", "a", "b", odds.alias("s"), (odds / F.sqrt(1 / ya + 1 / yb)).alias("z")).where(F.col("z") >= Z)
-    top = strong.orderBy(F.desc("z"), "token").limit(lexicon).collect()  # at most `lexicon` rows
+    top = strong.select("token", "s", "a", "b").collect()  # tokens of at most about `rows` texts that stand out
     model.scores = {r["token"]: float(r["s"]) for r in top}
     ra, rb = (min(0.5, (sum(r[c] for r in top) + 0.5) / (n_ + 1)) for c, n_ in (("a", na), ("b", nb)))
     model.other = min(-1e-4, math.log((1 - ra) / (1 - rb)) - 0.02)
@@ -159,16 +164,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
-    """keep, score, n_passages and, if asked for, the passages as token ranges with scores. Map only, whole texts."""
+def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), spans: bool = False, names: tuple[str, str, str] = ("score", "n_passages", "passages")) -> DataFrame:
+    """keep, score, number of passages and, if asked for, the passages as token ranges with scores. Map only, whole texts."""
+    text = free_name([*keep, *names], "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = "score double, n_passages int" + (", passages array<struct<first:int,end:int,score:double>>" if spans else "")
+    extra = f"`{names[0]}` double, `{names[1]}` int" + (f", `{names[2]}` array<struct<first:int,end:int,score:double>>" if spans else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in portions(batches, "__text"):
+        for b in portions(batches, text):
             p, k, s = [], [], []
-            for t in b["__text"].to_pylist():
+            for t in b[text].to_pylist():
                 n, found = m.segments(t)
                 good = [x for x in found if m.rate * x[2] > math.log(max(n, 1))]
                 p.append(m.probability(n, found))
@@ -177,7 +183,6 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",),
             cols = [*[b[c] for c in keep], pa.array(p, pa.float64()), pa.array(k, pa.int32())]
             if spans:
                 cols.append(pa.array(s, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
-            yield pa.record_batch(cols, names=[*keep, "score", "n_passages", *["passages"] * spans])
+            yield pa.record_batch(cols, names=[*keep, *names[: 2 + spans]])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + extra
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return quoted(docs.withColumn(text, F.col("text")), *keep, text).mapInArrow(run, f"{typed(docs, *keep)}, {extra}")

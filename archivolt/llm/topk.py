@@ -6,9 +6,11 @@ attribute d, quantised to 2^BITS levels. A query adds the slices shifted by the
 carry-save bitmap arithmetic; the sum's slices are walked from the most significant downward to the k-th value, and the
 rows that the quantisation error leaves open at the boundary are scored exactly.
 
-Edge cases: null vectors and vectors with null or non-finite components, and rows without an id, take no part; shorter
-vectors count as padded with 0 (the empty vector scores 0); rows that repeat both id and vector are one row; a query
-never meets rows of its own id; ties go to the smaller id; an empty table or no query gives an empty result.
+Edge cases: null vectors and vectors with null or non-finite components, and rows without an id, take no part; components
+beyond REACH steps count as REACH steps, so that no sum leaves the range of a long; shorter vectors count as padded with 0
+(the empty vector scores 0); rows that repeat both id and vector are candidates as often as they stand there; where rows of
+a query's id differ, the least vector asks; a query never meets rows of its own id; ties go to the smaller id; an empty
+table or no query gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 from .util import saved
 
 BITS = 6
+REACH = 1 << 26
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    steps = lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(REACH)), F.lit(-REACH))
+    return F.transform(vector, lambda x: steps(x).cast("long"))
 
 
 def whole(vector: Column) -> Column:
@@ -122,9 +126,9 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
 
 def _search(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_r, out_s = [], [], []
+        out_q, out_r, out_s, out_c = [], [], [], []
         if rows.num_rows and queries.num_rows:
-            ids, v = rows["vec_id"].to_numpy(), _matrix(rows, "v")
+            ids, copies, v = rows["vec_id"].to_numpy(), rows["copies"].to_numpy(), _matrix(rows, "v")
             index, asked = Slices(v), _matrix(queries, "v")
             order = np.argsort(ids, kind="stable")
             for qid, q in zip(queries["vec_id"].to_numpy(), asked, strict=True):
@@ -134,8 +138,9 @@ def _search(k: int):
                 out_q.append(np.full(len(top), qid))
                 out_r.append(ids[found][top])
                 out_s.append(score[top])
+                out_c.append(copies[found][top])
         cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"query_id": cat(out_q), "vec_id": cat(out_r), "score": cat(out_s)})
+        return pa.table({"query_id": cat(out_q), "vec_id": cat(out_r), "score": cat(out_s), "copies": cat(out_c)})
 
     return run
 
@@ -154,18 +159,20 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score. row_block and query_block bound what one task holds; blocks are equal by hash."""
     v = F.col(vector_col)
-    # The shuffle of dropDuplicates is by id and vector: repeated rows meet, and partial sums take hot ones first.
+    # Repeated rows are one row of the index with a number of copies; partial counts take hot ones before the shuffle.
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("e")).where(F.col("vec_id").isNotNull() & whole(F.col("e")))
-    ints = saved(clean.select("vec_id", quantised(F.col("e"), scale).alias("v")).dropDuplicates(["vec_id", "v"]), "bsi-rows")
-    asked = F.col("vec_id") % query_every == 0
-    n, nq, dim = ints.agg(F.count("*"), F.count_if(asked), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    ints = saved(clean.select("vec_id", quantised(F.col("e"), scale).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "bsi-rows")
+    asking = ints.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, dim = ints.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    nq = asking.count()
     blocks = max(-(-n // row_block), min(least_blocks, -(-n // 64)), 1)
     query_blocks = max(-(-nq // query_block), 1)
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v")))
     spread = F.xxhash64("vec_id", "v")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = ints.select("vec_id", padded.alias("v"), F.pmod(spread, F.lit(blocks)).cast("int").alias("rb"), every(query_blocks).alias("qb"))
-    queries = ints.where(asked).select("vec_id", padded.alias("v"), F.pmod(spread, F.lit(query_blocks)).cast("int").alias("qb"), every(blocks).alias("rb"))
-    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    rows = ints.select("vec_id", "copies", padded.alias("v"), F.pmod(spread, F.lit(blocks)).cast("int").alias("rb"), every(query_blocks).alias("qb"))
+    queries = asking.select("vec_id", padded.alias("v"), F.pmod(spread, F.lit(query_blocks)).cast("int").alias("qb"), every(blocks).alias("rb"))
+    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(_search(k), "query_id long, vec_id long, score long, copies long")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies"), F.lit(k)))))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,8 +10,9 @@ cosine: the same pass counts the rarest words in stretches of twice the size tha
 where enough of them stand. As the check asks for those words, none that would pass it is missed, whatever its cosine.
 
 Edge cases: null and empty texts contain nothing; items without words match nothing; of repeated items each is reported;
-repeated rows are reported alike (ids once); items are worked on in blocks of ITEMS, so what is broadcast is bounded;
-without items or documents the result is empty.
+repeated rows are reported alike (an id once, with its best match; ties go to the larger cosine); rows with a null id are
+reported together under null; very long texts and items are read whole; items are worked on in blocks of ITEMS, so what is
+broadcast is bounded; without items or documents the result is empty; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -54,10 +55,13 @@ class Space:
 
     def finish(self, product: np.ndarray, omega: np.ndarray, rank: int, answers: float) -> None:
         """Latent vectors from Y = A'A Omega (Nystroem): A'A is about Y (Omega'Y)^-1 Y'."""
-        own = np.zeros((len(self.items), len(self.vocabulary)))
-        for k, (_, w) in enumerate(self.items):
-            np.add.at(own[k], w, self.idf[w])
-        y = product + own.T @ (own @ omega)
+        # The items' own part of A'A Omega: a sum over each item's words, added to each of them.
+        words = np.concatenate([w for _, w in self.items])
+        sizes = np.array([len(w) for _, w in self.items])
+        weighted = omega[words] * self.idf[words, None]
+        sums = np.add.reduceat(weighted, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        y = product.copy()
+        np.add.at(y, words, np.repeat(sums, sizes, axis=0) * self.idf[words, None])
         shift = 1e-8 * np.linalg.norm(y)
         y = y + shift * omega
         core = omega.T @ y
@@ -268,8 +272,11 @@ def leaks(
         counts = {r["term"]: r["n"] for r in df}
         space.idf = np.log((1 + counts.get(-1, 0) + len(space.items)) / (1 + np.array([counts.get(k, 0) for k in range(len(space.vocabulary))])))
         # Words of over a hundredth of all passages hardly tell one item from another; each item keeps its rarest ones.
-        kept = [np.sort(space.idf[np.unique(w)])[-min(len(np.unique(w)), KEPT)] for _, w in space.items]
-        space.idf = np.where(space.idf < min(FLOOR, *kept), 0.0, space.idf)
+        told = space.idf >= FLOOR
+        for _, w in space.items:
+            own_terms = np.unique(w)
+            told[own_terms[np.argsort(-space.idf[own_terms], kind="stable")[:KEPT]]] = True
+        space.idf = np.where(told, space.idf, 0.0)
         omega = np.random.default_rng(seed).standard_normal((len(space.vocabulary), rank + 8))
         weighted, noise = sc.broadcast(space), sc.broadcast(omega)
         sums = source.mapInArrow(_product(weighted, noise), "term long, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(rank + 8)]).alias("y")).collect()  # a row a term

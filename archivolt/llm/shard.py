@@ -3,10 +3,16 @@
 Built-in functions only. A level of the tree is a few scans of a compact table (no texts): one finds each node's widest
 dimension, the others narrow each node's weighted median by histograms of at most BINS bins a node, so what the driver
 sees is bounded by nodes x BINS rows. Rows of equal value are ordered by the text's checksum, so equal texts stay
-together unless the cut must go through them to keep the sizes near equal; then a row hash decides.
+together; a cut goes through a group of them only where the group holds more than `whole` of a shard's mean bytes, and then
+a row hash decides.
+
+A cut misses its place by at most half of what it must not go through: a document, or a group that stays whole. What a cut
+misses is shared by the shards below it, so a shard differs from the mean by at most the largest of those and the slack.
 
 Edge cases: a null text has size `overhead` and checksum 0; null metadata counts as the value 0; repeated rows are rows
-of their own; with fewer rows than shards some shards stay empty; an empty table gives an empty result.
+of their own; very long texts are documents like others; ties in all dimensions are broken by checksum and row hash; with
+fewer rows than shards some shards stay empty; an empty table gives an empty result; further columns, whatever their names,
+are not read, but for the dimensions.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ def code(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")), F.lit(0))
 
 
-def split_tree(base: DataFrame, dims: int, shards: int, slack: float) -> DataFrame:
+def split_tree(base: DataFrame, dims: int, shards: int, slack: float, whole: float = 0.25) -> DataFrame:
     """base: size, key (array of the dims' codes, then checksum, then row hash). Adds the column `shard`."""
     spark = base.sparkSession
     low, high = (F.array(*[f(F.col("key")[i]) for i in range(dims)]) for f in (F.min, F.max))
@@ -39,7 +45,7 @@ def split_tree(base: DataFrame, dims: int, shards: int, slack: float) -> DataFra
     if first["w"] is None:
         return node_rows.withColumn("shard", F.lit(0)).drop("node")
     extent = [max(1, b - a) for a, b in zip(first["lo"], first["hi"], strict=True)]
-    tolerance = slack * first["w"] / shards
+    tolerance, undivided = slack * first["w"] / shards, whole * first["w"] / shards
     leaves, start = {1: shards}, {1: 0}  # node -> shards below it, and the number of its first shard
     while any(n > 1 for n in leaves.values()):
         open_nodes = [n for n, k in leaves.items() if k > 1]
@@ -60,7 +66,7 @@ def split_tree(base: DataFrame, dims: int, shards: int, slack: float) -> DataFra
             for r in bins.collect():  # at most nodes x BINS rows
                 got[r["node"]].append((r["bin"], r["w"], r["a"], r["b"]))
             for n, s in todo.items():
-                _narrow(s, sorted(got[n]), tolerance, dims)
+                _narrow(s, sorted(got[n]), tolerance, undivided, dims)
         cuts = []
         for n in open_nodes:
             k = leaves.pop(n)
@@ -79,7 +85,7 @@ def split_tree(base: DataFrame, dims: int, shards: int, slack: float) -> DataFra
     return node_rows.join(F.broadcast(numbers), "node").drop("node")
 
 
-def _narrow(s: dict, bins: list[tuple], tolerance: float, dims: int) -> None:
+def _narrow(s: dict, bins: list[tuple], tolerance: float, undivided: float, dims: int) -> None:
     """One step of a node's weighted median: end at a bin's edge if near enough, else go into the bin that holds it."""
     before = 0
     for _, w, a, b in bins:
@@ -92,7 +98,7 @@ def _narrow(s: dict, bins: list[tuple], tolerance: float, dims: int) -> None:
         return
     under, over = s["need"] - before, before + w - s["need"]
     last = s["stage"] == dims + 1
-    if min(under, over) <= tolerance or (last and a == b):
+    if min(under, over) <= tolerance or (a == b and (last or (s["stage"] == dims and w <= undivided))):
         s["cut"].append((s["stage"], a if under <= over else b + 1))
         s["done"] = True
     elif a == b:  # one value: the next key of the order decides
@@ -120,13 +126,15 @@ def shard(
     lone = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(2**32))
     used = [d for d in dims if d in sized.columns]
     rows_in = saved(
-        sized.select(F.col(id_col).alias("doc_id"), "size", crc.alias("text_crc32"), F.xxhash64(text).alias("same"), F.array(*[code(sized, d) for d in used]).alias("dims"), lone.alias("lone")),
+        sized.select(F.col(id_col).alias("doc_id"), "size", crc.alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"), F.array(*[code(sized, d) for d in used]).alias("dims"), lone.alias("lone")),
         "kd-rows",
     )
-    # Equal texts get one place: the least codes of the group. Partial sums take hot groups before the shuffle.
-    places = rows_in.groupBy("same").agg(*[F.min(F.col("dims")[i]).alias(f"d{i}") for i in range(len(used))])
-    key = F.array(*[F.col(f"d{i}") for i in range(len(used))], F.col("text_crc32"), F.col("lone"))
-    base = saved(rows_in.join(places, "same").select("doc_id", "size", "text_crc32", key.alias("key")), "kd-base")
+    # Equal texts get one place: the least codes of the group. Partial sums take hot groups before the shuffle, and the
+    # written table leaves the join free to split them.
+    places = rows_in.groupBy("same").agg(F.count("*").alias("copies"), F.array(*[F.min(F.col("dims")[i]) for i in range(len(used))]).alias("place"))
+    places = saved(places.where("copies > 1").drop("copies"), "kd-places")
+    key = F.concat(F.coalesce("place", "dims"), F.array(F.col("text_crc32"), F.col("lone")))
+    base = saved(rows_in.join(places, "same", "left").select("doc_id", "size", "text_crc32", key.alias("key")), "kd-base")
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if shards is None:
         shards = max(1, -(-total // (target_bytes or 2**30)))

@@ -3,7 +3,13 @@
 Built-in functions only. Edge cases: a null text has size 0; a null source is a source of its own, last in order; a
 source whose documents are all empty has target 0 and keeps one (empty) copy of each document; repeated rows count each
 on their own and, as the draw depends on the id alone, fall alike; an empty table gives an empty result; other input
-columns pass through `emit` untouched.
+columns pass through `emit` untouched; very long texts are documents like others; sources of equal weight need no
+order but the code points of their names.
+
+The draws are independent, so a source's taken words miss its target by a sum of mean 0 and variance size^2 f (1 - f) over
+its documents (f: the fraction of a copy); the share that is missed shrinks as a source gets more documents.
+
+The table of sources (a row a source, two numbers) is ordered in one task; nothing else is.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ joined by one of . _ / + - (none need four then), and those continued over a bla
 hold one another the widest is the span.
 
 Edge cases: null and empty texts have no span and the hash of ''; repeated rows are answered alike; places are code
-points; runs of any length are matched without recursion; an empty table gives an empty result.
+points; runs of any length are matched without recursion, so very long texts are read whole; of matches that begin alike the
+order of the kinds decides, and values of equal score are accepted alike; an empty table gives an empty result; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

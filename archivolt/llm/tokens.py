@@ -7,7 +7,8 @@ character that is no piece by itself may be unknown at the least score minus 10,
 their bytes. Where no piece crosses from a word into a blank, words are counted one by one and remembered.
 
 Edge cases: null and empty texts have 0 tokens; repeated rows are answered alike; long texts are read whole, and the
-memory of words is emptied when it is full, which changes no result.
+memory of words is emptied when it is full, which changes no result; an empty table gives an empty result; further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,16 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm import decontam, jaccard, langid, mixing, shard
-from archivolt.llm.util import saved, table
+from archivolt.llm.util import free_name, saved, table
 
 SHARDS = 40
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a number of their own, written so that every use sees the same one, and that column's name."""
-    name = "row_key"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "row_key")
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), "stage-keyed"), name
 
 
@@ -32,18 +30,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.learn(docs)
     if not filters.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, filters, keep=tuple(docs.columns))
+    said = (free_name(docs.columns, "lang_pred"), free_name(docs.columns, "lang_score"))
+    found = langid.identify(docs, filters, keep=tuple(docs.columns), names=said)
     chance = 1.0 / len(filters.langs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= chance * 0.999)).drop("lang_pred", "score")
+    return found.where((F.col(said[0]) != "und") & (F.col(said[1]) >= chance * 0.999)).drop(*said)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: the one with the least id, null last. Ids may be null or repeat."""
     rows, key = keyed(docs)
-    found = jaccard.classes(rows, id_col=key, count_links=False).select(F.col("doc_id").alias(key), "class_id")
+    group = free_name(rows.columns, "class_id")
+    found = jaccard.classes(rows, id_col=key, count_links=False).select(F.col("doc_id").alias(key), F.col("class_id").alias(group))
     ids = rows.select(key, F.col("doc_id").isNull().alias("lacks"), "doc_id")
-    least = found.join(ids, key).groupBy("class_id").agg(F.min(F.struct("lacks", "doc_id", key)).alias("least"))
-    return rows.join(least.select(F.col(f"least.{key}").alias(key)), key, "left_semi").drop(key)
+    least = found.join(ids, key).groupBy(group).agg(F.min(F.struct("lacks", "doc_id", F.col(key).alias("row"))).alias("least"))
+    return rows.join(least.select(F.col("least.row").alias(key)), key, "left_semi").drop(key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,9 +46,12 @@ def _cut(text: Column, pattern: str, kind: str) -> Column:
     """Matches of a kind as structs: its place in the order, the length of the text before it, value, contexts."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    left = lambda i: F.regexp_extract(F.substring(F.element_at(gaps, i + 1), -40, 40), r"(?:([\p{L}_]+)(\s*[=:]\s*[\"']?)|([\p{L}_]+)\W{0,3})$", 0)
-    right = lambda i: F.substring(F.element_at(gaps, i + 2), 1, 1)
-    return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.length(F.element_at(gaps, i + 1)).alias("gap"), v.alias("value"), left(i).alias("left"), right(i).alias("right")))
+    # Zipped, so that the text is cut a fixed number of times, not once for each match.
+    pairs = F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    each = F.zip_with(pairs, F.slice(gaps, 2, 2_000_000_000), lambda p, n: F.struct(p["value"].alias("value"), p["gap"].alias("gap"), n.alias("next")))
+    left = lambda g: F.regexp_extract(F.substring(g, -40, 40), r"(?:([\p{L}_]+)(\s*[=:]\s*[\"']?)|([\p{L}_]+)\W{0,3})$", 0)
+    found = F.filter(each, lambda x: x["value"].isNotNull())
+    return F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.length(x["gap"]).alias("gap"), x["value"].alias("value"), left(x["gap"]).alias("left"), F.substring(x["next"], 1, 1).alias("right")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -135,7 +138,8 @@ def spans(
     token = F.col("kind").isin(*TOKENS)
     base_end, base_start = (F.when(~token, F.col(c)) for c in ("end", "start"))
     before = F.max(base_end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(base_start).over(order.rowsBetween(1, Window.unboundedFollowing))
+    backward = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"))  # a frame up to the end would be read anew for each row
+    after = F.min(base_start).over(backward.rowsBetween(Window.unboundedPreceding, -1))
     free = saved(placed.withColumn("before", before).withColumn("after", after).where(token & F.expr("coalesce(before, 0) <= start AND coalesce(after, end) >= end")).drop("before", "after"), "pii-free")
     own = F.when(F.col("kind") == "card", F.regexp_replace("value", "[ -]", "")).otherwise(F.col("value"))
     base = placed.where(~token)

@@ -93,8 +93,9 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 def next_page(toc: DataFrame) -> Column:
     """Exclusive end of each item's page range: the next page that is not null, or page + 1 for the last."""
-    w = Window.partitionBy("book").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    return F.coalesce(F.first("page", ignorenulls=True).over(w), F.col("page") + 1)
+    # Backward, as a frame up to the end of the book would be read anew for each item.
+    w = Window.partitionBy("book").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.last("page", ignorenulls=True).over(w), F.col("page") + 1)
 
 
 def section_of(chunks: DataFrame, toc: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
+from archivolt.operators.graph import found_phrases
 
 
 def word_terms(c: Column, pairs: bool = True) -> Column:
@@ -18,7 +23,8 @@ def word_terms(c: Column, pairs: bool = True) -> Column:
 
 def char_terms(c: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams within words padded by a blank; a padded word not longer than n gives itself once and stops."""
-    padded = F.transform(F.split(X.strip(F.lower(c)), f"{X.SPACE}+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    parts = F.filter(F.split(F.lower(c), f"{X.SPACE}+"), lambda w: w != "")
+    padded = F.transform(parts, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def grams(w: Column, n: int) -> Column:
         some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
@@ -27,16 +33,16 @@ def char_terms(c: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(low, high + 1)]))))
 
 
-def weights(units: DataFrame, terms: Column, features: int, sublinear: bool = False) -> tuple[DataFrame, DataFrame]:
+def weights(units: DataFrame, terms: Column, features: int, sublinear: bool = False, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(vocab: term, df, idf) and (unit, term, w): L2-normalised TF-IDF of the most frequent terms.
 
-    Ties of the vocabulary go to the smaller term. The term counts shuffle by (unit, term) with map-side sums; the
-    vocabulary has at most `features` rows.
+    Ties of the vocabulary go to the smaller term; it has at most `features` rows. Vocabulary, norms and index all need the
+    counted terms: with `save` (a table written and read back) the texts are cut into terms once.
     """
-    tf = units.select("unit", F.explode(terms).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    tf = save(counted(units, terms))
     total = units.select("unit").distinct().count()
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(features)
-    vocab = vocab.select("term", "df", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
+    vocab = save(vocab.select("term", "df", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")))
     return vocab, transform(tf, vocab, sublinear)
 
 
@@ -48,7 +54,9 @@ def transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataF
 
 
 def counted(units: DataFrame, terms: Column) -> DataFrame:
-    return units.select("unit", F.explode(terms).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    """(unit, term, tf). The units are dealt before they are cut: a text is smaller than its terms, and counts, norms and
+    joins by unit then stay where it is."""
+    return units.repartition("unit").select("unit", F.explode(terms).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -59,6 +67,20 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return score.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def zero_filled(found: DataFrame, asked: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """Ranked lists (qid, unit, score, rank) of less than k rows, or of none, filled with the least units at score 0.
+
+    asked: qid of every query. A list lacks k units at most, so the k least units of all serve every query.
+    """
+    least = [r[0] for r in units.select("unit").distinct().orderBy("unit").limit(k).collect()]  # k ids
+    some = F.array(*[F.lit(u) for u in least]) if least else F.array().cast(f"array<{dict(units.dtypes)['unit']}>")
+    have = found.groupBy("qid").agg(F.collect_list("unit").alias("have"))  # k units at most
+    short = asked.select("qid").distinct().join(have, "qid", "left").withColumn("have", F.coalesce("have", F.array().cast(f"array<{dict(found.dtypes)['unit']}>")))
+    lacking = short.where(F.size("have") < k).withColumn("more", F.slice(F.array_except(some, F.col("have")), F.lit(1), k - F.size("have")))
+    extra = lacking.select("qid", F.size("have").alias("n"), F.posexplode("more").alias("at", "unit"))
+    return found.unionByName(extra.select("qid", "unit", F.lit(0.0).alias("score"), (F.col("n") + F.col("at") + 1).alias("rank")))
+
+
 def fuse(legs: DataFrame, k: int = 60, top: int = 5) -> DataFrame:
     """Weighted reciprocal rank fusion of (leg, qid, unit, rank from 1, weight); ties by leg, then rank."""
     score = legs.groupBy("qid", "unit").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("leg", "rank")).alias("first"))
@@ -66,13 +88,42 @@ def fuse(legs: DataFrame, k: int = 60, top: int = 5) -> DataFrame:
     return score.withColumn("rank", rank).where(F.col("rank") <= top).select("qid", "unit", "score", "rank")
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine of stored vectors: queries (few, checked by the planner's own broadcast limit) against all rows."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df: df.withColumn("len", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    q = unit(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("len").alias("qlen"))
-    s = unit(vectors).join(q, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("len") * F.col("qlen")), 6).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of unit length; a zero vector stays zero."""
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """qid, vec_id, score, rank: cosine of all vectors but a query's own, k best of each query; ties to the smaller id.
+
+    Queries go in blocks of about `block`, so what is broadcast is bounded; a block is one pass over the vectors, each batch
+    a matrix product that keeps k rows a query. Null vectors take no part.
+    """
+    spark, sc = vectors.sparkSession, vectors.sparkSession.sparkContext
+    asked = queries.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    parts = max(1, -(-asked.count() // block))
+    found = spark.createDataFrame([], "qid long, vec_id long, score double")
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()  # about `block` rows
+        if not own.num_rows:
+            continue
+        held = sc.broadcast((own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q = held.value
+            for b in batches:
+                unit = b["vec_id"].to_numpy()
+                score = np.round(q @ _matrix(b["embedding"]).T, 6) + 0.0
+                score[ids[:, None] == unit[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(unit, score.shape), -score), axis=1)[:, :k]
+                top = np.take_along_axis(score, order, axis=1)
+                good = top > -np.inf
+                yield pa.record_batch([np.broadcast_to(ids[:, None], order.shape)[good], unit[order][good], top[good]], names=["qid", "vec_id", "score"])
+
+        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+        found = found.unionByName(rows.mapInArrow(run, found.schema))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def gold_metrics(rankings: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -122,14 +173,13 @@ def place_candidates(scored: DataFrame, wanted: DataFrame, postings: DataFrame,
     return narrow.unionByName(scored.join(w.where("NOT filtered").select("qid"), "qid", "left_semi"))
 
 
-def weak_metrics(rankings: DataFrame, questions: DataFrame, units: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """hit@k, recall@k and MRR with weak labels: a unit is relevant if it holds the question's anchor or a keyword.
+def weak_metrics(rankings: DataFrame, questions: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """hit@k, recall@k and MRR with weak labels. relevant: (qid, unit), once each, as of `labelled`.
 
-    questions: qid, anchor, keywords. recall@k divides by min(min(max(gold, 1), 20), k).
+    questions: qid. recall@k divides by min(min(max(gold, 1), 20), k).
     """
-    holds = lambda t: F.contains(t, F.col("anchor")) | F.exists("keywords", lambda w: F.contains(t, w))
-    gold = questions.join(units, holds(F.col("text"))).groupBy("qid").agg(F.count("*").alias("gold"))
-    hit = rankings.join(units, "unit").join(questions, "qid").where(holds(F.col("text"))).groupBy("qid")
+    gold = relevant.groupBy("qid").agg(F.count("*").alias("gold"))
+    hit = rankings.join(relevant.select("qid", "unit"), ["qid", "unit"], "left_semi").groupBy("qid")
     hit = hit.agg(F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"rel_{k}") for k in ks])
     q = questions.select("qid").join(gold, "qid", "left").join(hit, "qid", "left")
     top = lambda k: F.least(F.least(F.greatest(F.coalesce("gold", F.lit(0)), F.lit(1)), F.lit(20)), F.lit(k))
@@ -144,9 +194,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "method") -> DataFrame:
 
 
 def labelled(questions: DataFrame, units: DataFrame) -> DataFrame:
-    """qid, unit, by_anchor for each unit that holds a question's anchor or a keyword of it."""
-    a = F.contains("text", F.col("anchor"))
-    return questions.join(units, a | F.exists("keywords", lambda w: F.contains("text", w))).select("qid", "unit", a.alias("by_anchor"))
+    """qid, unit, by_anchor, once for each unit that holds a question's anchor or a keyword of it: equi-joins on phrases."""
+    parts = questions.select("qid", F.explode(F.concat(F.array(F.struct(F.col("anchor").alias("part"), F.lit(True).alias("a"))), F.transform("keywords", lambda w: F.struct(w.alias("part"), F.lit(False).alias("a"))))).alias("p"))
+    met = found_phrases(units.select(F.col("unit").alias("doc_id"), "text"), parts.select(F.struct("qid", "p.a").alias("eid"), "p.part"))
+    return met.groupBy(F.col("eid.qid").alias("qid"), F.col("doc_id").alias("unit")).agg(F.max("eid.a").alias("by_anchor"))
+
+
+def holders(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """(qid, unit) of the units that hold the question's anchor, null for a question that none holds."""
+    met = found_phrases(units.select(F.col("unit").alias("doc_id"), "text"), questions.select(F.col("qid").alias("eid"), F.col("anchor").alias("part")))
+    return questions.select("qid").join(met.select(F.col("eid").alias("qid"), F.col("doc_id").alias("unit")), "qid", "left")
+
+
+def ablation(metrics: DataFrame, base: str) -> DataFrame:
+    """(method, …, mrr) with the delta of the MRR to that of the method `base`; methods are few."""
+    of = F.max(F.when(F.col("method") == base, F.col("mrr"))).over(Window.partitionBy(F.lit(0)))
+    return metrics.select("*", F.round(F.col("mrr") - of, 4).alias("delta"))
 
 
 def gold(questions: DataFrame, units: DataFrame, most: int = 20) -> DataFrame:

@@ -10,8 +10,9 @@ from archivolt.operators import chunks as C
 from archivolt.operators import graph as K
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
-from archivolt.plans.registry import HAV, LEGS_SQL, LETTER, QUERIES, SEARCH_SQL, SITE, SQL, STRIP, TERMS, TF_SQL, UNITS, docs, points, query, search, sites
+from archivolt.plans.registry import CHAR, HAV, LEGS_SQL, LETTER, QUERIES, SEARCH_SQL, SITE, SQL, STRIP, TERMS, UNITS, char_search, docs, points, query, search, search_sql, sites, text_units, tf_sql
 from archivolt.sources import tables as S
+from archivolt.sources.shared import saved
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -79,16 +80,16 @@ def c13(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
-FIELD_UNITS = "units AS (SELECT doc_id AS unit, concat_ws(' ', source, lang, substr(text, 1, 60)) AS text FROM documents)"
+FIELD_UNITS = "units AS (SELECT doc_id AS unit, concat_ws(' ', nullif(source, 'src0'), lang) AS text FROM documents)"
 
 
 def field_units(spark, d):
-    return docs(spark, d).select(F.col("doc_id").alias("unit"), F.concat_ws(" ", "source", "lang", F.substring("text", 1, 60)).alias("text"))
+    return docs(spark, d).select(F.col("doc_id").alias("unit"), F.concat_ws(" ", F.nullif("source", F.lit("src0")), "lang").alias("text"))
 
 
-@query("r3_field_tfidf", f"WITH {FIELD_UNITS}, {TF_SQL.replace('LIMIT 8000', 'LIMIT 2000')} SELECT unit, term, round(w, 6) AS w FROM ix")
+@query("r3_field_tfidf", f"WITH {FIELD_UNITS}, {tf_sql(*CHAR, 2000)} SELECT unit, term, round(w, 6) AS w FROM ix")
 def r3(spark, d):
-    return R.weights(field_units(spark, d), R.word_terms(F.col("text")), 2000)[1].select("unit", "term", F.round("w", 6).alias("w"))
+    return R.weights(field_units(spark, d), R.char_terms(F.col("text")), 2000, True, saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
 
 
 @query("r6_place_candidates", f"""WITH {UNITS}, {SEARCH_SQL}, pl AS (SELECT place, doc_id AS unit FROM documents, (SELECT unnest(['and', 'the', 'une', 'der', 'que']) AS place) WHERE contains(text, place)),
@@ -101,18 +102,38 @@ def r6(spark, d):
     return R.place_candidates(search(spark, d, 40), wanted, tagged).select("qid", "unit", "rank", "score")
 
 
-@query("r9_hybrid", f"""WITH a AS (WITH {UNITS}, {SEARCH_SQL} SELECT 0 AS leg, qid, unit, rank, 1.0::DOUBLE AS weight FROM rk WHERE rank <= 40),
-b AS (WITH {FIELD_UNITS}, {SEARCH_SQL.replace('LIMIT 8000', 'LIMIT 2000')} SELECT 1 AS leg, qid, unit, rank, 0.5::DOUBLE AS weight FROM rk WHERE rank <= 40), l AS (FROM a UNION ALL FROM b),
-m AS (SELECT qid, count(DISTINCT leg) AS legs, min(leg) AS lo, count(*) AS n FROM l GROUP BY qid),
-f AS (SELECT qid, unit, CASE WHEN any_value(legs) = 1 THEN (max(n) - min(rank))::DOUBLE ELSE round(sum(weight / (60 + rank)), 9) END AS score, min(struct_pack(leg := leg, rank := rank)) AS first, CASE WHEN any_value(legs) = 2 THEN 'word+field' WHEN any_value(lo) = 0 THEN 'word' ELSE 'field' END AS mode FROM l JOIN m USING (qid) GROUP BY qid, unit),
+LEG_NAMES = ("char", "word", "dense", "field")
+
+
+def leg_sql(number: int, units: str, searched: str, weight: float) -> str:
+    return f"SELECT {number}::INTEGER AS leg, qid, unit, rank, {weight}::DOUBLE AS weight FROM (WITH {units}, {searched} SELECT qid, unit, rank FROM rk WHERE rank <= 40)"
+
+
+# The questions' vectors are those whose id is an item's; the units' are those whose id is a document's.
+DENSE_SQL = """SELECT 2::INTEGER AS leg, qid, unit, rank, 1.0::DOUBLE AS weight FROM (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit)::INTEGER AS rank FROM
+(SELECT q.vec_id AS qid, v.vec_id AS unit, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v JOIN documents ON doc_id = v.vec_id JOIN embeddings q ON q.vec_id <> v.vec_id JOIN benchmark ON item_id = q.vec_id)) WHERE rank <= 40"""
+LEGS = {0: leg_sql(0, UNITS, search_sql(*CHAR, 3000), 1.0), 1: leg_sql(1, UNITS, SEARCH_SQL, 1.0), 2: DENSE_SQL, 3: leg_sql(3, FIELD_UNITS, search_sql(*CHAR, 2000), 0.5)}
+NAMES_SQL = "[" + ", ".join(f"'{x}'" for x in LEG_NAMES) + "]"
+
+
+def leg(spark, d, name):
+    """(leg, qid, unit, rank, weight) of a leg's 40 best units of each item."""
+    if name == "dense":
+        e = S.table(spark, d, "embeddings").select("vec_id", "embedding")
+        units = e.join(docs(spark, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        asked_ = e.join(S.table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+        found = R.dense_top_k(units, asked_, 40).withColumnRenamed("vec_id", "unit")
+    else:
+        found = {"char": lambda: char_search(spark, d, 40), "word": lambda: search(spark, d, 40), "field": lambda: char_search(spark, d, 40, field_units(spark, d), 2000)}[name]()
+    return found.select(F.lit(LEG_NAMES.index(name)).alias("leg"), "qid", "unit", "rank", F.lit(0.5 if name == "field" else 1.0).alias("weight"))
+
+
+@query("r9_hybrid", f"""WITH l AS ({LEGS[0]} UNION ALL {LEGS[1]} UNION ALL {LEGS[3]}),
+m AS (SELECT qid, list_sort(list_distinct(list(leg))) AS has, count(*) AS n FROM l GROUP BY qid),
+f AS (SELECT qid, unit, CASE WHEN len(any_value(has)) = 1 THEN (max(n) - min(rank))::DOUBLE ELSE round(sum(weight / (60 + rank)), 9) END AS score, min(struct_pack(leg := leg, rank := rank)) AS first, array_to_string(list_transform(any_value(has), lambda i: {NAMES_SQL}[i + 1]), '+') AS mode FROM l JOIN m USING (qid) GROUP BY qid, unit),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, unit)::INTEGER AS rank FROM f) SELECT qid, unit, score, rank, mode, source FROM r JOIN documents ON doc_id = unit WHERE rank <= 5""")
 def r9(spark, d):
-    terms = R.word_terms(F.col("text"))
-    vocab, index = R.weights(field_units(spark, d), terms, 2000)
-    bench = S.table(spark, d, "benchmark").select(F.col("item_id").alias("unit"), "text")
-    field = R.top_k(index, R.transform(R.counted(bench, terms), vocab), 40)
-    leg = lambda x, n, w: x.select(F.lit(n).alias("leg"), "qid", "unit", "rank", F.lit(w).alias("weight"))
-    top = R.hybrid(leg(search(spark, d, 40), 0, 1.0).unionByName(leg(field, 1, 0.5)), ("word", "field"))
+    top = R.hybrid(leg(spark, d, "char").unionByName(leg(spark, d, "word")).unionByName(leg(spark, d, "field")), LEG_NAMES)
     return top.join(docs(spark, d).select(F.col("doc_id").alias("unit"), "source"), "unit").select("qid", "unit", "score", "rank", "mode", "source")
 
 
@@ -136,10 +157,6 @@ def asked(spark, d):
     return S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 21, 40).alias("anchor"), F.array(F.substring("text", 61, 25), F.substring("text", 101, 25)).alias("keywords"))
 
 
-def text_units(spark, d):
-    return docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
-
-
 @query("e1_gold", f"WITH {GOLD_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY unit) AS i FROM h WHERE k) SELECT qid, count_if(a)::BIGINT AS by_anchor, string_agg(unit::VARCHAR, ',' ORDER BY unit) FILTER (i <= 20) AS by_keyword FROM r GROUP BY qid")
 def e1(spark, d):
     return R.gold(asked(spark, d), text_units(spark, d)).select("qid", "by_anchor", F.array_join("by_keyword", ",").alias("by_keyword"))
@@ -152,28 +169,47 @@ WEAK = f"WITH rk AS (WITH {UNITS}, {SEARCH_SQL} SELECT qid, unit, rank FROM rk W
 
 @query("e2_weak_metrics", WEAK + "SELECT count(*) AS questions, " + ", ".join(f"round(avg((coalesce(r{k}, 0) > 0)::INT), 4) AS hit_{k}, round(avg(coalesce(r{k}, 0) / least(greatest(gold, 1), 20, {k})), 4) AS recall_{k}" for k in (1, 3, 5)) + ", round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr FROM w")
 def e2(spark, d):
-    return R.weak_metrics(search(spark, d), asked(spark, d), text_units(spark, d))
+    q = asked(spark, d)
+    return R.weak_metrics(search(spark, d), q, saved(R.labelled(q, text_units(spark, d))))
 
 
 @query("e10_unmatched", WEAK + "SELECT qid, gold FROM w WHERE first IS NULL")
 def e10(spark, d):
-    q, u = asked(spark, d), text_units(spark, d)
-    gold = R.labelled(q, u).select("qid", "unit")
+    q = asked(spark, d)
+    gold = saved(R.labelled(q, text_units(spark, d)).select("qid", "unit"))
     found = search(spark, d).join(gold, ["qid", "unit"], "left_semi").select("qid").distinct()
     return q.select("qid").join(gold.groupBy("qid").agg(F.count("*").alias("gold")), "qid", "left").join(found, "qid", "left_anti").select("qid", F.coalesce("gold", F.lit(0)).alias("gold"))
 
 
-ABLATION_SQL = WEAK.rstrip() + ", m AS (SELECT 'all' AS method, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr FROM w UNION ALL SELECT 'gold_only', round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) FROM w WHERE gold > 0) "
+@query("e4_gold_only", f"""WITH g AS (SELECT b.item_id AS qid, d.doc_id AS unit FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 21, 40))), rk AS (WITH {UNITS}, {SEARCH_SQL} SELECT qid, unit, rank FROM rk WHERE rank <= 5),
+h AS (SELECT g.qid, min(rk.rank) AS r FROM g LEFT JOIN rk ON rk.qid = g.qid AND rk.unit = g.unit GROUP BY g.qid)
+SELECT count(*) AS questions, """ + ", ".join(f"round(avg((coalesce(r, 99) <= {k})::INT), 4) AS hit_{k}" for k in (1, 3, 5)) + ", round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM h")
+def e4(spark, d):
+    return R.gold_metrics(search(spark, d), R.holders(asked(spark, d), text_units(spark, d)).where("unit IS NOT NULL"))
+
+
+METHODS = {"char": (0,), "word": (1,), "dense": (2,), "char+word": (0, 1), "char+dense": (0, 2), "char+word+dense": (0, 1, 2)}
+METHODS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS method, {i} AS leg" for name, legs in METHODS.items() for i in legs)
 
 
-@query("e5_ablation", ABLATION_SQL + "SELECT method, mrr, round(mrr - (SELECT mrr FROM m WHERE method = 'all'), 4) AS delta FROM m")
+@query("e5_ablation", f"""WITH l AS ({LEGS[0]} UNION ALL {LEGS[1]} UNION ALL {LEGS[2]}), c AS ({METHODS_SQL}),
+g AS (SELECT b.item_id AS qid, d.doc_id AS unit FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 21, 40))),
+f AS (SELECT method, qid, unit, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(leg := leg, rank := rank)) AS first FROM l JOIN c USING (leg) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY method, qid ORDER BY score DESC, first, unit) AS rank FROM f),
+ms AS (SELECT DISTINCT method FROM c),
+h AS (SELECT ms.method, g.qid, min(rk.rank) AS r FROM g CROSS JOIN ms LEFT JOIN rk ON rk.method = ms.method AND rk.qid = g.qid AND rk.unit = g.unit AND rk.rank <= 5 GROUP BY ALL),
+m AS (SELECT method, """ + ", ".join(f"round(avg((coalesce(r, 99) <= {k})::INT), 4) AS hit_{k}" for k in (1, 3, 5)) + ", round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM h GROUP BY method) SELECT method, hit_1, hit_3, hit_5, mrr, round(mrr - (SELECT mrr FROM m WHERE method = 'char'), 4) AS delta FROM m")
 def e5(spark, d):
-    q, u, ranked = asked(spark, d), text_units(spark, d), search(spark, d)
-    with_gold = q.join(R.labelled(q, u).select("qid").distinct(), "qid", "left_semi")  # the variant without empty gold
-    parts = [R.weak_metrics(ranked, x, u).select(F.lit(n).alias("method"), "mrr") for n, x in (("all", q), ("gold_only", with_gold))]
-    rows = parts[0].unionByName(parts[1])
-    base = rows.where("method = 'all'").select(F.col("mrr").alias("base"))
-    return rows.join(F.broadcast(base), F.col("method").isNotNull()).select("method", "mrr", F.round(F.col("mrr") - F.col("base"), 4).alias("delta"))
+    gold = saved(R.holders(asked(spark, d), text_units(spark, d)))
+    legs = {i: saved(leg(spark, d, LEG_NAMES[i]).withColumn("weight", F.lit(1.0))) for i in (0, 1, 2)}
+    rows = None
+    for name, of in METHODS.items():
+        both = legs[of[0]]
+        for i in of[1:]:
+            both = both.unionByName(legs[i])
+        one = R.gold_metrics(R.fuse(both), gold).select(F.lit(name).alias("method"), "hit_1", "hit_3", "hit_5", "mrr")
+        rows = one if rows is None else rows.unionByName(one)
+    return R.ablation(rows, "char")
 
 
 @query("e11_upsert", "SELECT n_name AS method, n_regionkey AS value FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 4 = 0) UNION ALL SELECT n_name, -1 FROM nation WHERE n_nationkey % 4 = 0")

@@ -14,6 +14,7 @@ from archivolt.plans.further import QUERIES, SQL
 from archivolt.plans.further import VERDICT_SQL as JUDGED_SQL
 from archivolt.plans.registry import SEARCH_SQL, UNITS, docs, query
 from archivolt.sources import tables as S
+from archivolt.sources.shared import saved
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -80,11 +81,11 @@ SELECT count(*) AS questions, round(avg((coalesce(r, 99) <= 1)::INT), 4) AS hit_
 def e6(spark, d):
     x, b = docs(spark, d), S.table(spark, d, "benchmark")
     anchor = b.select(F.col("item_id").alias("eid"), F.substring("text", 21, 40).alias("part"))
-    gold = K.found_phrases(x, anchor).join(anchor, "eid").select(F.col("eid").alias("qid"), F.col("doc_id").alias("unit"), "part")
+    gold = saved(K.found_phrases(x, anchor).join(anchor, "eid").select(F.col("eid").alias("qid"), F.col("doc_id").alias("unit"), "part"))
     latest_first = F.sort_array(F.collect_list(F.struct("qid", "part")), asc=False)
     prefix = gold.groupBy("unit").agg(F.array_join(F.transform(latest_first, lambda r: r["part"]), " ").alias("prefix"))
     units, terms = x.select(F.col("doc_id").alias("unit"), "text"), R.word_terms(F.col("text"))
-    vocab, _ = R.weights(units, terms, 8000)
+    vocab, _ = R.weights(units, terms, 8000, save=saved)
     told = units.join(prefix, "unit", "left").select("unit", F.concat_ws(" ", "prefix", "text").alias("text"))
     asked = b.select(F.col("item_id").alias("unit"), "text")
     ranked = R.top_k(R.transform(R.counted(told, terms), vocab), R.transform(R.counted(asked, terms), vocab), 5)

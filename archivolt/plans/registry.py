@@ -13,6 +13,7 @@ from archivolt.operators import graph as K
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
 from archivolt.sources import tables as S
+from archivolt.sources.shared import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -188,35 +189,64 @@ def c5(spark, d):
     return C.section_of(x.select(F.col("source").alias("book"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).cast("int").alias("page")), toc)
 
 
-TF_SQL = r"""w AS (SELECT unit, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM units),
-x AS (SELECT unit, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w),
+WORD_LIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+WORD_TERMS = "list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)"
+CHAR_LIST = "list_transform(list_filter(string_split_regex(lower(text), '{SP}+'), lambda p: p <> ''), lambda p: ' ' || p || ' ')"
+CHAR_TERMS = "flatten(list_transform(w, lambda p: list_concat(" + ", ".join(f"list_transform(range(1, length(p) - {n - 2}), lambda i: substr(p, i, {n}))" for n in (2, 3, 4)) + ")))"
+
+
+def tf_sql(listed: str = WORD_LIST, terms: str = WORD_TERMS, tf: str = "tf", most: int = 8000) -> str:
+    """Counts, vocabulary, norms and index over `units`."""
+    return f"""w AS (SELECT unit, {listed} AS w FROM units), x AS (SELECT unit, unnest({terms}) AS term FROM w),
 tf AS (SELECT unit, term, count(*) AS tf FROM x GROUP BY ALL),
-v AS (SELECT term, sum(tf) AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term LIMIT 8000),
+v AS (SELECT term, sum(tf) AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term LIMIT {most}),
 i AS (SELECT term, df, ln((1 + (SELECT count(*) FROM units)) / (1 + df)) + 1 AS idf FROM v),
-raw AS (SELECT unit, term, tf * idf AS x FROM tf JOIN i USING (term)), nrm AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM raw GROUP BY unit),
+raw AS (SELECT unit, term, {tf} * idf AS x FROM tf JOIN i USING (term)), nrm AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM raw GROUP BY unit),
 ix AS (SELECT unit, term, x / norm AS w FROM raw JOIN nrm USING (unit))"""
-UNITS = r"units AS (SELECT doc_id AS unit, text FROM documents)"
-SEARCH_SQL = TF_SQL + r""",
-qx AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM benchmark),
-qt AS (SELECT qid, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM qx),
-qf AS (SELECT qid, term, count(*) AS tf FROM qt GROUP BY ALL), qr AS (SELECT qid, term, tf * idf AS x FROM qf JOIN i USING (term)),
+
+
+def search_sql(listed: str = WORD_LIST, terms: str = WORD_TERMS, tf: str = "tf", most: int = 8000) -> str:
+    """The ranked lists rk of the benchmark's items over `units`."""
+    return tf_sql(listed, terms, tf, most) + f""",
+qx AS (SELECT item_id AS qid, {listed} AS w FROM benchmark), qt AS (SELECT qid, unnest({terms}) AS term FROM qx),
+qf AS (SELECT qid, term, count(*) AS tf FROM qt GROUP BY ALL), qr AS (SELECT qid, term, {tf} * idf AS x FROM qf JOIN i USING (term)),
 qn AS (SELECT qid, sqrt(sum(x * x)) AS norm FROM qr GROUP BY qid), q AS (SELECT qid, term, x / norm AS qw FROM qr JOIN qn USING (qid)),
 sc AS (SELECT qid, unit, round(sum(w * qw), 6) AS score FROM ix JOIN q USING (term) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit)::INTEGER AS rank FROM sc)"""
 
 
-def search(spark, d, k=5):
-    units = docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
-    terms = R.word_terms(F.col("text"))
-    vocab, index = R.weights(units, terms, 8000)
-    bench = S.table(spark, d, "benchmark").select(F.col("item_id").alias("unit"), "text")
-    return R.top_k(index, R.transform(R.counted(bench, terms), vocab), k)
+UNITS = "units AS (SELECT doc_id AS unit, text FROM documents)"
+TF_SQL, SEARCH_SQL = tf_sql(), search_sql()
+CHAR = (CHAR_LIST, CHAR_TERMS, "(1 + ln(tf))")
+
+
+def text_units(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
+
+
+def questions(spark, d):
+    return S.table(spark, d, "benchmark").select(F.col("item_id").alias("unit"), "text")
+
+
+def search(spark, d, k=5, units=None, terms=R.word_terms, most=8000, sublinear=False):
+    """The benchmark's items against the units: ranked lists over the shared terms."""
+    cut = terms(F.col("text"))
+    vocab, index = R.weights(text_units(spark, d) if units is None else units, cut, most, sublinear, saved)
+    return R.top_k(index, R.transform(R.counted(questions(spark, d), cut), vocab, sublinear), k)
+
+
+def char_search(spark, d, k=5, units=None, most=3000):
+    return search(spark, d, k, units, R.char_terms, most, True)
+
+
+@query("r1_char_tfidf", f"WITH {UNITS}, {tf_sql(*CHAR, 3000)} SELECT unit, term, round(w, 6) AS w FROM ix")
+def r1(spark, d):
+    return R.weights(text_units(spark, d), R.char_terms(F.col("text")), 3000, True, saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
 
 
 @query("r2_word_tfidf", f"WITH {UNITS}, {TF_SQL} SELECT unit, term, round(w, 6) AS w FROM ix")
 def r2(spark, d):
-    units = docs(spark, d).select(F.col("doc_id").alias("unit"), "text")
-    return R.weights(units, R.word_terms(F.col("text")), 8000)[1].select("unit", "term", F.round("w", 6).alias("w"))
+    return R.weights(text_units(spark, d), R.word_terms(F.col("text")), 8000, save=saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
 
 
 @query("r5_cosine_top_k", f"WITH {UNITS}, {SEARCH_SQL} SELECT qid, unit, score, rank FROM rk WHERE rank <= 5")
@@ -224,6 +254,18 @@ def r5(spark, d):
     return search(spark, d)
 
 
+NAMES = "units AS (SELECT p_partkey AS unit, p_name AS text FROM part)"
+
+
+@query("r5_zero_filled", f"""WITH {NAMES}, {SEARCH_SQL}, every AS (SELECT item_id AS qid, unit FROM benchmark, units),
+s AS (SELECT qid, unit, coalesce(score, 0) AS score FROM every LEFT JOIN sc USING (qid, unit)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit)::INTEGER AS rank FROM s) SELECT qid, unit, score, rank FROM r WHERE rank <= 5""")
+def r5_filled(spark, d):
+    # Few items share a word with a part's name: most lists are filled.
+    names = S.table(spark, d, "part").select(F.col("p_partkey").alias("unit"), F.col("p_name").alias("text"))
+    return R.zero_filled(search(spark, d, 5, names), questions(spark, d).select(F.col("unit").alias("qid")), names, 5)
+
+
 @query("r7_dense_top_k", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v JOIN v q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def r7(spark, d):
@@ -256,9 +298,8 @@ def r11(spark, d):
 h AS (SELECT g.qid, min(rk.rank) AS r FROM g LEFT JOIN rk ON rk.qid = g.qid AND rk.unit = g.unit AND rk.rank <= 5 GROUP BY g.qid)
 SELECT count(*) AS questions, round(avg((coalesce(r, 99) <= 1)::INT), 4) AS hit_1, round(avg((coalesce(r, 99) <= 3)::INT), 4) AS hit_3, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS hit_5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM h""")
 def e3(spark, d):
-    b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 21, 40).alias("anchor"))
-    gold = b.join(docs(spark, d).select(F.col("doc_id").alias("unit"), "text"), F.contains("text", "anchor"), "left").select("qid", "unit")
-    return R.gold_metrics(search(spark, d), gold)
+    b = questions(spark, d).select(F.col("unit").alias("qid"), F.substring("text", 21, 40).alias("anchor"))
+    return R.gold_metrics(search(spark, d), R.holders(b, text_units(spark, d)))
 
 
 @query("e7_confusion", """WITH p AS (SELECT source, quality AS predicted, 1 - toxic AS actual FROM documents JOIN labels USING (doc_id)), c AS (SELECT source, count_if(predicted = 1 AND actual = 1)::BIGINT AS tp, count_if(predicted = 1 AND actual <> 1)::BIGINT AS fp, count_if(predicted <> 1 AND actual = 1)::BIGINT AS fn, count_if(predicted <> 1 AND actual <> 1)::BIGINT AS tn FROM p GROUP BY source),
@@ -326,12 +367,8 @@ def k10(spark, d):
 
 
 def saver(spark):
-    """checkpoint() where a folder is set (or made, as in tests), so rounds of an iteration have no long lineage."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return lambda df: df.checkpoint()
+    """Cuts the lineage of each round of an iteration: a table in the shared folder."""
+    return saved
 
 
 @query("k12_exact_duplicates", "WITH e AS (SELECT 'P' || p_partkey AS id, p_partkey AS ord, regexp_replace(lower(p_name), '{SP}+', '', 'g') AS key FROM part) SELECT key, count(*) AS n, min_by(id, ord) AS keep_id FROM e GROUP BY key HAVING count(*) > 1")

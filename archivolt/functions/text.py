@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # White space as Python's str.isspace has it, in a form that Java and RE2 both read; Han characters.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANKS = "".join(chr(i) for i in (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 HAN = r"[\x{4e00}-\x{9fff}]"
 ADMIN_SUFFIX = "省市县区镇乡村州"
 PUNCTUATION = "，。、“”‘’（）《》〈〉【】—…·,.()[]<>\"'-_/"
@@ -23,7 +24,7 @@ def sub(c: Column, pattern: str, by: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return sub(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean_ocr_text(c: Column, letter: str = HAN) -> Column:
@@ -33,13 +34,77 @@ def clean_ocr_text(c: Column, letter: str = HAN) -> Column:
     return strip(c)
 
 
-def apply_fixes(c: Column, fixes: Sequence[tuple[str, str]], rounds: int = 2) -> Column:
-    """Replaces wrong strings, longest first; rounds unrolled (a round more than needed changes nothing)."""
+def apply_fixes(c: Column, fixes: Sequence[tuple[str, str]], rounds: int = 10) -> Column:
+    """Replaces wrong strings, longest first, again and again until nothing changes, at most `rounds` times."""
     order = sorted(((a, b) for a, b in fixes if a and a != b), key=lambda p: -len(p[0]))
-    for _ in range(rounds):
+
+    def once(s: Column) -> Column:
         for wrong, right in order:
-            c = F.replace(c, F.lit(wrong), F.lit(right))
-    return c
+            s = F.replace(s, F.lit(wrong), F.lit(right))
+        return s
+
+    def step(held: Column, _: Column) -> Column:
+        return F.when(held["now"] == held["before"], held).otherwise(F.struct(once(held["now"]).alias("now"), held["now"].alias("before")))
+
+    start = F.struct(c.alias("now"), F.lit(None).cast("string").alias("before"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda held: held["now"])
+
+
+def conversion_stats(rows: DataFrame, old: str, new: Column) -> DataFrame:
+    """files, changed, chars_before, chars_after of a conversion of a column."""
+    r = rows.select(F.col(old).alias("_old"), new.alias("_new"))
+    return r.agg(F.count("*").alias("files"), F.count_if(F.col("_new") != F.col("_old")).alias("changed"), F.sum(F.length("_old")).alias("chars_before"), F.sum(F.length("_new")).alias("chars_after"))
+
+
+def guarded(old: Column, new: Column, low: float = 0.9, high: float = 1.12) -> Column:
+    """Whether a proposed text is taken: not blank, not the same, and its length within a ratio of the old one's."""
+    return F.coalesce((F.trim(new) != "") & (new != old) & (F.length(new) / F.greatest(F.length(old), F.lit(1))).between(low, high), F.lit(False))
+
+
+def guard_counts(rows: DataFrame, old: str, new: str, edits: str) -> DataFrame:
+    """changed, failed (blank or missing proposals), edits (of those taken) and total."""
+    ok = guarded(F.col(old), F.col(new))
+    return rows.agg(F.count_if(ok).alias("changed"), F.count_if(F.col(new).isNull() | (F.trim(new) == "")).alias("failed"), F.coalesce(F.sum(F.when(ok, F.col(edits))), F.lit(0)).alias("edits"), F.count("*").alias("total"))
+
+
+def ocr_quality(rows: DataFrame, column: str, run: str = rf"{HAN}{{10,}}", letter: str = HAN) -> DataFrame:
+    """letters (Han by default), alnum, noise per cent and the start of the first long run, noisiest first."""
+    c = F.col(column)
+    count = lambda p: F.length(F.regexp_replace(c, p, "")).cast("long")
+    alnum = count("[^A-Za-z0-9]")
+    out = rows.withColumn("letters", (F.length(c) - count(letter)).cast("long")).withColumn("alnum", alnum)
+    return out.withColumn("noise", F.bround(alnum * F.lit(100.0) / F.greatest(F.length(c), F.lit(1)), 6)).withColumn("run", F.substring(F.regexp_extract(c, run, 0), 1, 70)).orderBy(F.desc("noise"))
+
+
+def any_of(c: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)), F.lit(False))
+
+
+def first_of(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """The value of the first pair, in order, whose word the text contains; null if none."""
+    out = F.when(F.contains(c, F.lit(pairs[0][0])), F.lit(pairs[0][1]))
+    for word, value in pairs[1:]:
+        out = out.when(F.contains(c, F.lit(word)), F.lit(value))
+    return out
+
+
+def mentioned(c: Column, names: Sequence[str]) -> Column:
+    """The names that the text contains, by their first place, then in order of the list."""
+    every = F.array(*[F.lit(x) for x in names])
+    found = F.transform(found_terms(c, names), lambda n: F.struct(F.position(n, c).alias("at"), F.array_position(every, n).alias("i"), n.alias("name")))
+    return F.transform(F.array_sort(found), lambda x: x["name"])
+
+
+def slots(rows: DataFrame, column: str, flags: dict[str, Sequence[str]], cities: Sequence[str], modes: dict[str, Sequence[str]], stages: Sequence[tuple[str, str]], sites: Sequence[str], days: str = r"(\d+)\s*天") -> DataFrame:
+    """Adds a boolean per flag, days, city (first of the list), mode (first with a word), stage (first alias) and sites."""
+    c = F.coalesce(F.col(column), F.lit(""))
+    out = rows
+    for name, words_ in flags.items():
+        out = out.withColumn(name, any_of(c, words_))
+    out = out.withColumn("days", F.nullif(F.regexp_extract(c, days, 1), F.lit("")).try_cast("int"))
+    out = out.withColumn("city", first_of(c, [(x, x) for x in cities]))
+    out = out.withColumn("mode", first_of(c, [(w, m) for m, ws in modes.items() for w in ws]))
+    return out.withColumn("stage", first_of(c, stages)).withColumn("sites", mentioned(c, sites))
 
 
 def found_terms(c: Column, terms: Sequence[str]) -> Column:
@@ -84,13 +149,16 @@ def entity_id(kind: Column, name: Column) -> Column:
 def fact_check(rows: DataFrame, column: str) -> DataFrame:
     """worst, confidence and verified from a JSON answer {"claims": [{"status", "severity"}]}.
 
-    Unsupported and contradicted claims are issues; contradicted ones are high, unknown severities medium. Unreadable JSON
-    has no issues.
+    Unsupported and contradicted claims are issues; contradicted ones are high, unknown severities medium. The issues of the
+    older form {"issues": [{"severity"}]} come behind them as they are; unknown severities count nothing there. Unreadable
+    JSON has no issues.
     """
-    c = F.from_json(F.col(column), "struct<claims: array<struct<status: string, severity: string>>>")["claims"]
-    bad = F.filter(c, lambda x: x["status"].isin("unsupported", "contradicted"))
-    level = F.transform(bad, lambda x: F.when(x["status"] == "contradicted", 3).when(x["severity"] == "high", 3).when(x["severity"] == "low", 1).otherwise(2))
-    r = rows.withColumn("_l", F.array_max(level))
+    said = F.from_json(F.col(column), "struct<claims: array<struct<status: string, severity: string>>, issues: array<struct<severity: string>>>")
+    low = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    bad = F.filter(F.coalesce(said["claims"], F.array()), lambda x: low(x["status"]).isin("unsupported", "contradicted"))
+    level = F.transform(bad, lambda x: F.when(low(x["status"]) == "contradicted", 3).when(low(x["severity"]) == "high", 3).when(low(x["severity"]) == "low", 1).otherwise(2))
+    old = F.transform(F.coalesce(said["issues"], F.array()), lambda x: F.when(x["severity"] == "high", 3).when(x["severity"] == "medium", 2).when(x["severity"] == "low", 1).otherwise(0))
+    r = rows.withColumn("_l", F.nullif(F.array_max(F.concat(level, old)), F.lit(0)))
     worst = F.when(F.col("_l") == 3, "high").when(F.col("_l") == 2, "medium").when(F.col("_l") == 1, "low")
     sure = F.when(F.col("_l") == 3, 0.35).when(F.col("_l") == 2, 0.6).when(F.col("_l") == 1, 0.8).otherwise(0.9)
     return r.withColumn("worst", worst).withColumn("confidence", sure).withColumn("verified", F.coalesce(F.col("_l") < 3, F.lit(True))).drop("_l")

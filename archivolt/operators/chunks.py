@@ -17,11 +17,13 @@ PAGE_BEHIND = r"[\s,，．。·、—\-]*\d{1,4}"
 
 def window_chunks(docs: DataFrame, max_chars: int = 3500, overlap: int = 300) -> DataFrame:
     """doc_id, source, seq, text: windows of max_chars that step by max_chars - overlap; the last ends with the text."""
-    c = X.strip(X.sub(X.sub(F.col("text"), r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+    clean = X.strip(X.sub(X.sub(F.col("text"), r"\n{3,}", "\n\n"), r"[ \t]{2,}|\t", " "))
     step = max_chars - overlap
     count = F.when(F.length("t") <= max_chars, F.lit(1)).otherwise(1 + F.ceil((F.length("t") - max_chars) / step)).cast("int")
-    cut = docs.withColumn("t", c).where(F.length("t") > 0).withColumn("seq", F.explode(F.sequence(F.lit(0), count - 1)))
-    return cut.select("doc_id", "source", "seq", F.substring(F.col("t"), F.col("seq") * step + 1, F.lit(max_chars)).alias("text"))
+    # Exploded from an array of one, the cleaned text is a column that no later expression computes again.
+    one = docs.select("doc_id", "source", F.explode(F.array(clean)).alias("t")).where(F.length("t") > 0)
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("t"), i * step + 1, F.lit(max_chars)))
+    return one.select("doc_id", "source", F.posexplode(cut).alias("seq", "text"))
 
 
 def merge_lines(text: str, target: int = 500, least: int = 100) -> list[tuple[str, int, int | None]]:
@@ -92,17 +94,52 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def next_page(toc: DataFrame) -> Column:
-    """Exclusive end of each item's page range: the next page that is not null, or page + 1 for the last."""
+    """Exclusive end of each item's page range: the next page that is not null, or the book's last page + 1."""
     # Backward, as a frame up to the end of the book would be read anew for each item.
     w = Window.partitionBy("book").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.last("page", ignorenulls=True).over(w), F.col("page") + 1)
+    return F.coalesce(F.last("page", ignorenulls=True).over(w), F.max("page").over(Window.partitionBy("book")) + 1)
 
 
 def section_of(chunks: DataFrame, toc: DataFrame) -> DataFrame:
-    """chunks (book, chunk_id, page) with the first item, in order, whose page range holds the page: a range join."""
-    ranges = toc.withColumn("stop", next_page(toc)).where(F.col("page").isNotNull())
-    hit = chunks.alias("c").join(ranges.alias("t"), F.expr("c.book = t.book AND c.page >= t.page AND c.page < t.stop"), "left")
-    return hit.groupBy("c.book", "c.chunk_id", "c.page").agg(F.min_by("t.item", "t.ord").alias("section"))
+    """chunks (book, chunk_id, page) with the first item, in order, whose page range holds the page.
+
+    Each range is laid out over its pages, so that chunks and items meet by an equi-join, however large a book is.
+    """
+    ranges = toc.withColumn("stop", next_page(toc)).where(F.col("page") < F.col("stop"))
+    pages = ranges.select("book", "ord", "item", F.explode(F.sequence("page", F.col("stop") - 1)).alias("page"))
+    first = pages.groupBy("book", "page").agg(F.min_by("item", "ord").alias("section"))
+    return chunks.select("book", "chunk_id", "page").join(first, ["book", "page"], "left").select("book", "chunk_id", "page", "section")
+
+
+def approx_annotated(chunks: DataFrame, toc: DataFrame, front: float = 0.03) -> DataFrame:
+    """book, chunk_id, section, page, how: pages by linear interpolation between a book's first and last page.
+
+    chunks: book, chunk_id, offset, length (of the book's text). The body begins at `front` of it. Where no item holds the
+    page, or the book has none with a page, all three are null.
+    """
+    ends = toc.groupBy("book").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
+    body = F.greatest(F.col("length") * (1 - front), F.lit(1.0))
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("offset") - F.col("length") * front) / body))
+    page = F.bround(F.col("lo") + along * (F.col("hi") - F.col("lo")), 0).cast("int")
+    got = section_of(chunks.join(ends, "book", "left").withColumn("page", page), toc)
+    known = F.col("section").isNotNull()
+    return got.select("book", "chunk_id", "section", F.when(known, F.col("page")).alias("page"), F.when(known, "approx").alias("how"))
+
+
+def place_counts(postings_: DataFrame, most: int = 20) -> DataFrame:
+    """place, n: the places with most chunks, ties by name."""
+    return postings_.groupBy("place").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "place").limit(most)
+
+
+def annotated_share(annotated: DataFrame) -> DataFrame:
+    """book, chunks, with_page, with_section, share (of chunks with a section) per book."""
+    c = annotated.groupBy("book").agg(F.count("*").alias("chunks"), F.count("page").alias("with_page"), F.count("section").alias("with_section"))
+    return c.withColumn("share", F.round(F.col("with_section") / F.col("chunks"), 4))
+
+
+def totals(chunks: DataFrame) -> DataFrame:
+    """chunks, chars, mean_chars over all chunks: the summary of an index."""
+    return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
 
 
 def books(pages: DataFrame, letter: str = X.HAN) -> DataFrame:

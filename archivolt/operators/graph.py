@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
+from archivolt.operators.pairs import similar
 
 HASH_ID = "^[A-Z]_[0-9A-F]{8}$"
 
 
 def dictionary_mentions(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(doc_id, name) wherever an entity's name or alias stands as a word of the text: an equi-join on words."""
-    keys = entities.select("name", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("alias")))).alias("key")).where("key IS NOT NULL")
-    words = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("key"))
-    return words.join(keys, "key").select("doc_id", "name").distinct()
+    """(doc_id, name) wherever an entity's name or alias occurs in the text, within a word or over several too."""
+    parts = entities.select(F.col("name").alias("eid"), F.explode(F.array_distinct(F.array("name", "alias"))).alias("part"))
+    return found_phrases(docs, parts.where("part <> ''")).select("doc_id", F.col("eid").alias("name"))
 
 
 def date_mentions(docs: DataFrame, pattern: str) -> DataFrame:
@@ -51,6 +51,34 @@ def resolve(items: DataFrame, save) -> DataFrame:
             return roots
 
 
+def merged_entities(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, name, type, aliases, description, confidence, is_base of each root.
+
+    items: ord, is_base, id, name, type, aliases, description, confidence. A root takes the aliases that it lacks from what
+    joins it, in order, and the first description if it has none; new ones get a stable id and a confidence of 0.8.
+    """
+    of = items.join(roots, "ord")
+    alias = of.select("root", "ord", F.posexplode("aliases").alias("pos", "alias")).where("trim(alias) <> ''")
+    alias = alias.groupBy("root", "alias").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    alias = alias.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("all"))
+    told = of.where("description IS NOT NULL").groupBy("root").agg(F.min_by("description", "ord").alias("told"))
+    r = items.join(roots.where("ord = root").select(F.col("root").alias("ord")), "ord").withColumn("root", F.col("ord")).join(alias, "root", "left").join(told, "root", "left")
+    name = F.when(F.col("is_base"), F.col("id")).otherwise(X.entity_id(F.col("type"), F.col("name")))
+    return r.select(name.alias("id"), "name", "type", F.coalesce("all", F.array().cast("array<string>")).alias("aliases"), F.coalesce("description", "told").alias("description"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"), "is_base")
+
+
+def near_duplicates(entities: DataFrame, least: float = 0.8) -> DataFrame:
+    """a_id, b_id, ratio: entities whose normal names differ and match to `least` of their characters; lossless.
+
+    entities: ord, id, name. The earlier name comes first. Of entities with one normal name the first stands for all.
+    """
+    e = entities.where(F.length("name") >= 2).withColumn("key", X.normalize("name")).where("key <> ''")
+    one = e.groupBy("key").agg(F.min(F.struct("ord", "id")).alias("x")).select("key", "x.ord", "x.id")
+    met = similar(one.select(F.col("key").alias("a")), one.select(F.col("key").alias("b")), least).where("a <> b")
+    side = lambda p: one.select(F.col("key").alias(p), F.col("id").alias(f"{p}_id"), F.col("ord").alias(f"{p}_ord"))
+    return met.join(side("a"), "a").join(side("b"), "b").where("a_ord < b_ord").select("a_id", "b_id", F.round("ratio", 3).alias("ratio"))
+
+
 def exact_duplicates(entities: DataFrame) -> DataFrame:
     """key, n, keep_id: groups of one normal name; the first id that is no hash id stays, else the first."""
     e = entities.withColumn("key", X.normalize(F.lower("name"))).where("key <> ''")
@@ -86,6 +114,51 @@ def reviewed(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     return e.where("action IS NULL OR action <> 'remove'").select("id", name.alias("name"), F.coalesce("action", F.lit("pending")).alias("status"))
 
 
+def removed_ids(entities: DataFrame, decisions: DataFrame) -> DataFrame:
+    d = decisions.where("action = 'remove'").select(X.strip(F.col("name")).alias("key")).distinct()
+    return entities.join(d, X.strip(entities["name"]) == d["key"], "left_semi").select("id")
+
+
+def reviewed_relations(relations: DataFrame, entities: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Relations without those that touch a removed entity at either end."""
+    gone = removed_ids(entities, decisions)
+    for end in ("source", "target"):
+        relations = relations.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+    return relations
+
+
+def review_stats(entities: DataFrame, decisions: DataFrame) -> DataFrame:
+    """action, n: entities approved, renamed and removed, and the decisions on names that no entity has (missing)."""
+    names = entities.select(X.strip(F.col("name")).alias("key"))
+    d = decisions.select(X.strip(F.col("name")).alias("key"), "action")
+    done = names.join(d, "key").groupBy("action").agg(F.count("*").alias("n"))
+    missing = d.join(names.distinct(), "key", "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing").alias("action"), "n")
+    return done.unionByName(missing)
+
+
+def graph_summary(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """metric, name, n: totals of both tables, entities per type, relations per relation type."""
+    count = lambda df, metric, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "name", "n")
+    all_ = [count(df, "total", F.lit(n)) for df, n in ((entities, "entities"), (relations, "relations"))]
+    return all_[0].union(all_[1]).union(count(entities, "entities", F.col("type"))).union(count(relations, "relations", F.col("relation")))
+
+
+def query_seeds(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id) of the entities that a query asks for: any of its criteria will do, none gives no seed.
+
+    entities: id, name, type, aliases, description, year. queries: qid, entity (a whole name or alias), event (a part of an
+    event's name or alias), topic (a part of a name, alias or description), year.
+    """
+    said = entities.select("id", "type", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("text")).where("text IS NOT NULL")
+    told = entities.select("id", F.col("description").alias("text")).where("text IS NOT NULL")
+    part = lambda name: queries.where(F.col(name) != "").select(F.col("qid").alias("eid"), F.col(name).alias("part"))
+    holds = lambda texts, name: found_phrases(texts.select(F.struct("id", "text").alias("doc_id"), "text"), part(name)).select(F.col("eid").alias("qid"), F.col("doc_id.id").alias("id"))
+    whole = queries.where("entity <> ''").select("qid", F.col("entity").alias("text")).join(said, "text").select("qid", "id")
+    dated = queries.where("year IS NOT NULL").select("qid", F.col("year").cast("string").alias("y")).join(entities.select("id", F.col("year").cast("string").alias("y")), "y").select("qid", "id")
+    named = holds(said.where("type = 'event'"), "event").union(holds(said.select("id", "text").union(told), "topic"))
+    return whole.union(dated).union(named).distinct()
+
+
 def problems(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """problem, ref: repeated ids, dangling ends, blank relations."""
     dup = entities.groupBy("id").count().where("count > 1").select(F.lit("duplicate_id").alias("problem"), F.col("id").alias("ref"))
@@ -94,10 +167,23 @@ def problems(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return dup.union(ends[0]).union(ends[1]).union(blank)
 
 
-def neighbours(seeds: DataFrame, relations: DataFrame, limit: int) -> DataFrame:
-    """First relations, in order, that touch a query's seed at either end: two equi-joins. seeds: qid, id."""
-    one = relations.join(seeds, relations["source"] == seeds["id"]).select("qid", "ord", "rid", F.col("target").alias("other"))
-    two = relations.join(seeds, relations["target"] == seeds["id"]).select("qid", "ord", "rid", F.col("source").alias("other"))
+def neighbours(seeds: DataFrame, relations: DataFrame, limit: int, kinds: DataFrame | None = None) -> DataFrame:
+    """First relations, in order, that touch a query's seed at either end: two equi-joins. seeds: qid, id.
+
+    kinds: (qid, relation) for queries that want one type of relation only; the others take all.
+    """
+    if kinds is not None:
+        wanted = kinds.select("qid", F.col("relation").alias("kind"))
+        some = neighbours(seeds.join(wanted.select("qid"), "qid", "left_semi").join(wanted, "qid").select("qid", "id", "kind"), relations, limit)
+        return neighbours(seeds.join(wanted.select("qid"), "qid", "left_anti"), relations, limit).unionByName(some)
+    limit = max(1, limit)
+    if "kind" in seeds.columns:
+        relations = relations.withColumn("kind", F.col("relation"))
+        on = lambda end: [relations[end] == seeds["id"], relations["kind"] == seeds["kind"]]
+    else:
+        on = lambda end: [relations[end] == seeds["id"]]
+    one = relations.join(seeds, on("source")).select("qid", "ord", "rid", F.col("target").alias("other"))
+    two = relations.join(seeds, on("target")).select("qid", "ord", "rid", F.col("source").alias("other"))
     first = F.row_number().over(Window.partitionBy("qid").orderBy("ord", "other"))
     return one.union(two).dropDuplicates(["qid", "rid"]).withColumn("place", first).where(F.col("place") <= limit)
 
@@ -203,8 +289,16 @@ def split_verdicts(judged: DataFrame, with_suspicious: bool = False) -> DataFram
     return judged.where(F.col("verdict").isin(*kept)).withColumn("name", F.col("canonical"))
 
 
-def with_fallback(docs: DataFrame, external: DataFrame, entities: DataFrame, stop: tuple[str, ...]) -> DataFrame:
-    """(doc_id, name, how): external mentions, and dictionary mentions of the texts that have none; no junk names."""
+def with_fallback(docs: DataFrame, external: DataFrame, entities: DataFrame, stop: tuple[str, ...], events: DataFrame | None = None, dates: str | None = None) -> DataFrame:
+    """(doc_id, name, how): external mentions, and what the rules find in texts that have none; no junk names.
+
+    The rules: names of the dictionary, labels of timeline events (eid, label, description, place), dates of a pattern.
+    """
     bare = docs.join(external.select("doc_id").distinct(), "doc_id", "left_anti")
-    rules = dictionary_mentions(bare, entities).withColumn("how", F.lit("rules"))
+    rules = dictionary_mentions(bare, entities)
+    if events is not None:
+        rules = rules.union(timeline_mentions(bare, events)[0].join(events.select("eid", "label"), "eid").select("doc_id", "label"))
+    if dates is not None:
+        rules = rules.union(date_mentions(bare, dates))
+    rules = rules.distinct().withColumn("how", F.lit("rules"))
     return without_junk(external.select("doc_id", "name", F.lit("external").alias("how")).unionByName(rules), stop)

@@ -19,18 +19,61 @@ def modes(spark) -> DataFrame:
     return spark.createDataFrame(list(MODES), "mode string, speed double, overhead double, detour double, min_km double, pref int")
 
 
+def hours_text(hours: Column) -> Column:
+    """Hours as `2h5m` or `5m`; 60 minutes are carried over."""
+    minutes = F.floor(hours).cast("int") * 60 + F.bround((hours - F.floor(hours)) * 60, 0).cast("int")
+    rest = F.concat((minutes % 60).cast("string"), F.lit("m"))
+    return F.when(minutes >= 60, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), rest)).otherwise(rest)
+
+
 def travel(pairs: DataFrame, modes_: DataFrame) -> DataFrame:
-    """origin, site, mode, pref, min_km, km, hours for (origin, olat, olng, site, lat, lng) by each mode (three rows)."""
+    """origin, site, mode, pref, min_km, km, hours, time for (origin, olat, olng, site, lat, lng) by each mode (three rows).
+
+    Where a place is unknown (a coordinate is null) km and hours are 0 and the time is `unknown`.
+    """
     line = F.round(haversine(F.col("olat"), F.col("olng"), F.col("lat"), F.col("lng")) * F.col("detour"), 1)
-    m = pairs.join(F.broadcast(modes_), F.col("speed") > 0).withColumn("km", line)
-    return m.select("origin", "site", "mode", "pref", "min_km", "km", F.round(F.col("km") / F.col("speed") + F.col("overhead"), 4).alias("hours"))
+    m = pairs.crossJoin(modes_).withColumn("line", line)
+    hours = F.col("line") / F.col("speed") + F.col("overhead")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return m.select("origin", "site", "mode", "pref", "min_km", zero(F.col("line")).alias("km"), zero(F.round(hours, 4)).alias("hours"), F.coalesce(hours_text(hours), F.lit("unknown")).alias("time"))
+
+
+def day_limit(days: Column) -> Column:
+    """Hours that a way may take: 2.5 for one day, 5 for two, 8 for more, 10 where the days are not known."""
+    return F.coalesce(F.when(days == 1, 2.5).when(days == 2, 5.0).when(days >= 3, 8.0), F.lit(10.0))
 
 
 def choose_mode(matrix: DataFrame, limit: Column) -> DataFrame:
-    """The first mode in order that is far enough and fast enough, else the last one far enough."""
-    far = matrix.where(F.col("km") >= F.col("min_km"))
-    fit = F.when(F.col("hours") <= limit, F.col("pref")).otherwise(100 - F.col("pref"))
-    return far.groupBy("origin", "site").agg(F.min_by(F.struct("mode", "km", "hours"), fit).alias("b")).select("origin", "site", "b.*")
+    """The first mode in order that is far and fast enough, else the last in order if far enough, else the first."""
+    most = max(m[5] for m in MODES)
+    far = F.col("km") >= F.col("min_km")
+    fit = F.when(far & (F.col("hours") <= limit), F.col("pref")).when(far & (F.col("pref") == most), 100).when(F.col("pref") == 0, 101).otherwise(102)
+    return matrix.groupBy("origin", "site").agg(F.min_by(F.struct("mode", "km", "hours"), fit).alias("b")).select("origin", "site", "b.*")
+
+
+def distinct_sites(points: DataFrame, cell: float = 10.0) -> DataFrame:
+    """la, lo, point: the first point of each cell of coordinates."""
+    at = lambda c: F.bround(F.col(c) / cell, 0) + F.lit(0.0)
+    return points.groupBy(at("plat").alias("la"), at("plng").alias("lo")).agg(F.min("point").alias("point"))
+
+
+def price_quote(rows: DataFrame, fee: Column, size: Column, days: Column, per_guide: int = 20) -> DataFrame:
+    """Adds per_head, total and guides for a daily fee; a group has 1 to 200 heads, a course 1 to 7 days."""
+    held = lambda c, most: F.least(F.greatest(c, F.lit(1)), F.lit(most)).cast("int")
+    n, d = held(size, 200), held(days, 7)
+    return rows.withColumn("per_head", fee * d).withColumn("total", fee * d * n).withColumn("guides", F.ceil(n / per_guide))
+
+
+def latency(rows: DataFrame) -> DataFrame:
+    """path, n, mean, lo, hi, flagged per path, and over all of them under `all`. rows: path, seconds, flag."""
+    by = lambda df: df.agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 6).alias("mean"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"), F.count_if("flag").alias("flagged"))
+    return by(rows.groupBy("path")).unionByName(by(rows.groupBy(F.lit("all").alias("path"))))
+
+
+def path_difference(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """difference: the mean of path a less that of path b."""
+    mean = lambda p: F.avg(F.when(F.col("path") == p, F.col("seconds")))
+    return rows.agg(F.round(mean(a) - mean(b), 6).alias("difference"))
 
 
 def nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
@@ -41,11 +84,15 @@ def nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
 
 
 def day_type(days: DataFrame, calendar: DataFrame) -> DataFrame:
-    """day, kind, factor: holiday before make-up workday before weekend before workday."""
+    """day, kind, factor, label: holiday before make-up workday before weekend before workday. calendar: day, kind, name.
+
+    The label of a marked day is its kind and name.
+    """
     c = days.join(calendar.withColumnRenamed("kind", "marked"), "day", "left")
     kind = F.when(F.col("marked") == "holiday", "holiday").when(F.col("marked") == "makeup", "makeup_workday").when(F.dayofweek("day").isin(1, 7), "weekend").otherwise("workday")
     factor = F.when(kind == "holiday", 1.8).when(kind == "weekend", 1.3).otherwise(1.0)
-    return c.select("day", kind.alias("kind"), factor.alias("factor"))
+    named = F.col("marked").isin("holiday", "makeup") & F.col("name").isNotNull()
+    return c.select("day", kind.alias("kind"), factor.alias("factor"), F.when(named, F.concat(kind, F.lit(": "), "name")).otherwise(kind).alias("label"))
 
 
 def weather_factor(text: Column, temp: Column) -> Column:
@@ -114,6 +161,32 @@ def context(turns: DataFrame, n: int = 6) -> DataFrame:
     return turns.withColumn("before", F.array_join(F.collect_list("text").over(w), "\n")).where("role = 'user'").select("conv_id", "turn", F.concat_ws("\n", F.nullif("before", F.lit("")), "text").alias("query"))
 
 
+# The personas; the questions that a profile keeps and shows.
+PERSONAS = ("student", "tourist", "researcher")
+KEPT, SHOWN = 12, 5
+
+
+def persona_and_questions(asked: DataFrame) -> DataFrame:
+    """user_id, persona (the last valid one, `tourist` without any), recent (the last KEPT questions) and shown (SHOWN).
+
+    asked: user_id, ts, event_id, persona, question. Only the last KEPT rows of a user meet in one list.
+    """
+    at = F.struct("ts", "event_id")
+    last = asked.groupBy("user_id").agg(F.max_by("persona", F.when(F.col("persona").isin(*PERSONAS), at)).alias("persona"))
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    q = asked.where("question <> ''").withColumn("back", back).where(F.col("back") <= KEPT)
+    q = q.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("back", "question")), asc=False), lambda x: x["question"]).alias("recent"))
+    none = F.array().cast("array<string>")
+    r = last.join(q, "user_id", "left").withColumn("recent", F.coalesce("recent", none))
+    return r.select("user_id", F.coalesce("persona", F.lit("tourist")).alias("persona"), "recent", F.slice("recent", F.greatest(F.size("recent") - SHOWN + 1, F.lit(1)), SHOWN).alias("shown"))
+
+
+def visit_counts(visits: DataFrame) -> DataFrame:
+    """user_id, counts: a map from site to number of visits."""
+    by = visits.groupBy("user_id", "site").agg(F.count("*").alias("n"))
+    return by.groupBy("user_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("site", "n")))).alias("counts"))
+
+
 def profile(visits: DataFrame, top: int = 3) -> DataFrame:
     """user_id, visits, last_site, preferred (top sites by count, then name)."""
     by = visits.groupBy("user_id", "site").agg(F.count("*").alias("n"), F.max(F.struct("ts", "event_id")).alias("at"))
@@ -141,15 +214,27 @@ def low_effort(sites: DataFrame) -> DataFrame:
     return r.where(F.col("place") <= F.greatest(F.lit(2), F.least(F.col("many"), 2 * F.col("days")))).select("request", "site", "place")
 
 
+def legs(stops: DataFrame) -> DataFrame:
+    """The stops with km and hours of the way to them by the first mode; 0 for the first stop and for unknown places."""
+    _, speed, overhead, detour, _, _ = MODES[0]
+    w = Window.partitionBy("request").orderBy("ord")
+    km = F.round(haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")) * detour, 1)
+    s = stops.withColumn("km", km)
+    return s.withColumn("hours", F.coalesce(F.round(F.col("km") / speed + overhead, 2), F.lit(0.0))).withColumn("km", F.coalesce("km", F.lit(0.0)))
+
+
+def itinerary_totals(stops: DataFrame) -> DataFrame:
+    """request, days, total_km, total_hours."""
+    return legs(stops).groupBy("request").agg(F.count_distinct("day").alias("days"), F.round(F.sum("km"), 1).alias("total_km"), F.round(F.sum("hours"), 2).alias("total_hours"))
+
+
 def itinerary_days(stops: DataFrame) -> DataFrame:
-    """request, day, stops, km, energy, level, lodging. stops: request, ord (a total order), day, lat, lng, energy, lodging.
+    """request, day, stops, km, hours, energy, level, lodging. stops: request, ord (a total order), day, lat, lng, energy, lodging.
 
-    The leg to a stop counts on its day of arrival; the lodging is that of the day's last stop.
+    The leg to a stop, by the first mode, counts on its day of arrival; the lodging is that of the day's last stop.
     """
-    w = Window.partitionBy("request").orderBy("ord")
-    leg = F.round(haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), 1)
-    d = stops.withColumn("leg", F.coalesce(leg, F.lit(0.0))).groupBy("request", "day")
-    d = d.agg(F.count("*").alias("stops"), F.round(F.sum("leg"), 1).alias("km"), F.sum("energy").alias("energy"), F.max_by("lodging", "ord").alias("lodging"))
+    d = legs(stops).groupBy("request", "day")
+    d = d.agg(F.count("*").alias("stops"), F.round(F.sum("km"), 1).alias("km"), F.round(F.sum("hours"), 2).alias("hours"), F.sum("energy").alias("energy"), F.max_by("lodging", "ord").alias("lodging"))
     return d.withColumn("level", F.when(F.col("energy") <= 3, "easy").when(F.col("energy") <= 6, "medium").otherwise("hard"))
 
 

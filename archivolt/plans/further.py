@@ -10,7 +10,7 @@ from archivolt.operators import chunks as C
 from archivolt.operators import graph as K
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
-from archivolt.plans.registry import CHAR, HAV, LEGS_SQL, LETTER, QUERIES, SEARCH_SQL, SITE, SQL, STRIP, TERMS, UNITS, char_search, docs, points, query, search, search_sql, sites, text_units, tf_sql
+from archivolt.plans.registry import CHAR, HAV, LEGS_SQL, LETTER, QUERIES, SEARCH_SQL, SITE, SQL, STRIP, TERMS, UNITS, char_search, docs, points, query, ranked_legs, search, search_sql, sites, text_units, tf_sql
 from archivolt.sources import tables as S
 from archivolt.sources.shared import saved
 
@@ -49,6 +49,17 @@ def t19(spark, d):
     return X.fact_check(said, "json").select("o_orderkey", "worst", "confidence", "verified")
 
 
+@query("t19_legacy_issues", """WITH l AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN '?' END AS old, o_orderkey % 7 = 0 AS bad FROM orders),
+w AS (SELECT o_orderkey, greatest(CASE old WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, CASE WHEN bad THEN 2 ELSE 0 END) AS l FROM l)
+SELECT o_orderkey, CASE l WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS worst, CASE l WHEN 3 THEN 0.35::DOUBLE WHEN 2 THEN 0.6::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence, l < 3 AS verified FROM w""")
+def t19_legacy(spark, d):
+    k = F.col("o_orderkey")
+    old = F.when(k % 5 == 0, "low").when(k % 5 == 1, "medium").when(k % 5 == 2, "high").when(k % 5 == 3, "?")
+    claims = F.array(F.struct(F.when(k % 7 == 0, " Unsupported ").otherwise("supported").alias("status"), F.lit("?").alias("severity")))
+    said = F.to_json(F.struct(claims.alias("claims"), F.when(old.isNotNull(), F.array(F.struct(old.alias("severity")))).alias("issues")))
+    return X.fact_check(S.table(spark, d, "orders").select("o_orderkey", said.alias("said")), "said").select("o_orderkey", "worst", "confidence", "verified")
+
+
 @query("t22_evidence", "SELECT conv_id, turn, i::INTEGER AS i, substr(text, (i * 20 + 1)::BIGINT, 20) AS text FROM conversations, (SELECT unnest(range(5)) AS i) WHERE role = 'user' AND length(text) > i * 20")
 def t22(spark, d):
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 20).cast("int")), lambda i: F.substring(F.col("text"), i * 20 + 1, F.lit(20)))
@@ -142,10 +153,7 @@ r AS (SELECT qid, unit, score, row_number() OVER (PARTITION BY qid ORDER BY scor
 x AS (SELECT *, n > 2 AND rank <= 3 AS moved, CASE WHEN unit % 4 <> 0 THEN (unit % 7 - 3)::DOUBLE END AS o FROM (SELECT qid, unit, score, rank, least(n, 10) AS n FROM r WHERE rank <= 10))
 SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN moved THEN 0 ELSE 1 END, CASE WHEN moved THEN o END DESC NULLS LAST, rank)::INTEGER AS rank, round(CASE WHEN moved AND o IS NOT NULL THEN 1 / (1 + exp(-o)) ELSE score END, 6) AS score FROM x""")
 def r10(spark, d):
-    c = S.table(spark, d, "customer").withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("c_custkey") <= 50 + F.col("leg"))
-    rank = F.row_number().over(Window.partitionBy("leg", "c_nationkey").orderBy(F.col("c_acctbal") * (1 + F.col("leg")), "c_custkey"))
-    legs = c.select("leg", F.col("c_nationkey").alias("qid"), (F.col("c_custkey") % 50).alias("unit"), rank.alias("rank"), F.when(F.col("leg") == 0, 1.0).otherwise(0.5).alias("weight"))
-    fused = R.fuse(legs, top=10)
+    fused = R.fuse(ranked_legs(spark, d), top=10)
     outer = fused.where("unit % 4 <> 0").select("qid", "unit", (F.col("unit") % 7 - 3).cast("double").alias("outer"))
     return R.reranked(fused, outer, 3, 2)
 
@@ -212,10 +220,10 @@ def e5(spark, d):
     return R.ablation(rows, "char")
 
 
-@query("e11_upsert", "SELECT n_name AS method, n_regionkey AS value FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 4 = 0) UNION ALL SELECT n_name, -1 FROM nation WHERE n_nationkey % 4 = 0")
+@query("e11_upsert", "SELECT c_name AS method, c_nationkey AS value FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_name, -1 FROM customer WHERE c_custkey % 4 = 0")
 def e11(spark, d):
-    n = S.table(spark, d, "nation").select(F.col("n_name").alias("method"), F.col("n_regionkey").alias("value"), "n_nationkey")
-    return R.upsert(n.drop("n_nationkey"), n.where("n_nationkey % 4 = 0").select("method", F.lit(-1).alias("value")))
+    c = S.table(spark, d, "customer").select(F.col("c_name").alias("method"), F.col("c_nationkey").alias("value"), "c_custkey")
+    return R.upsert(c.drop("c_custkey"), c.where("c_custkey % 4 = 0").select("method", F.lit(-1).alias("value")))
 
 
 @query("k4_without_junk", "WITH m AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS name FROM part) SELECT p_partkey, name FROM m WHERE length(trim(name)) >= 2 AND trim(name) NOT IN ('small', 'large')")
@@ -285,10 +293,10 @@ def k15(spark, d):
     return S.table(spark, d, "part").where(X.normalize(F.lower("p_type")).isin("economy", "promo")).select("p_partkey", F.col("p_type").alias("name"))
 
 
-@query("k17_pending", "SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 12)")
+@query("k17_pending", "SELECT c_name AS name FROM customer WHERE c_custkey % 3 <> 0")
 def k17(spark, d):
-    n = S.table(spark, d, "nation")
-    return n.select(F.col("n_name").alias("name")).join(n.where("n_nationkey < 12").select(F.col("n_name").alias("name")), "name", "left_anti")
+    c = S.table(spark, d, "customer")
+    return c.select(F.col("c_name").alias("name")).join(c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name")), "name", "left_anti")
 
 
 @query("k21_export", "SELECT o_orderkey AS id, 'C' || o_custkey AS source, o_orderpriority AS relation, CASE WHEN o_orderkey % 3 = 0 THEN 'order' ELSE o_orderpriority END AS label FROM orders WHERE o_orderstatus = 'F'")
@@ -326,14 +334,25 @@ def g8(spark, d):
     return G.low_effort(s.withColumn("days", F.col("request") % 3))
 
 
-@query("g9_itinerary", f"""WITH st AS (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_linenumber // 3 AS day, l_suppkey % 25 AS k, (l_quantity % 4)::INTEGER AS energy FROM lineitem), s AS (SELECT {SITE} FROM nation),
-x AS (SELECT request, st.ord, day, energy, site, lat, lng, lag(lat) OVER w AS la, lag(lng) OVER w AS lo FROM st JOIN s ON s.ord = st.k WINDOW w AS (PARTITION BY request ORDER BY st.ord))
-SELECT request, day, count(*) AS stops, round(sum(coalesce(round({HAV.format(a='la', o='lo')}, 1), 0)), 1) AS km, sum(energy)::BIGINT AS energy, max_by(site, ord) AS lodging, CASE WHEN sum(energy) <= 3 THEN 'easy' WHEN sum(energy) <= 6 THEN 'medium' ELSE 'hard' END AS level FROM x GROUP BY request, day""")
+STOPS_SQL = f"""st AS (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_linenumber // 3 AS day, l_suppkey % 25 AS k, (l_quantity % 4)::INTEGER AS energy FROM lineitem), s AS (SELECT {SITE} FROM nation),
+x AS (SELECT request, st.ord, day, energy, site, lat, lng, lag(lat) OVER w AS la, lag(lng) OVER w AS lo FROM st JOIN s ON s.ord = st.k WINDOW w AS (PARTITION BY request ORDER BY st.ord)),
+y AS (SELECT *, round({HAV.format(a='la', o='lo')} * 1.35::DOUBLE, 1) AS km FROM x)"""
+
+
+@query("g9_itinerary", f"""WITH {STOPS_SQL} SELECT request, day, count(*) AS stops, round(sum(coalesce(km, 0)), 1) AS km, round(sum(coalesce(round(km / 50.0::DOUBLE, 2), 0)), 2) AS hours, sum(energy)::BIGINT AS energy, max_by(site, ord) AS lodging, CASE WHEN sum(energy) <= 3 THEN 'easy' WHEN sum(energy) <= 6 THEN 'medium' ELSE 'hard' END AS level FROM y GROUP BY request, day""")
 def g9(spark, d):
+    return G.itinerary_days(stops(spark, d))
+
+
+def stops(spark, d):
     ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     st = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request"), ord_.alias("o"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("day"), (F.col("l_suppkey") % 25).alias("ord"), (F.col("l_quantity") % 4).cast("int").alias("energy"))
-    stops = st.join(sites(spark, d), "ord").select("request", F.col("o").alias("ord"), "day", "lat", "lng", "energy", F.col("site").alias("lodging"))
-    return G.itinerary_days(stops)
+    return st.join(sites(spark, d), "ord").select("request", F.col("o").alias("ord"), "day", "lat", "lng", "energy", F.col("site").alias("lodging"))
+
+
+@query("g9_totals", f"WITH {STOPS_SQL} SELECT request, count(DISTINCT day) AS days, round(sum(coalesce(km, 0)), 1) AS total_km, round(sum(coalesce(round(km / 50.0::DOUBLE, 2), 0)), 2) AS total_hours FROM y GROUP BY request")
+def g9_totals(spark, d):
+    return G.itinerary_totals(stops(spark, d))
 
 
 @query("g11_timeline", "SELECT event_id, event_type AS label FROM events WHERE ts::VARCHAR LIKE '2024-01-0%' AND contains(event_type, 'c') AND (contains(event_type, 'k') OR contains(props, '7'))")

@@ -137,8 +137,9 @@ def k9_split(spark, d):
     return K.split_verdicts(K.with_verdicts(n, said)).select("ord", "name", "confidence")
 
 
-@query("k23_fallback", r"WITH x AS (SELECT doc_id, 'outside' AS name FROM labels WHERE quality = 1), e AS (SELECT unnest(['the', 'and', 'une', 'der', 'que']) AS k), r AS (SELECT DISTINCT doc_id, k AS name FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x)) JOIN e USING (k)) SELECT doc_id, name, 'external' AS how FROM x UNION ALL SELECT doc_id, name, 'rules' FROM r WHERE name <> 'que'")
+@query("k23_fallback", r"WITH x AS (SELECT doc_id, 'outside' AS name FROM labels WHERE quality = 1), e AS (SELECT unnest(['the', 'and', 'une', 'der', 'que']) AS k), b AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x)), r AS (SELECT DISTINCT doc_id, k AS name FROM b JOIN e ON contains(text, k) UNION SELECT doc_id, substr(i.text, 1, 20) FROM b JOIN benchmark i ON contains(b.text, substr(i.text, 1, 20)) OR contains(b.text, substr(i.text, 31, 12)) UNION SELECT doc_id, lpad(regexp_extract(m, '([0-9]+)\.([0-9]+)\.([0-9]+)', 1), 4, '0') || '-' || lpad(regexp_extract(m, '([0-9]+)\.([0-9]+)\.([0-9]+)', 2), 2, '0') || '-' || lpad(regexp_extract(m, '([0-9]+)\.([0-9]+)\.([0-9]+)', 3), 2, '0') FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+')) AS m FROM b)) SELECT doc_id, name, 'external' AS how FROM x UNION ALL SELECT doc_id, name, 'rules' FROM r WHERE name <> 'que'")
 def k23(spark, d):
     outside = S.table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit("outside").alias("name"))
     known = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("the", "and", "une", "der", "que")])).alias("name"), F.lit(None).cast("string").alias("alias"))
-    return K.with_fallback(docs(spark, d), outside, known, ("que",))
+    events = S.table(spark, d, "benchmark").select(F.col("item_id").alias("eid"), F.substring("text", 1, 20).alias("label"), F.substring("text", 31, 12).alias("description"), F.lit(None).cast("string").alias("place"))
+    return K.with_fallback(docs(spark, d), outside, known, ("que",), events, r"([0-9]+)\.([0-9]+)\.([0-9]+)")

@@ -51,9 +51,12 @@ def t1(spark, d):
     return docs(spark, d).select("doc_id", X.clean_ocr_text(F.col("text"), LETTER).alias("clean"))
 
 
-@query("t3_apply_fixes", "SELECT doc_id, " + "replace(" * 6 + "text" + ", 'thth', 'th'), 'erer', 'er'), 'anan', 'an')" * 2 + " AS fixed FROM documents")
+CHAIN = (*FIXES, ("abab", "aba"), ("xyx", "aa"))
+
+
+@query("t3_apply_fixes", "SELECT doc_id, " + "replace(" * 50 + "text" + ", 'thth', 'th'), 'erer', 'er'), 'anan', 'an'), 'abab', 'aba'), 'xyx', 'aa')" * 10 + " AS fixed FROM documents")
 def t3(spark, d):
-    return docs(spark, d).select("doc_id", X.apply_fixes(F.col("text"), FIXES).alias("fixed"))
+    return docs(spark, d).select("doc_id", X.apply_fixes(F.col("text"), CHAIN).alias("fixed"))
 
 
 @query("t4_fix_hits", "SELECT doc_id, (contains(text, 'thth')::INT + contains(text, 'erer')::INT + contains(text, 'anan')::INT)::INTEGER AS hits FROM documents WHERE contains(text, 'thth') OR contains(text, 'erer') OR contains(text, 'anan')")
@@ -62,10 +65,11 @@ def t4(spark, d):
     return docs(spark, d).select("doc_id", hits.alias("hits")).where("hits > 0")
 
 
-@query("t5_translate_stats", "SELECT count(*) AS files, count_if(translate(text, 'éèêà', 'eeea') <> text)::BIGINT AS changed, sum(length(text))::BIGINT AS chars FROM documents")
+@query("t5_translate_stats", "WITH c AS (SELECT text, replace(replace(translate(text, 'éèêà', 'eeea'), 'eeau', 'eau'), 'eer', 'er') AS new FROM documents) SELECT count(*) AS files, count_if(new <> text)::BIGINT AS changed, sum(length(text))::BIGINT AS chars_before, sum(length(new))::BIGINT AS chars_after FROM c")
 def t5(spark, d):
-    new = F.translate("text", "éèêà", "eeea")
-    return docs(spark, d).agg(F.count("*").alias("files"), F.count_if(new != F.col("text")).alias("changed"), F.sum(F.length("text")).alias("chars"))
+    # Characters first, then phrases.
+    new = X.apply_fixes(F.translate("text", "éèêà", "eeea"), (("eeau", "eau"), ("eer", "er")), rounds=1)
+    return X.conversion_stats(docs(spark, d), "text", new)
 
 
 @query("t6_normalize", "SELECT p_partkey, regexp_replace(translate(p_name || ' （Ａ－９）', '" + X.FULL_WIDTH.replace("'", "''") + "', '" + X.HALF_WIDTH.replace("'", "''") + "'), '{SP}+|[，。、“”‘’《》〈〉【】—…·,.()<>\"''_/\\[\\]-]', '', 'g') AS norm FROM part")
@@ -73,9 +77,9 @@ def t6(spark, d):
     return S.table(spark, d, "part").select("p_partkey", X.normalize(F.concat("p_name", F.lit(" （Ａ－９）"))).alias("norm"))
 
 
-@query("t7_normalize_name", f"SELECT n_nationkey, regexp_replace(lower({STRIP.replace('{}', 'n_name')}), '[ay]\\z', '') AS norm FROM nation")
+@query("t7_normalize_name", f"SELECT p_partkey, regexp_replace(lower({STRIP.replace('{}', 'p_name')}), '[gt]\\z', '') AS norm FROM part")
 def t7(spark, d):
-    return S.table(spark, d, "nation").select("n_nationkey", X.normalize_name(F.col("n_name"), "ay").alias("norm"))
+    return S.table(spark, d, "part").select("p_partkey", X.normalize_name(F.col("p_name"), "gt").alias("norm"))
 
 
 @query("t8_parse_page", r"SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(substr(o_orderpriority, 1, 1) || '-' || o_orderkey, '^\s*([0-9]+)', 1), '') AS INTEGER) AS page FROM orders")
@@ -103,11 +107,10 @@ def t11(spark, d):
 GUARD_SQL = "p AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'the', 'th') WHEN doc_id % 3 = 1 THEN text END AS new FROM documents)"
 
 
-@query("t12_correction_guard", f"WITH {GUARD_SQL} SELECT count_if(new IS NOT NULL AND trim(new) <> '' AND new <> text AND length(new) / length(text) BETWEEN 0.9 AND 1.12)::BIGINT AS changed, count_if(new IS NULL OR trim(new) = '')::BIGINT AS failed, count(*) AS total FROM p")
+@query("t12_correction_guard", f"WITH {GUARD_SQL}, o AS (SELECT *, new IS NOT NULL AND trim(new) <> '' AND new <> text AND length(new) / length(text) BETWEEN 0.9 AND 1.12 AS ok FROM p) SELECT count_if(ok)::BIGINT AS changed, count_if(new IS NULL OR trim(new) = '')::BIGINT AS failed, coalesce(sum(doc_id % 4) FILTER (ok), 0)::BIGINT AS edits, count(*) AS total FROM o")
 def t12(spark, d):
-    p = docs(spark, d).withColumn("new", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("the"), F.lit("th"))).when(F.col("doc_id") % 3 == 1, F.col("text")))
-    ok = (F.trim("new") != "") & (F.col("new") != F.col("text")) & (F.length("new") / F.length("text")).between(0.9, 1.12)
-    return p.agg(F.count_if(ok).alias("changed"), F.count_if(F.col("new").isNull() | (F.trim("new") == "")).alias("failed"), F.count("*").alias("total"))
+    new = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("the"), F.lit("th"))).when(F.col("doc_id") % 3 == 1, F.col("text"))
+    return X.guard_counts(docs(spark, d).withColumn("new", new).withColumn("edits", F.col("doc_id") % 4), "text", "new", "edits")
 
 
 @query("t15_token_set", "SELECT conv_id, turn, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))::INTEGER AS tokens FROM conversations")
@@ -115,10 +118,9 @@ def t15(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", F.size(X.token_set(F.col("text"))).alias("tokens"))
 
 
-@query("t16_ocr_quality", "SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS alnum, round_even(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) * 100.0::DOUBLE / greatest(length(text), 1), 6) AS noise, substr(regexp_extract(text, '[a-z]{10,}'), 1, 70) AS run FROM documents")
+@query("t16_ocr_quality", "SELECT doc_id, (length(text) - length(regexp_replace(text, '[a-z]', '', 'g')))::BIGINT AS letters, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS alnum, round_even(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) * 100.0::DOUBLE / greatest(length(text), 1), 6) AS noise, substr(regexp_extract(text, '[a-z]{10,}'), 1, 70) AS run FROM documents")
 def t16(spark, d):
-    n = F.length(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
-    return docs(spark, d).select("doc_id", n.cast("long").alias("alnum"), F.bround(n * F.lit(100.0) / F.greatest(F.length("text"), F.lit(1)), 6).alias("noise"), F.substring(F.regexp_extract("text", "[a-z]{10,}", 0), 1, 70).alias("run"))
+    return X.ocr_quality(docs(spark, d), "text", "[a-z]{10,}", "[a-z]").select("doc_id", "letters", "alnum", "noise", "run")
 
 
 @query("t17_trace_text", "SELECT doc_id, regexp_replace(translate(text, 'éè', 'ee'), '[^a-zA-Z0-9\\x{4e00}-\\x{9fff}]', '', 'g') AS trace FROM documents")
@@ -126,10 +128,17 @@ def t17(spark, d):
     return docs(spark, d).select("doc_id", X.sub(F.translate("text", "éè", "ee"), r"[^a-zA-Z0-9\x{4e00}-\x{9fff}]", "").alias("trace"))
 
 
-@query("t20_intents", r"SELECT conv_id, turn, (contains(lower(text), 'the') OR contains(lower(text), 'route'))::BOOLEAN AS asks_route, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)\s*days?', 1), '') AS INTEGER) AS days, CASE WHEN contains(text, 'and') THEN 'and' WHEN contains(text, 'of') THEN 'of' END AS mode FROM conversations")
+FLAGS = {"asks_route": ("the", "route"), "compares": ("than", "other"), "is_chat": ("hello",)}
+PLACES = ("que", "der", "une", "and", "the")
+
+
+@query("t20_intents", r"""SELECT conv_id, turn, contains(text, 'the') OR contains(text, 'route') AS asks_route, contains(text, 'than') OR contains(text, 'other') AS compares, contains(text, 'hello') AS is_chat,
+TRY_CAST(nullif(regexp_extract(text, '([0-9]+)\s*days?', 1), '') AS INTEGER) AS days, CASE WHEN contains(text, 'une') THEN 'une' WHEN contains(text, 'der') THEN 'der' WHEN contains(text, 'ing') THEN 'ing' END AS city,
+CASE WHEN contains(text, 'air') OR contains(text, 'aux') THEN 'air' WHEN contains(text, 'rail') OR contains(text, 'ent') THEN 'rail' END AS mode, CASE WHEN contains(text, 'tion') THEN 'first' WHEN contains(text, 'ung') THEN 'second' WHEN contains(text, 'cion') THEN 'first' END AS stage,
+array_to_string(list_transform(list_sort(list_filter(list_transform(['que', 'der', 'une', 'and', 'the'], lambda x, i: struct_pack(at := instr(text, x), i := i, x := x)), lambda s: s.at > 0)), lambda s: s.x), ',') AS sites FROM conversations""")
 def t20(spark, d):
-    t = F.col("text")
-    return S.table(spark, d, "conversations").select("conv_id", "turn", F.exists(F.array(F.lit("the"), F.lit("route")), lambda w: F.contains(F.lower(t), w)).alias("asks_route"), F.nullif(F.regexp_extract(t, r"(\d+)\s*days?", 1), F.lit("")).cast("int").alias("days"), F.when(F.contains(t, F.lit("and")), "and").when(F.contains(t, F.lit("of")), "of").alias("mode"))
+    c = X.slots(S.table(spark, d, "conversations"), "text", FLAGS, ("une", "der", "ing"), {"air": ("air", "aux"), "rail": ("rail", "ent")}, (("tion", "first"), ("ung", "second"), ("cion", "first")), PLACES, r"(\d+)\s*days?")
+    return c.select("conv_id", "turn", *FLAGS, "days", "city", "mode", "stage", F.array_join("sites", ",").alias("sites"))
 
 
 @query("c1_line_chunks")
@@ -177,7 +186,7 @@ def c10(spark, d):
 
 
 @query("c5_section_of", """WITH toc AS (SELECT source AS book, doc_id AS ord, 'item' || doc_id AS item, CASE WHEN doc_id % 7 <> 0 THEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) * 3)::INTEGER END AS page FROM documents),
-r AS (SELECT *, coalesce(lead(page IGNORE NULLS) OVER (PARTITION BY book ORDER BY ord), page + 1) AS stop FROM toc),
+r AS (SELECT *, coalesce(lead(page IGNORE NULLS) OVER (PARTITION BY book ORDER BY ord), max(page) OVER (PARTITION BY book) + 1) AS stop FROM toc),
 c AS (SELECT source AS book, doc_id AS chunk_id, (doc_id % 50)::INTEGER AS page FROM documents)
 SELECT c.book, c.chunk_id, c.page, min_by(r.item, r.ord) AS section FROM c LEFT JOIN r ON c.book = r.book AND r.page IS NOT NULL AND c.page >= r.page AND c.page < r.stop GROUP BY ALL""")
 def c5(spark, d):
@@ -189,6 +198,41 @@ def c5(spark, d):
     return C.section_of(x.select(F.col("source").alias("book"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).cast("int").alias("page")), toc)
 
 
+APPROX_SQL = """n AS (SELECT doc_id AS book, length(text) AS n FROM documents WHERE text IS NOT NULL), toc AS (SELECT book, o AS ord, 'item' || o AS item, CASE WHEN (book + o) % 4 <> 0 AND book % 9 <> 0 THEN o * o * 3 END::INTEGER AS page FROM n, (SELECT unnest([1, 2, 3, 4, 5]) AS o)),
+r AS (SELECT *, coalesce(lead(page IGNORE NULLS) OVER (PARTITION BY book ORDER BY ord), max(page) OVER (PARTITION BY book) + 1) AS stop FROM toc), e AS (SELECT book, min(page) AS lo, max(page) AS hi FROM toc GROUP BY book),
+c AS (SELECT book, unnest(generate_series(0, n // 500))::INTEGER AS chunk_id, n FROM n),
+p AS (SELECT book, chunk_id, round_even(lo + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (chunk_id * 500 - n * 0.03::DOUBLE) / greatest(n * (1 - 0.03::DOUBLE), 1.0::DOUBLE))) * (hi - lo), 0)::INTEGER AS page FROM c JOIN e USING (book)),
+a AS (SELECT p.book, p.chunk_id, min_by(item, ord) AS section, CASE WHEN min(ord) IS NOT NULL THEN any_value(p.page) END AS page, CASE WHEN min(ord) IS NOT NULL THEN 'approx' END AS how FROM p LEFT JOIN r ON r.book = p.book AND r.page IS NOT NULL AND p.page >= r.page AND p.page < r.stop GROUP BY p.book, p.chunk_id)"""
+
+
+def approximate(spark, d):
+    n = docs(spark, d).select(F.col("doc_id").alias("book"), F.length("text").alias("length")).where("length IS NOT NULL")
+    page = F.when(((F.col("book") + F.col("ord")) % 4 != 0) & (F.col("book") % 9 != 0), F.col("ord") * F.col("ord") * 3)
+    toc = n.select("book", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ord")).select("book", "ord", F.concat(F.lit("item"), F.col("ord").cast("string")).alias("item"), page.cast("int").alias("page"))
+    chunks = n.withColumn("chunk_id", F.explode(F.sequence(F.lit(0), F.expr("CAST(length DIV 500 AS INT)")))).withColumn("offset", F.col("chunk_id") * 500)
+    return C.approx_annotated(chunks, toc)
+
+
+@query("c5_approx_annotated", f"WITH {APPROX_SQL} SELECT book, chunk_id, section, page, how FROM a")
+def c5_approx(spark, d):
+    return approximate(spark, d)
+
+
+@query("c10_annotated_share", f"WITH {APPROX_SQL} SELECT book, count(*) AS chunks, count(page) AS with_page, count(section) AS with_section, round(count(section) / count(*), 4) AS share FROM a GROUP BY book")
+def c10_share(spark, d):
+    return C.annotated_share(approximate(spark, d))
+
+
+@query("c10_place_counts", f"WITH {CHUNK_SQL} SELECT place, count(*) AS n FROM chunks, (SELECT unnest(['and', 'the', 'une', 'der', 'que']) AS place) WHERE contains(text, place) GROUP BY place")
+def c10_places(spark, d):
+    return C.place_counts(C.postings(C.tag_places(chunked(spark, d), TERMS)))
+
+
+@query("c10_totals", f"WITH {CHUNK_SQL} SELECT count(*) AS chunks, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 4) AS mean_chars FROM chunks")
+def c10_totals(spark, d):
+    return C.totals(chunked(spark, d))
+
+
 WORD_LIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 WORD_TERMS = "list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)"
 CHAR_LIST = "list_transform(list_filter(string_split_regex(lower(text), '{SP}+'), lambda p: p <> ''), lambda p: ' ' || p || ' ')"
@@ -273,17 +317,21 @@ def r7(spark, d):
     return R.dense_top_k(e, e.where(F.col("vec_id") % 100 == 0), 5)
 
 
-LEGS_SQL = "legs AS (SELECT l AS leg, c_nationkey AS qid, c_custkey % 50 AS unit, row_number() OVER (PARTITION BY l, c_nationkey ORDER BY c_acctbal * (1 + l), c_custkey)::INTEGER AS rank, CASE l WHEN 0 THEN 1.0 ELSE 0.5 END AS weight FROM customer, (SELECT unnest([0, 1])::INTEGER AS l) WHERE c_custkey <= 50 + l)"
+LEGS_SQL = "legs AS (SELECT l AS leg, c_nationkey AS qid, c_custkey % 50 AS unit, row_number() OVER (PARTITION BY l, c_nationkey ORDER BY c_acctbal * (1 + l), c_custkey)::INTEGER AS rank, CASE l WHEN 0 THEN 1.0 ELSE 0.5 END AS weight FROM (SELECT c_nationkey, c_custkey % 50 AS c_custkey, max(c_acctbal) AS c_acctbal FROM customer GROUP BY 1, 2), (SELECT unnest([0, 1])::INTEGER AS l))"
 
 
-@query("r8_rank_fusion", f"WITH {LEGS_SQL}, f AS (SELECT qid, unit, round(sum(weight::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(leg := leg, rank := rank)) AS first FROM legs GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, unit)::INTEGER AS rank FROM f) SELECT qid, unit, score, rank FROM r WHERE rank <= 5")
-def r8(spark, d):
+def ranked_legs(spark, d):
+    """Two rankings a nation over all customers: a unit is a group of them, its rank that of its best balance."""
     from pyspark.sql import Window
 
-    c = S.table(spark, d, "customer").withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("c_custkey") <= 50 + F.col("leg"))
-    rank = F.row_number().over(Window.partitionBy("leg", "c_nationkey").orderBy(F.col("c_acctbal") * (1 + F.col("leg")), "c_custkey"))
-    legs = c.select("leg", F.col("c_nationkey").alias("qid"), (F.col("c_custkey") % 50).alias("unit"), rank.alias("rank"), F.when(F.col("leg") == 0, 1.0).otherwise(0.5).alias("weight"))
-    return R.fuse(legs)
+    c = S.table(spark, d, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 50).alias("unit")).agg(F.max("c_acctbal").alias("best")).withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1))))
+    rank = F.row_number().over(Window.partitionBy("leg", "c_nationkey").orderBy(F.col("best") * (1 + F.col("leg")), "unit"))
+    return c.select("leg", F.col("c_nationkey").alias("qid"), "unit", rank.alias("rank"), F.when(F.col("leg") == 0, 1.0).otherwise(0.5).alias("weight"))
+
+
+@query("r8_rank_fusion", f"WITH {LEGS_SQL}, f AS (SELECT qid, unit, round(sum(weight::DOUBLE / (60 + rank)), 9) AS score, min(struct_pack(leg := leg, rank := rank)) AS first FROM legs GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, unit)::INTEGER AS rank FROM f) SELECT qid, unit, score, rank FROM r WHERE rank <= 5")
+def r8(spark, d):
+    return R.fuse(ranked_legs(spark, d))
 
 
 TURN_ORDER = "turn, role, text"
@@ -315,9 +363,18 @@ def e8(spark, d):
     return R.calibration(S.table(spark, d, "labels").select(F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") * 7 % 101) / F.lit(100.0)).alias("confidence"), F.col("quality").alias("label")))
 
 
-@query("e9_latency", "SELECT event_type AS path, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
+@query("e9_latency", "WITH x AS (SELECT event_type AS path, value, event_id % 7 = 0 AS flag FROM events), a AS (SELECT * FROM x UNION ALL SELECT 'all', value, flag FROM x) SELECT path, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi, count_if(flag)::BIGINT AS flagged FROM a GROUP BY 1")
 def e9(spark, d):
-    return S.table(spark, d, "events").groupBy(F.col("event_type").alias("path")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return G.latency(timed(spark, d))
+
+
+def timed(spark, d):
+    return S.table(spark, d, "events").select(F.col("event_type").alias("path"), F.col("value").alias("seconds"), (F.col("event_id") % 7 == 0).alias("flag"))
+
+
+@query("e9_difference", "SELECT round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'error'), 6) AS difference FROM events")
+def e9_difference(spark, d):
+    return G.path_difference(timed(spark, d), "click", "error")
 
 
 @query("v1_run_counts", "WITH r AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}]+')) AS run FROM documents) SELECT run, count(*) AS n FROM r WHERE length(run) BETWEEN 2 AND 8 GROUP BY run HAVING count(*) >= 3")
@@ -326,10 +383,10 @@ def v1(spark, d):
     return r.where(F.length("run").between(2, 8)).groupBy("run").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@query("k1_dictionary_mentions", r"""WITH e AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS k FROM part UNION SELECT unnest(['the', 'and', 'une', 'der'])), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS k FROM documents) SELECT doc_id, k AS name FROM w JOIN e USING (k)""")
+@query("k1_dictionary_mentions", "WITH e AS (SELECT DISTINCT p_name AS name, lower(p_brand) AS alias FROM part UNION SELECT unnest(['the', 'and the', 'une']), 'der'), p AS (SELECT name, name AS part FROM e UNION SELECT name, alias FROM e) SELECT DISTINCT doc_id, name FROM documents JOIN p ON contains(text, part)")
 def k1(spark, d):
-    names = S.table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).union(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("the", "and", "une", "der")])))).distinct()
-    return K.dictionary_mentions(docs(spark, d), names.withColumn("alias", F.lit(None).cast("string")))
+    own = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("the", "and the", "une")])).alias("name"), F.lit("der").alias("alias"))
+    return K.dictionary_mentions(docs(spark, d), S.table(spark, d, "part").select(F.col("p_name").alias("name"), F.lower("p_brand").alias("alias")).distinct().union(own))
 
 
 @query("k3_date_mentions", r"SELECT doc_id, lpad(regexp_extract(m, '([0-9]+)\.([0-9]+)\.([0-9]+)', 1), 4, '0') || '-' || lpad(regexp_extract(m, '([0-9]+)\.([0-9]+)\.([0-9]+)', 2), 2, '0') || '-' || lpad(regexp_extract(m, '([0-9]+)\.([0-9]+)\.([0-9]+)', 3), 2, '0') AS iso FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+')) AS m FROM documents)")
@@ -366,6 +423,19 @@ def k10(spark, d):
     return K.resolve(items, saver(spark))
 
 
+@query("k10_merged", f"""WITH RECURSIVE {ITEMS_SQL}, o AS (SELECT key, min(ord) AS first FROM (SELECT ord, unnest(keys) AS key FROM it) WHERE key <> '' GROUP BY key),
+p AS (SELECT it.ord, CASE WHEN is_base OR name_key = '' OR first IS NULL OR first >= it.ord THEN it.ord ELSE first END AS parent FROM it LEFT JOIN o ON o.key = it.name_key),
+c AS (SELECT ord, parent AS root FROM p UNION SELECT c.ord, p.parent FROM c JOIN p ON p.ord = c.root WHERE p.parent <> c.root), g AS (SELECT ord, min(root) AS root FROM c GROUP BY ord),
+al AS (SELECT g.root, it.keys[2] AS alias, min(it.ord) AS fst FROM g JOIN it USING (ord) WHERE it.keys[2] <> '' GROUP BY ALL), la AS (SELECT root, string_agg(alias, ',' ORDER BY fst) AS aliases FROM al GROUP BY root),
+de AS (SELECT g.root, min_by(p_type, p_partkey) AS told FROM g JOIN part ON p_partkey = g.ord WHERE p_partkey % 3 = 0 GROUP BY g.root)
+SELECT CASE WHEN p_partkey <= 20 THEN 'B' || p_partkey ELSE upper(substr(p_type, 1, 1)) || '_' || upper(substr(sha1(p_type || ':' || split_part(p_name, ' ', 1)), 1, 8)) END AS id, split_part(p_name, ' ', 1) AS name, coalesce(aliases, '') AS aliases, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE told END AS description, CASE WHEN p_partkey <= 20 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence
+FROM part JOIN g ON g.ord = p_partkey AND g.root = p_partkey LEFT JOIN la ON la.root = p_partkey LEFT JOIN de ON de.root = p_partkey""")
+def k10_merged(spark, d):
+    w, key = F.split("p_name", " "), F.col("p_partkey")
+    items = S.table(spark, d, "part").select(key.alias("ord"), (key <= 20).alias("is_base"), F.concat(F.lit("B"), key.cast("string")).alias("id"), F.get(w, F.lit(0)).alias("name"), F.col("p_type").alias("type"), F.array(F.lower(F.coalesce(F.get(w, F.lit(1)), F.lit("")))).alias("aliases"), F.when(key % 3 == 0, F.col("p_type")).alias("description"), F.when(key <= 20, 0.9).alias("confidence"))
+    return K.merged_entities(items, k10(spark, d)).select("id", "name", F.array_join("aliases", ",").alias("aliases"), "description", "confidence")
+
+
 def saver(spark):
     """Cuts the lineage of each round of an iteration: a table in the shared folder."""
     return saved
@@ -381,11 +451,37 @@ def k13(spark, d):
     return K.near_pairs(S.table(spark, d, "part").select(F.col("p_name").alias("name")))
 
 
-@query("k16_reviewed", "WITH d AS (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'remove' WHEN 1 THEN 'rename' ELSE 'approve' END AS action FROM nation WHERE n_nationkey < 12) SELECT n_nationkey AS id, CASE WHEN action = 'rename' THEN lower(n.n_name) ELSE n.n_name END AS name, coalesce(action, 'pending') AS status FROM nation n LEFT JOIN d USING (n_name) WHERE action IS NULL OR action <> 'remove'")
+DECIDED_SQL = "dc AS (SELECT c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'remove' WHEN 1 THEN 'rename' ELSE 'approve' END AS action FROM customer WHERE c_custkey % 5 < 2 UNION ALL SELECT 'nobody ' || n_nationkey, 'remove' FROM nation)"
+
+
+def decided(spark, d):
+    c, k = S.table(spark, d, "customer"), F.col("c_custkey")
+    act = F.when(k % 4 == 0, "remove").when(k % 4 == 1, "rename").otherwise("approve")
+    said = c.where("c_custkey % 5 < 2").select(F.col("c_name").alias("name"), act.alias("action"), F.lower("c_name").alias("canonical_name"))
+    none = S.table(spark, d, "nation").select(F.concat(F.lit("nobody "), F.col("n_nationkey").cast("string")).alias("name"), F.lit("remove").alias("action"), F.lit(None).cast("string").alias("canonical_name"))
+    return c.select(k.alias("id"), F.col("c_name").alias("name")), said.union(none)
+
+
+@query("k16_reviewed", f"WITH {DECIDED_SQL} SELECT c_custkey AS id, CASE WHEN action = 'rename' THEN lower(c_name) ELSE c_name END AS name, coalesce(action, 'pending') AS status FROM customer LEFT JOIN dc ON dc.name = c_name WHERE action IS NULL OR action <> 'remove'")
 def k16(spark, d):
-    n = S.table(spark, d, "nation")
-    act = F.when(F.col("n_nationkey") % 4 == 0, "remove").when(F.col("n_nationkey") % 4 == 1, "rename").otherwise("approve")
-    return K.reviewed(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), n.where("n_nationkey < 12").select(F.col("n_name").alias("name"), act.alias("action"), F.lower("n_name").alias("canonical_name")))
+    return K.reviewed(*decided(spark, d))
+
+
+@query("k16_relations", f"WITH {DECIDED_SQL}, gone AS (SELECT c_custkey AS id FROM customer JOIN dc ON dc.name = c_name WHERE action = 'remove') SELECT o_orderkey AS rid, o_custkey AS source, o_custkey + 1 AS target FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone) AND o_custkey + 1 NOT IN (SELECT id FROM gone)")
+def k16_relations(spark, d):
+    r = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("source"), (F.col("o_custkey") + 1).alias("target"))
+    return K.reviewed_relations(r, *decided(spark, d)).select("rid", "source", "target")
+
+
+@query("k16_stats", f"WITH {DECIDED_SQL} SELECT CASE WHEN c_custkey IS NULL THEN 'missing' ELSE action END AS action, count(*) AS n FROM dc LEFT JOIN customer ON c_name = dc.name GROUP BY 1")
+def k16_stats(spark, d):
+    return K.review_stats(*decided(spark, d))
+
+
+@query("k13_near_duplicates")
+def k13_ratio(spark, d):
+    part = S.table(spark, d, "part")
+    return K.near_duplicates(part.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")))
 
 
 @query("k18_problems", "SELECT 'dangling_source' AS problem, o_orderkey AS ref FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) UNION ALL SELECT 'dangling_target', o_orderkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'blank_relation', o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
@@ -401,11 +497,35 @@ def k19(spark, d):
     return S.table(spark, d, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("entities"), F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
 
 
-@query("k20_neighbours", """WITH s AS (SELECT c_nationkey AS qid, c_custkey AS id FROM customer WHERE c_custkey <= 30), r AS (SELECT o_orderkey AS ord, o_orderkey AS rid, o_custkey AS source, -o_orderkey - 1 AS target FROM orders),
-h AS (SELECT DISTINCT qid, ord, rid, target AS other FROM r JOIN s ON r.source = s.id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord, other)::INTEGER AS place FROM h) SELECT * FROM k WHERE place <= 5""")
+@query("k19_graph_summary", "SELECT 'total' AS metric, 'entities' AS name, count(*) AS n FROM part UNION ALL SELECT 'total', 'relations', count(*) FROM orders UNION ALL SELECT 'entities', p_type, count(*) FROM part GROUP BY p_type UNION ALL SELECT 'relations', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority")
+def k19_graph(spark, d):
+    return K.graph_summary(S.table(spark, d, "part").select(F.col("p_type").alias("type")), S.table(spark, d, "orders").select(F.col("o_orderpriority").alias("relation")))
+
+
+SEEDS_SQL = """q AS (SELECT n_nationkey AS qid, CASE WHEN n_nationkey % 4 = 0 THEN 'Customer#' || lpad((n_nationkey * 3)::VARCHAR, 9, '0') END AS entity, CASE WHEN n_nationkey % 4 = 1 THEN '0' || (n_nationkey + 10) END AS event, CASE WHEN n_nationkey % 4 = 2 THEN '#00000' || lpad(n_nationkey::VARCHAR, 3, '0') END AS topic, CASE WHEN n_nationkey % 4 = 3 THEN n_nationkey END AS year FROM nation),
+s AS (SELECT DISTINCT qid, c_custkey AS id FROM q JOIN customer ON c_name = entity OR 'alias ' || c_custkey = entity OR (c_mktsegment = 'BUILDING' AND (contains(c_name, event) OR contains('alias ' || c_custkey, event))) OR contains(c_name, topic) OR contains('alias ' || c_custkey, topic) OR contains('of ' || c_nationkey, topic) OR c_nationkey = year)"""
+
+
+def asked_seeds(spark, d):
+    c, k = S.table(spark, d, "customer"), F.col("n_nationkey")
+    text = lambda x: x.cast("string")
+    e = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "event").otherwise("other").alias("type"), F.array(F.concat(F.lit("alias "), text(F.col("c_custkey")))).alias("aliases"), F.concat(F.lit("of "), text(F.col("c_nationkey"))).alias("description"), F.col("c_nationkey").alias("year"))
+    q = S.table(spark, d, "nation").select(k.alias("qid"), F.when(k % 4 == 0, F.concat(F.lit("Customer#"), F.lpad(text(k * 3), 9, "0"))).alias("entity"), F.when(k % 4 == 1, F.concat(F.lit("0"), text(k + 10))).alias("event"), F.when(k % 4 == 2, F.concat(F.lit("#00000"), F.lpad(text(k), 3, "0"))).alias("topic"), F.when(k % 4 == 3, k).alias("year"))
+    return K.query_seeds(e, q)
+
+
+@query("k20_seeds", f"WITH {SEEDS_SQL} SELECT qid, id FROM s")
+def k20_seeds(spark, d):
+    return asked_seeds(spark, d)
+
+
+@query("k20_neighbours", f"""WITH {SEEDS_SQL}, r AS (SELECT o_orderkey AS ord, o_orderkey AS rid, o_custkey AS source, -o_orderkey - 1 AS target, o_orderpriority AS relation FROM orders),
+h AS (SELECT DISTINCT qid, ord, rid, target AS other FROM r JOIN s ON r.source = s.id WHERE qid % 5 <> 0 OR relation = '5-LOW'), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord, other)::INTEGER AS place FROM h) SELECT * FROM k WHERE place <= 5""")
 def k20(spark, d):
-    r = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("source"), (-F.col("o_orderkey") - 1).alias("target"))
-    return K.neighbours(S.table(spark, d, "customer").where("c_custkey <= 30").select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("id")), r, 5)
+    o = S.table(spark, d, "orders")
+    r = o.select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("source"), (-F.col("o_orderkey") - 1).alias("target"), F.col("o_orderpriority").alias("relation"))
+    kinds = S.table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("qid"), F.lit("5-LOW").alias("relation"))
+    return K.neighbours(asked_seeds(spark, d), r, 5, kinds)
 
 
 POINT = "(s_suppkey * 37 % 120 - 60)::DOUBLE AS plat, (s_suppkey * 53 % 300 - 150)::DOUBLE AS plng"
@@ -424,12 +544,21 @@ def sites(spark, d):
 
 
 MODES_SQL = "m AS (SELECT * FROM (VALUES ('road', 50.0::DOUBLE, 0.0::DOUBLE, 1.35::DOUBLE, 0.0::DOUBLE, 0), ('rail', 200, 0.75, 1.2, 80, 1), ('air', 700, 2.5, 1.05, 400, 2)) AS t(mode, speed, overhead, detour, min_km, pref))"
-TRAVEL_SQL = f"s AS (SELECT {SITE} FROM nation), p AS (SELECT s_suppkey AS origin, {POINT} FROM supplier WHERE s_suppkey <= 40), {MODES_SQL}, k AS (SELECT origin, site, mode, speed, overhead, pref, min_km, round({HAV.format(a='plat', o='plng')} * detour, 1) AS km FROM p, s, m), tr AS (SELECT origin, site, mode, pref, min_km, km, round(km / speed + overhead, 4) AS hours FROM k)"
+TRAVEL_SQL = f"s AS (SELECT {SITE.replace('(n_nationkey * 7', 'CASE WHEN n_nationkey % 6 <> 5 THEN (n_nationkey * 7').replace('::DOUBLE AS lat', '::DOUBLE END AS lat')} FROM nation), p AS (SELECT s_suppkey AS origin, {POINT} FROM supplier), {MODES_SQL}, k AS (SELECT origin, site, mode, speed, overhead, pref, min_km, round({HAV.format(a='plat', o='plng')} * detour, 1) AS km FROM p, s, m), h AS (SELECT *, km / speed + overhead AS h, (floor(km / speed + overhead) * 60 + round_even((km / speed + overhead - floor(km / speed + overhead)) * 60, 0))::INTEGER AS mi FROM k), tr AS (SELECT origin, site, mode, pref, min_km, coalesce(km, 0) AS km, coalesce(round(h, 4), 0) AS hours, CASE WHEN mi IS NULL THEN 'unknown' WHEN mi >= 60 THEN (mi // 60) || 'h' || (mi % 60) || 'm' ELSE mi || 'm' END AS time FROM h)"
 
 
 def travelled(spark, d):
-    p = points(spark, d).where("point <= 40").withColumnsRenamed({"point": "origin", "plat": "olat", "plng": "olng"})
-    return G.travel(p.join(F.broadcast(sites(spark, d)), F.col("olat").isNotNull()), G.modes(spark))
+    """All suppliers to all sites; every sixth site is at an unknown place."""
+    p = points(spark, d).withColumnsRenamed({"point": "origin", "plat": "olat", "plng": "olng"})
+    known = sites(spark, d).withColumn("lat", F.when(F.col("ord") % 6 != 5, F.col("lat")))
+    return G.travel(p.crossJoin(known), G.modes(spark))
+
+
+@query("g1_haversine", f"WITH s AS (SELECT {SITE} FROM nation), p AS (SELECT s_suppkey AS point, s_nationkey, {POINT} FROM supplier) SELECT point, round({HAV.format(a='plat', o='plng')}, 6) AS km FROM p JOIN s ON s.ord = s_nationkey")
+def g1(spark, d):
+    own = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("point"), F.col("s_nationkey").alias("ord"))
+    j = points(spark, d).join(own, "point").join(sites(spark, d), "ord")
+    return j.select("point", F.round(G.haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")), 6).alias("km"))
 
 
 @query("g2_travel_matrix", f"WITH {TRAVEL_SQL} SELECT * FROM tr")
@@ -437,33 +566,32 @@ def g2(spark, d):
     return travelled(spark, d)
 
 
-@query("g3_choose_mode", f"WITH {TRAVEL_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY origin, site ORDER BY CASE WHEN hours <= 5 THEN pref ELSE 100 - pref END) AS r FROM tr WHERE km >= min_km) SELECT origin, site, mode, km, hours FROM f WHERE r = 1")
+@query("g3_choose_mode", f"WITH {TRAVEL_SQL}, l AS (SELECT *, CASE origin % 4 WHEN 1 THEN 2.5::DOUBLE WHEN 2 THEN 5.0::DOUBLE WHEN 3 THEN 8.0::DOUBLE ELSE 10.0::DOUBLE END AS most FROM tr), f AS (SELECT *, row_number() OVER (PARTITION BY origin, site ORDER BY CASE WHEN km >= min_km AND hours <= most THEN pref WHEN km >= min_km AND pref = 2 THEN 100 WHEN pref = 0 THEN 101 ELSE 102 END) AS r FROM l) SELECT origin, site, mode, km, hours FROM f WHERE r = 1")
 def g3(spark, d):
-    return G.choose_mode(travelled(spark, d), F.lit(5.0))
+    days = F.col("origin") % 4
+    return G.choose_mode(travelled(spark, d), G.day_limit(F.when(days > 0, days)))
 
 
 @query("g4_nearest_sites", f"WITH s AS (SELECT {SITE} FROM nation), p AS (SELECT s_suppkey AS point, {POINT} FROM supplier), k AS (SELECT point, site, ord, round({HAV.format(a='plat', o='plng')}, 6) AS km FROM p, s), r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, ord)::INTEGER AS rank FROM k) SELECT point, site, km, rank FROM r WHERE rank <= 3")
 def g4(spark, d):
-    return G.nearest(points(spark, d), F.broadcast(sites(spark, d)), 3)
+    return G.nearest(points(spark, d), sites(spark, d), 3)
 
 
 @query("g6_distinct_sites", f"WITH p AS (SELECT s_suppkey AS point, {POINT} FROM supplier) SELECT min(point) AS point, round_even(plat / 10, 0) + 0.0::DOUBLE AS la, round_even(plng / 10, 0) + 0.0::DOUBLE AS lo FROM p GROUP BY 2, 3")
 def g6(spark, d):
-    return points(spark, d).groupBy((F.bround(F.col("plat") / 10, 0) + F.lit(0.0)).alias("la"), (F.bround(F.col("plng") / 10, 0) + F.lit(0.0)).alias("lo")).agg(F.min("point").alias("point"))
+    return G.distinct_sites(points(spark, d))
 
 
 @query("g10_price_quote", "WITH q AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 98 WHEN 'O' THEN 128 ELSE 110 END AS fee, least(greatest(o_custkey % 260, 1), 200)::INTEGER AS size, least(greatest(o_orderkey % 10, 1), 7)::INTEGER AS days FROM orders) SELECT o_orderkey, (fee * days)::INTEGER AS per_head, (fee * days * size)::INTEGER AS total, ceil(size / 20.0)::BIGINT AS guides FROM q")
 def g10(spark, d):
     fee = F.when(F.col("o_orderstatus") == "F", 98).when(F.col("o_orderstatus") == "O", 128).otherwise(110)
-    clamp = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi)).cast("int")
-    size, days = clamp(F.col("o_custkey") % 260, 1, 200), clamp(F.col("o_orderkey") % 10, 1, 7)
-    return S.table(spark, d, "orders").select("o_orderkey", (fee * days).alias("per_head"), (fee * days * size).alias("total"), F.ceil(size / 20).alias("guides"))
+    return G.price_quote(S.table(spark, d, "orders"), fee, F.col("o_custkey") % 260, F.col("o_orderkey") % 10).select("o_orderkey", "per_head", "total", "guides")
 
 
-@query("g12_day_type", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), k AS (SELECT day, CASE WHEN day(day) % 10 = 1 THEN 'holiday' WHEN day(day) % 10 = 4 THEN 'makeup_workday' WHEN dayofweek(day) IN (0, 6) THEN 'weekend' ELSE 'workday' END AS kind FROM d) SELECT day::VARCHAR AS day, kind, CASE kind WHEN 'holiday' THEN 1.8::DOUBLE WHEN 'weekend' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM k")
+@query("g12_day_type", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), k AS (SELECT day, CASE WHEN day(day) % 10 = 1 THEN 'holiday' WHEN day(day) % 10 = 4 THEN 'makeup_workday' WHEN dayofweek(day) IN (0, 6) THEN 'weekend' ELSE 'workday' END AS kind FROM d) SELECT day::VARCHAR AS day, kind, CASE kind WHEN 'holiday' THEN 1.8::DOUBLE WHEN 'weekend' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS factor, CASE WHEN kind = 'holiday' AND day(day) <> 11 THEN 'holiday: feast' WHEN kind = 'makeup_workday' THEN 'makeup_workday: feast' ELSE kind END AS label FROM k")
 def g12(spark, d):
     days = S.table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
-    cal = days.select("day", F.when(F.dayofmonth("day") % 10 == 1, "holiday").when(F.dayofmonth("day") % 10 == 4, "makeup").alias("kind")).where("kind IS NOT NULL")
+    cal = days.select("day", F.when(F.dayofmonth("day") % 10 == 1, "holiday").when(F.dayofmonth("day") % 10 == 4, "makeup").alias("kind"), F.when(F.dayofmonth("day") != 11, "feast").alias("name")).where("kind IS NOT NULL")
     return G.day_type(days, cal).withColumn("day", F.col("day").cast("string"))
 
 
@@ -474,10 +602,10 @@ def g13(spark, d):
     return S.table(spark, d, "events").select("event_id", G.weather_factor(text, F.when(i % 9 == 0, "n/a").otherwise((i % 60 - 20).cast("string"))).alias("factor"))
 
 
-@query("g14_as_of_weather", "WITH o AS (SELECT user_id % 10 AS site, ts AS obs, value FROM events WHERE event_id % 3 = 0), b AS (SELECT event_id, user_id % 10 AS site, ts FROM events WHERE event_id % 3 = 1), j AS (SELECT b.event_id, o.value, row_number() OVER (PARTITION BY event_id ORDER BY obs DESC, value DESC) AS r FROM b LEFT JOIN o ON o.site = b.site AND o.obs <= b.ts AND epoch_us(b.ts) - epoch_us(o.obs) < 900000000) SELECT event_id, value FROM j WHERE r = 1")
+@query("g14_as_of_weather", "WITH o AS (SELECT user_id % 10 AS site, ts AS obs, value FROM events WHERE event_id % 3 = 0), b AS (SELECT event_id, user_id % 10 AS site, ts FROM events WHERE event_id % 3 <> 0), j AS (SELECT b.event_id, o.value, row_number() OVER (PARTITION BY event_id ORDER BY obs DESC, value DESC) AS r FROM b LEFT JOIN o ON o.site = b.site AND o.obs <= b.ts AND epoch_us(b.ts) - epoch_us(o.obs) < 900000000) SELECT event_id, value FROM j WHERE r = 1")
 def g14(spark, d):
     e = S.table(spark, d, "events").withColumn("site", F.col("user_id") % 10)
-    return G.as_of(e.where("event_id % 3 = 1").select("event_id", "site", "ts"), e.where("event_id % 3 = 0").select("site", "ts", "value"), "site", "ts", "value", 900).select("event_id", "value")
+    return G.as_of(e.where("event_id % 3 <> 0").select("event_id", "site", "ts"), e.where("event_id % 3 = 0").select("site", "ts", "value"), "site", "ts", "value", 900).select("event_id", "value")
 
 
 LEVEL_SQL = "CASE WHEN r >= 0.9 THEN 'alert' WHEN r >= 0.7 THEN 'crowded' WHEN r >= 0.4 THEN 'moderate' ELSE 'comfortable' END"
@@ -515,6 +643,24 @@ def m3(spark, d):
     return G.profile(S.table(spark, d, "events").withColumnRenamed("event_type", "site"))
 
 
+@query("m3_visit_counts", "WITH b AS (SELECT user_id, event_type AS site, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(site || ':' || n, ',' ORDER BY site) AS counts FROM b GROUP BY user_id")
+def m3_counts(spark, d):
+    c = G.visit_counts(S.table(spark, d, "events").withColumnRenamed("event_type", "site"))
+    return c.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias("counts"))
+
+
+@query("m3_persona", """WITH e AS (SELECT user_id, ts, event_id, CASE event_id % 5 WHEN 0 THEN 'student' WHEN 1 THEN 'nobody' WHEN 2 THEN 'researcher' END AS persona, CASE WHEN event_id % 3 <> 0 THEN 'q' || event_id ELSE '' END AS question FROM events WHERE user_id % 7 <> 3 OR event_id % 5 = 1),
+p AS (SELECT user_id, arg_max(persona, struct_pack(ts := ts, e := event_id)) FILTER (persona IN ('student', 'researcher')) AS persona FROM e GROUP BY user_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM e WHERE question <> ''),
+r AS (SELECT user_id, string_agg(question, ',' ORDER BY b DESC) FILTER (b <= 12) AS recent, string_agg(question, ',' ORDER BY b DESC) FILTER (b <= 5) AS shown FROM q GROUP BY user_id)
+SELECT user_id, coalesce(persona, 'tourist') AS persona, coalesce(recent, '') AS recent, coalesce(shown, '') AS shown FROM p LEFT JOIN r USING (user_id)""")
+def m3_persona(spark, d):
+    i = F.col("event_id")
+    e = S.table(spark, d, "events").where("user_id % 7 <> 3 OR event_id % 5 = 1")
+    asked = e.select("user_id", "ts", "event_id", F.when(i % 5 == 0, "student").when(i % 5 == 1, "nobody").when(i % 5 == 2, "researcher").alias("persona"), F.when(i % 3 != 0, F.concat(F.lit("q"), i.cast("string"))).otherwise("").alias("question"))
+    return G.persona_and_questions(asked).select("user_id", "persona", F.array_join("recent", ",").alias("recent"), F.array_join("shown", ",").alias("shown"))
+
+
 @query("m4_memory_batches", f"WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY {TURN_ORDER}) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN i // 2 < (CASE WHEN n <= 3 THEN 0 ELSE (n - 2) // 2 END) THEN (i // 2)::INTEGER END AS batch FROM r")
 def m4(spark, d):
     return G.memory_batches(S.table(spark, d, "conversations"), keep=3, batch=2)

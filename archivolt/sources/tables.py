@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivolt.operators.chunks import totals
+
 ENTITY = "id string, type string, name string, aliases array<string>, description string, properties map<string,string>, source string, evidence string, confidence double"
 RELATION = "id string, source string, target string, relation string, label string, properties map<string,string>, source_file string, evidence string, confidence double"
 
@@ -15,14 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str, part: str = "", limit: int | None = None) -> DataFrame:
     """One row per text file: source (file name) and text; `part` must be in the name; the first `limit` by name."""
-    df = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    df = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
     df = df.where(F.contains("source", F.lit(part))) if part else df
     return df.orderBy("source").limit(limit) if limit else df
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations of a graph file with their positions as `ord`."""
-    raw = spark.read.schema(f"entities array<struct<{_struct(ENTITY)}>>, relations array<struct<{_struct(RELATION)}>>").option("multiLine", True).json(path)
+    """Entities and relations of a graph file with their positions as `ord`; a missing file is an empty graph."""
+    schema = f"entities array<struct<{_struct(ENTITY)}>>, relations array<struct<{_struct(RELATION)}>>"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    raw = text.select(F.from_json(F.ltrim("value", F.lit("\ufeff")), schema).alias("g")).select("g.*")  # a byte order mark may stand in front
     return tuple(raw.select(F.posexplode(c).alias("ord", "x")).select("ord", "x.*") for c in ("entities", "relations"))
 
 
@@ -32,7 +42,7 @@ def _struct(schema: str) -> str:
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
     """book, ord, item, page from a JSON map of books to lists of items; blank items go."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     books = raw.select(F.explode(F.from_json("value", "map<string,array<struct<item:string,page:string>>>")).alias("book", "items"))
     rows = books.select("book", F.posexplode("items").alias("ord", "x")).select("book", "ord", "x.item", F.nullif(F.regexp_extract("x.page", r"^\s*(\d+)", 1), F.lit("")).cast("int").alias("page"))
     return rows.where("trim(coalesce(item, '')) <> ''")
@@ -49,7 +59,9 @@ def not_done(rows: DataFrame, done: DataFrame, key: str, least_chars: int, most:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").partitionBy("source").parquet(path)
+    """The chunks by source under `chunks`, and one row that sums them up, as JSON, under `summary`."""
+    chunks.write.mode("overwrite").partitionBy("source").parquet(f"{path}/chunks")
+    totals(chunks).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def write_graph(entities: DataFrame, relations: DataFrame, path: str) -> None:

@@ -43,7 +43,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, clean, t
 
     The checkpoint keeps which files are done. A repeated batch overwrites its own folder, so a lost run adds nothing twice.
     """
-    files = spark.readStream.option("wholetext", True).schema("value string").text(folder)
+    files = spark.readStream.schema("value string").text(folder, wholetext=True)
     rows = files.select(F.xxhash64("_metadata.file_name").alias("doc_id"), F.col("_metadata.file_name").alias("source"), clean(F.col("value")).alias("text"))
 
     def write(batch: DataFrame, number: int) -> None:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import portions, saved
+from .util import portions, saved, scratch
 from .words import mix, shingles
 
 BLOCK = 512
@@ -195,12 +195,11 @@ def cored(rows: DataFrame, name: str) -> DataFrame:
 class Join:
     """Sets and thresholds of one run over a table of documents."""
 
-    def __init__(self, similarity: float, limit: int) -> None:
-        self.similarity, self.limit = similarity, limit
+    def __init__(self, sets: DataFrame, similarity: float, limit: int) -> None:
+        self.sets, self.similarity, self.limit = sets, similarity, limit
         # The sketch tells unlike sets apart: its bits differ with probability (1 - similarity) / 2 at most.
         differ = 64 * (1 - similarity) / 2
         self.differ = math.ceil(differ + 5.7 * math.sqrt(differ))
-        self.sets: DataFrame | None = None
 
     def close(self, x: str, y: str) -> str:
         return f"least({x}.n, {y}.n) >= {self.similarity}D * greatest({x}.n, {y}.n) AND bit_count({x}.sig ^ {y}.sig) <= {self.differ}"
@@ -221,11 +220,11 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def linked(join: Join, reps: DataFrame) -> DataFrame | None:
-    """(node, comp): the connected components among the sets (rep, n, sig, pool) that have a link; None without any link."""
-    nodes = reps.select("rep", "n", "sig", F.col("rep").alias("lab"), F.col("rep").alias("met"), F.explode("pool").alias("key"))
-    live = saved(cored(nodes, "cp-size"), "cp-live")
-    join.sets = saved(join.sets.join(live.select("rep").distinct().hint("merge"), "rep", "left_semi"), "cp-sets")  # grows with the input: never broadcast
+def linked(join: Join, reps: DataFrame, live: DataFrame) -> DataFrame | None:
+    """(node, comp): the connected components among the sets that have a link; None without any link.
+
+    reps: rep, n, sig, pool. live: the sets in their buckets, as of `cored`.
+    """
     leaves, big = [live.where(F.col("m") <= join.limit)], live.where(F.col("m") > join.limit)
     edges: list[DataFrame] = []
     last: list[DataFrame] = []
@@ -315,24 +314,31 @@ def classes(
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     choices = 1 / similarity
     runs = runs_for(recall, similarity, choices)
-    base = saved(source.mapInArrow(_choose(width, runs, choices), "rid long, doc_id long, sig long, k1 long, k2 long, n int, pool array<long>, set array<int>"), "cp-base")
-    same = saved(base.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "cp-same")
-    members = base.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(same, ["k1", "k2"], "left")
-    members = saved(members.select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "cp-members")
-    one = members.where("rid = rep AND n > 0").select("rep", "copies")
-    reps = saved(base.select(F.col("rid").alias("rep"), "n", "sig", "pool").join(one, "rep"), "cp-reps")
-
-    join = Join(similarity, limit)
-    join.sets = base.select(F.col("rid").alias("rep"), "set")
-    labelled = linked(join, reps)
-    if labelled is None:
-        labelled = members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).limit(0)
-    labelled = labelled.withColumnRenamed("node", "rep")
-    if count_links:
-        counts = link_counts(join, labelled, one)
-        labelled = saved(labelled.join(counts, "rep", "left"), "cp-labelled")
-    else:
-        labelled = labelled.withColumn("links", F.lit(0).cast("long"))
-    out = saved(members.join(labelled, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles")), "cp-out")
-    least = saved(out.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "cp-least")
+    with scratch(docs.sparkSession) as drop:
+        base = saved(source.mapInArrow(_choose(width, runs, choices), "rid long, doc_id long, sig long, k1 long, k2 long, n int, pool array<long>, set array<int>"), "cp-base")
+        same = saved(base.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "cp-same")
+        members = base.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(same, ["k1", "k2"], "left")
+        members = saved(members.select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "cp-members")
+        one = members.where("rid = rep AND n > 0").select("rep", "copies")
+        reps = saved(base.select(F.col("rid").alias("rep"), "n", "sig", "pool").join(one, "rep"), "cp-reps")
+        nodes = reps.select("rep", "n", "sig", F.col("rep").alias("lab"), F.col("rep").alias("met"), F.explode("pool").alias("key"))
+        live = saved(cored(nodes, "cp-size"), "cp-live")
+        # The sets of all that share a bucket; they grow with the input and are never broadcast.
+        sets = base.select(F.col("rid").alias("rep"), "set").join(live.select("rep").distinct().hint("merge"), "rep", "left_semi")
+        join = Join(saved(sets, "cp-sets"), similarity, limit)
+        drop(base)
+
+        labelled = linked(join, reps, live)
+        if labelled is None:
+            labelled = members.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).limit(0)
+        labelled = labelled.withColumnRenamed("node", "rep")
+        if count_links:
+            counts = link_counts(join, labelled, one)
+            labelled = saved(labelled.join(counts, "rep", "left"), "cp-labelled")
+        else:
+            labelled = labelled.withColumn("links", F.lit(0).cast("long"))
+        out = members.join(labelled, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+        out = saved(out, "cp-out", keep=True)
+        least = out.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+        least = saved(least, "cp-least", keep=True)
     return out.join(least, "class", "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), "n_links", "n_shingles")

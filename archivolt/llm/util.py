@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,11 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, so that lost executors cost no lineage."""
+_scratch: list[dict[int, tuple[DataFrame, str]]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that lost executors cost no lineage.
+
+    Within `scratch` the table goes at its end, unless it is to be kept.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch and not keep:
+        _scratch[-1][id(out)] = (out, path)  # the table stays, so its id is not given away
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes the tables saved within, at the end or when the function it gives is called with one.
+
+    What is read later must be saved with `keep`: nothing that is returned may still depend on the others.
+    """
+    held: dict[int, tuple[DataFrame, str]] = {}
+    _scratch.append(held)
+
+    def delete(tables: list[tuple[DataFrame, str]]) -> None:
+        for _, p in tables:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    try:
+        yield lambda table: delete([held.pop(id(table))])
+    finally:
+        _scratch.remove(held)
+        delete(list(held.values()))
 
 
 def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:

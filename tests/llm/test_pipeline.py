@@ -60,3 +60,24 @@ def test_run_with_null_ids_and_no_labels(spark, tmp_path):
     # Texts 0 and 4 have a near copy with an id, which goes before null.
     kept = [100, *kept[1:4], 104, *kept[5:]]
     assert got == sorted(kept, key=str)
+
+
+def test_stages_keep_columns_of_clashing_names_and_empty_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows, base = planted()
+    clash = ("lang_pred", "Score", "class_id", "lcs", "size", "shard", "copies", "rid", "text_")
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(c).alias(c) for c in clash])
+    bench = spark.createDataFrame([(0, " ".join(base[8]))], "item_id long, text string")
+    for given, folder in ((docs, "some"), (docs.limit(0), "none")):
+        at = str(tmp_path / folder)
+        (bench if folder == "some" else bench.limit(0)).write.parquet(f"{at}/benchmark.parquet")
+        kept = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, at)
+            assert kept.columns == docs.columns, name
+        out = kept.collect()
+        assert bool(out) == (folder == "some") and all(r[c] == c for r in out for c in clash)
+        assert corpus_pipeline.sharded(spark, kept, at).count() == len(out)
+    english = corpus_pipeline.language(spark, docs, "").collect()
+    assert {r.text for r in english} == {r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1])}

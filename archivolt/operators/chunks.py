@@ -142,6 +142,17 @@ def totals(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
 
 
+def match_book(files: DataFrame, titles: DataFrame) -> DataFrame:
+    """fid, title: the longest title that stands in a file's name as a run of its words, the first of equal ones.
+
+    files: fid, name. titles: title. A name is cut into all its word runs, so the join is an equi-join.
+    """
+    w = F.split("name", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
+    keys = files.select("fid", F.explode(F.array_distinct(runs)).alias("title"))
+    return keys.join(titles.select("title").distinct(), "title").groupBy("fid").agg(F.min_by("title", F.struct(-F.length("title"), F.col("title"))).alias("title"))
+
+
 def books(pages: DataFrame, letter: str = X.HAN) -> DataFrame:
     """book, text: the cleaned pages that are not blank in page order, each behind its mark. pages: book, page, ord, text."""
     p = pages.withColumn("text", X.clean_ocr_text(F.col("text"), letter)).where("text <> ''")

@@ -202,6 +202,26 @@ def without_junk(mentions: DataFrame, stop: tuple[str, ...]) -> DataFrame:
     return mentions.where((F.length(name) >= 2) & ~name.isin(*stop))
 
 
+def generic(entities: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Entities whose normal name is one of the generic ones."""
+    return entities.where(X.normalize(F.lower("name")).isin(*names))
+
+
+def exported(relations: DataFrame) -> DataFrame:
+    """id, source, relation, label of the edges; an edge without a label has its relation for one."""
+    return relations.select("id", "source", "relation", F.coalesce("label", "relation").alias("label"))
+
+
+def side_by_side(pairs: DataFrame, members: DataFrame, first: int = 5) -> DataFrame:
+    """a, b and of each the number of its members (site, member) and the first ones. The pairs (a, b) are stated."""
+    n = members.groupBy("site").agg(F.count("*").alias("n"))
+    i = F.row_number().over(Window.partitionBy("site").orderBy("member"))
+    near = members.withColumn("i", i).where(F.col("i") <= first).groupBy("site").agg(F.array_join(F.sort_array(F.collect_list("member")).cast("array<string>"), ",").alias("near"))
+    k = n.join(near, "site")
+    side = lambda x: k.select(F.col("site").alias(x), F.col("n").alias(f"n_{x}"), F.col("near").alias(f"near_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
 def with_verdicts(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
     """ord, name, verdict, canonical, confidence: a name without verdict is suspicious (0.5); verdicts: one row a name."""
     v = verdicts.select(F.col("name").alias("_n"), "verdict", "canonical", "confidence")

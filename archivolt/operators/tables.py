@@ -140,6 +140,38 @@ def load_curve(load: DataFrame) -> DataFrame:
     return by.groupBy("site").agg(F.max("v").alias("peak"), F.max_by("h", F.struct("v", -F.col("h"))).alias("peak_hour"), F.sum("v").alias("total"))
 
 
+def timeline(rows: DataFrame, date: str | None = None, site: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Timeline rows (date, site, label, description, …) whose date begins so, whose site contains that, and whose label or
+    description holds the keyword; a criterion that is None lets all pass."""
+    if date is not None:
+        rows = rows.where(F.col("date").startswith(date))
+    if site is not None:
+        rows = rows.where(F.contains("site", F.lit(site)))
+    if keyword is not None:
+        rows = rows.where(F.coalesce(F.contains("label", F.lit(keyword)), F.lit(False)) | F.coalesce(F.contains("description", F.lit(keyword)), F.lit(False)))
+    return rows
+
+
+def routes(rows: DataFrame, army: str) -> DataFrame:
+    """Routes (army, …) whose army's name contains that."""
+    return rows.where(F.contains("army", F.lit(army)))
+
+
+def site_profile(asked: DataFrame, profiles: DataFrame) -> DataFrame:
+    """qid, site, profile of the sites that are asked for (qid, site) by whole name; null where a site has none."""
+    return asked.join(profiles.select("site", "profile"), "site", "left").select("qid", "site", "profile")
+
+
+def cleared(turns: DataFrame, gone: DataFrame) -> DataFrame:
+    """The turns of all conversations but those named in `gone`."""
+    return turns.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def suggested(users: DataFrame, questions: DataFrame, default: str, by: str = "persona") -> DataFrame:
+    """The users with the question suggested to their persona (persona, question), else the default."""
+    return users.join(questions, by, "left").withColumn("question", F.coalesce("question", F.lit(default)))
+
+
 def last_turns(turns: DataFrame, n: int = 24) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
     return turns.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)

@@ -290,7 +290,7 @@ def k14r(spark, d):
 
 @query("k15_generic", "SELECT p_partkey, p_type AS name FROM part WHERE " + NORM_SQL.replace("{}", "p_type") + " IN ('economy', 'promo')")
 def k15(spark, d):
-    return S.table(spark, d, "part").where(X.normalize(F.lower("p_type")).isin("economy", "promo")).select("p_partkey", F.col("p_type").alias("name"))
+    return K.generic(S.table(spark, d, "part").select("p_partkey", F.col("p_type").alias("name")), ("economy", "promo"))
 
 
 @query("k17_pending", "SELECT c_name AS name FROM customer WHERE c_custkey % 3 <> 0")
@@ -301,18 +301,14 @@ def k17(spark, d):
 
 @query("k21_export", "SELECT o_orderkey AS id, 'C' || o_custkey AS source, o_orderpriority AS relation, CASE WHEN o_orderkey % 3 = 0 THEN 'order' ELSE o_orderpriority END AS label FROM orders WHERE o_orderstatus = 'F'")
 def k21(spark, d):
-    label = F.coalesce(F.when(F.col("o_orderkey") % 3 == 0, "order"), "o_orderpriority")
-    return S.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), F.col("o_orderpriority").alias("relation"), label.alias("label"))
+    o = S.table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return K.exported(o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"), F.col("o_orderpriority").alias("relation"), F.when(F.col("o_orderkey") % 3 == 0, "order").alias("label")))
 
 
 @query("k22_side_by_side", "WITH k AS (SELECT n_nationkey AS site, count(*) AS n, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FILTER (i <= 5) AS near FROM nation JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) ON c_nationkey = n_nationkey GROUP BY 1) SELECT a.site AS a, b.site AS b, a.n AS n_a, b.n AS n_b, a.near AS near_a, b.near AS near_b FROM k a JOIN k b ON b.site = a.site + 1")
 def k22(spark, d):
-    c = S.table(spark, d, "customer").withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
-    near = F.array_join(F.sort_array(F.collect_list(F.when(F.col("i") <= 5, F.col("c_custkey")))).cast("array<string>"), ",")
-    k = c.groupBy(F.col("c_nationkey").alias("site")).agg(F.count("*").alias("n"), near.alias("near"))
     pairs = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + 1).alias("b"))
-    side = lambda x: k.select(F.col("site").alias(x), F.col("n").alias(f"n_{x}"), F.col("near").alias(f"near_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    return K.side_by_side(pairs, S.table(spark, d, "customer").select(F.col("c_nationkey").alias("site"), F.col("c_custkey").alias("member")))
 
 
 @query("g5_coordinate_match", f"WITH s AS (SELECT {SITE} FROM nation), p AS (SELECT s_suppkey AS point, (s_suppkey * 37 % 120 - 60)::DOUBLE AS plat, (s_suppkey * 53 % 300 - 150)::DOUBLE AS plng FROM supplier) SELECT point, min_by(site, ord) AS site FROM p JOIN s ON abs(plat - lat) <= 25 AND abs(plng - lng) <= 25 GROUP BY point")
@@ -357,8 +353,20 @@ def g9_totals(spark, d):
 
 @query("g11_timeline", "SELECT event_id, event_type AS label FROM events WHERE ts::VARCHAR LIKE '2024-01-0%' AND contains(event_type, 'c') AND (contains(event_type, 'k') OR contains(props, '7'))")
 def g11(spark, d):
-    day = F.date_format("ts", "yyyy-MM-dd").startswith("2024-01-0")
-    return S.table(spark, d, "events").where(day & F.contains("event_type", F.lit("c")) & (F.contains("event_type", F.lit("k")) | F.contains("props", F.lit("7")))).select("event_id", F.col("event_type").alias("label"))
+    e = S.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_type").alias("site"), F.when(F.contains("event_type", F.lit("k")), "7").alias("label"), F.col("props").alias("description"))
+    return G.timeline(e, "2024-01-0", "c", "7").select("event_id", F.col("site").alias("label"))
+
+
+@query("g11_routes", "SELECT o_orderkey AS route, o_orderpriority AS army FROM orders WHERE contains(o_orderpriority, 'HIGH')")
+def g11_routes(spark, d):
+    return G.routes(S.table(spark, d, "orders").select(F.col("o_orderkey").alias("route"), F.col("o_orderpriority").alias("army")), "HIGH")
+
+
+@query("g11_profiles", "SELECT s_suppkey AS qid, 'NATION_' || (s_nationkey + s_suppkey % 3) AS site, n_regionkey::VARCHAR AS profile FROM supplier LEFT JOIN nation ON n_name = 'NATION_' || (s_nationkey + s_suppkey % 3)")
+def g11_profiles(spark, d):
+    name = F.concat(F.lit("NATION_"), (F.col("s_nationkey") + F.col("s_suppkey") % 3).cast("string"))
+    asked_ = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), name.alias("site"))
+    return G.site_profile(asked_, S.table(spark, d, "nation").select(F.col("n_name").alias("site"), F.col("n_regionkey").cast("string").alias("profile")))
 
 
 EXPECTED_SQL = "x AS (SELECT event_type AS site, h::INTEGER AS hour, round_even(count(*) * any_value((h % 5) / 4.0::DOUBLE), 0)::BIGINT AS expected FROM events, (SELECT unnest(range(24)) AS h) GROUP BY 1, 2)"
@@ -398,4 +406,4 @@ def m6(spark, d):
 @query("m7_suggested", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'What was built here?' WHEN 'MACHINERY' THEN 'What was made here?' ELSE 'What can I see here?' END AS question FROM customer")
 def m7(spark, d):
     known = spark.createDataFrame([("BUILDING", "What was built here?"), ("MACHINERY", "What was made here?")], "c_mktsegment string, question string")
-    return S.table(spark, d, "customer").join(F.broadcast(known), "c_mktsegment", "left").select("c_custkey", F.coalesce("question", F.lit("What can I see here?")).alias("question"))
+    return G.suggested(S.table(spark, d, "customer"), known, "What can I see here?", "c_mktsegment").select("c_custkey", "question")

@@ -162,12 +162,8 @@ def c3(spark, d):
 m AS (SELECT f.p_partkey, b.title, row_number() OVER (PARTITION BY p_partkey ORDER BY length(title) DESC, title) AS r FROM f JOIN b ON contains(f.file, b.title)) SELECT p_partkey, title FROM m WHERE r = 1""")
 def c4(spark, d):
     part = S.table(spark, d, "part")
-    # Titles are few (distinct names); a file name is cut into all its word runs, so the join is an equi-join.
-    w = F.split(F.concat_ws(" ", "p_brand", "p_name", F.lit("x")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    keys = part.select("p_partkey", F.explode(F.array_distinct(runs)).alias("title"))
-    hit = keys.join(part.select(F.col("p_name").alias("title")).distinct(), "title")
-    return hit.groupBy("p_partkey").agg(F.min_by("title", F.struct(-F.length("title"), F.col("title"))).alias("title"))
+    files = part.select(F.col("p_partkey").alias("fid"), F.concat_ws(" ", "p_brand", "p_name", F.lit("x")).alias("name"))
+    return C.match_book(files, part.select(F.col("p_name").alias("title"))).withColumnRenamed("fid", "p_partkey")
 
 
 @query("c8_place_tags", "SELECT doc_id, array_to_string(list_filter(['and', 'the', 'une', 'der', 'que'], lambda w: contains(text, w)), ',') AS locations FROM documents")
@@ -635,7 +631,7 @@ def m1(spark, d):
 @query("m2_cleared", "SELECT conv_id, turn FROM conversations WHERE conv_id % 5 <> 0")
 def m2(spark, d):
     c = S.table(spark, d, "conversations")
-    return c.join(c.where("conv_id % 5 = 0").select("conv_id").distinct(), "conv_id", "left_anti").select("conv_id", "turn")
+    return G.cleared(c, c.where("conv_id % 5 = 0")).select("conv_id", "turn")
 
 
 @query("m3_profiles", "WITH b AS (SELECT user_id, event_type AS site, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, site) AS k FROM b), l AS (SELECT user_id, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS last_site FROM events GROUP BY 1) SELECT user_id, sum(n)::BIGINT AS visits, any_value(last_site) AS last_site, string_agg(site, ',' ORDER BY k) FILTER (k <= 3) AS preferred FROM p JOIN l USING (user_id) GROUP BY user_id")

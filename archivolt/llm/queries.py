@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, langid, mixing, pii, shard, tokens, topk, toxicity
+from . import decontam, forest, html, jaccard, langid, mixing, pii, shard, tokens, topk, toxicity, whiten
 from .util import fold, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -86,6 +86,14 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(*pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op11_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {
     "op7_personal_data": op7_personal_data,
     "op5_jaccard_join": op5_jaccard_join,
@@ -97,5 +105,7 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op8_token_counts": op8_token_counts,
     "op10_language": op10_language,
+    "op11_forest": op11_forest,
+    "op12_whiten": op12_whiten,
 }
 SQL = {"op1_exact_topk": OP1_SQL, "op6_mix": OP6_SQL}

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[dict[int, tuple[DataFrame, str]]] = []
 
 
-def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False, schema: StructType | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that lost executors cost no lineage.
 
-    Within `scratch` the table goes at its end, unless it is to be kept.
+    Within `scratch` the table goes at its end, unless it is to be kept. schema: types to read it with, if they differ.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(schema or df.schema).parquet(path)
     if _scratch and not keep:
         _scratch[-1][id(out)] = (out, path)  # the table stays, so its id is not given away
     return out

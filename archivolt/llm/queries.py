@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, forest, html, jaccard, langid, mixing, pii, shard, tokens, topk, toxicity, whiten
+from . import decontam, forest, html, jaccard, langid, mixing, phrases, pii, shard, tokens, topk, toxicity, whiten
 from .util import fold, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -94,6 +94,30 @@ def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+cut AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+spans AS (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM cut, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f FROM spans GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m >= 2 AND f >= 100),
+inner_spans AS (SELECT lang, a, w, x, unnest(generate_series(1, m - x + 1)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS x) WHERE x < m),
+longer AS (SELECT lang, array_to_string(w[i:i + x - 1], ' ') AS phrase, max(a) AS longer FROM inner_spans GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT lang, m, phrase, w, a, unnest(generate_series(1, m - 1)) AS k FROM kept),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:cuts.m], ' ')
+           JOIN n ON n.lang = cuts.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM least)
+SELECT lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op7_personal_data": op7_personal_data,
     "op5_jaccard_join": op5_jaccard_join,
@@ -107,5 +131,6 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_forest": op11_forest,
     "op12_whiten": op12_whiten,
+    "op13_phrases": op13_phrases,
 }
-SQL = {"op1_exact_topk": OP1_SQL, "op6_mix": OP6_SQL}
+SQL = {"op1_exact_topk": OP1_SQL, "op6_mix": OP6_SQL, "op13_phrases": OP13_SQL}

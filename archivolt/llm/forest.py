@@ -211,6 +211,8 @@ def _meet(k: int):
             ids = rows["ids"].combine_chunks()
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             least = flat[offsets[:-1]]
+            alone = np.diff(offsets) == 1
+            name = asking["asker"].to_numpy()
             leaf = rows["leaf"].to_numpy()
             by_leaf = np.argsort(leaf, kind="stable")
             lists = asking["leaves"].combine_chunks()
@@ -224,12 +226,14 @@ def _meet(k: int):
                     if not len(here) or not len(some):
                         continue
                     score = uq[some] @ um[here].T
+                    score[alone[here] & (least[here] == name[some][:, None])] = -np.inf
                     if len(here) > k + 1:
                         cut = -np.partition(-score, k, axis=1)[:, k] - 1e-9
                         a, b = np.nonzero(score >= cut[:, None])
                     else:
                         a, b = np.indices(score.shape).reshape(2, -1)
-                    a, b = some[a], here[b]
+                    real = score[a, b] > -np.inf
+                    a, b = some[a[real]], here[b[real]]
                     exact = np.multiply(qs[a], m[b]).sum(axis=1) / (nq[a] * nm[b])
                     keep = best(a, a, exact, b, least)
                     q, r, s = [*q, a[keep]], [*r, b[keep]], [*s, exact[keep]]
@@ -239,7 +243,7 @@ def _meet(k: int):
                 q, r, s = q[keep], r[keep], s[keep]
                 n = np.diff(offsets)[r]
                 at = np.repeat(offsets[r] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                out = [np.repeat(asking["asker"].to_numpy()[q], n), flat[at], rows["copies"].combine_chunks().values.to_numpy()[at], np.repeat(s, n)]
+                out = [np.repeat(name[q], n), flat[at], rows["copies"].combine_chunks().values.to_numpy()[at], np.repeat(s, n)]
         return pa.table(dict(zip(("asker", "vec_id", "copies", "score"), out or [pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], strict=True)))
 
     return run
@@ -266,9 +270,9 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     """query_id, rank, vec_id, score (cosine). recall: the share of true neighbours that the budget is measured for."""
     few, rows = points(vectors, id_col, vector_col, k)
     few = saved(few, "forest-points")
-    asked = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("e").alias("e"))
-    asked = saved(asked, "forest-asked")
-    once = saved(asked.groupBy("e").agg(F.min("vec_id").alias("asker")), "forest-once")
+    asked = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("e").alias("e"), F.max("e").alias("other"))
+    asked = saved(asked.select("vec_id", "e", F.when(F.col("other") != F.col("e"), F.col("vec_id")).alias("own")), "forest-asked")
+    once = saved(asked.groupBy("e", "own").agg(F.min("vec_id").alias("asker")), "forest-once")  # ids of several vectors search by themselves
     n, many = few.count(), once.count()
     if not n or not many:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -288,7 +292,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         lists = found.groupBy("asker", "vec_id").agg(F.max("score").alias("score"), F.max("copies").alias("copies"))
         at = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id"))
         lists = lists.withColumn("at", at).where(F.col("at") <= k + 1).groupBy("asker").agg(F.collect_list(F.struct("score", "vec_id", "copies")).alias("of"))  # k + 1 at most
-        whose = asked.join(once, "e").select(F.col("vec_id").alias("query_id"), "asker")
+        whose = asked.join(once, (asked["e"] == once["e"]) & asked["own"].eqNullSafe(once["own"])).select(F.col("vec_id").alias("query_id"), "asker")
         each = whose.join(lists, "asker").select("query_id", F.explode("of").alias("x")).where("x.vec_id <> query_id")
         each = each.select("query_id", "x.vec_id", "x.score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("x.copies", F.lit(k)))).alias("copy"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -296,10 +300,10 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     out = saved(ranked(found), "forest-lists")
     done = out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = asked.join(done, asked["vec_id"] == done["query_id"], "left_anti")
+    short = asked.where("own IS NOT NULL").join(done, asked["vec_id"] == done["query_id"], "left_anti")
     if enough < sizes.sum() and short.limit(1).count():
         # Rows of one id with different vectors can fill the leaves of its query; such queries look everywhere.
-        all_ = visits(once.join(short.select("e"), "e", "left_semi"), forest, sizes, int(sizes.sum()), n, shift)
+        all_ = visits(once.join(short.select(F.col("vec_id").alias("asker")), "asker", "left_semi"), forest, sizes, int(sizes.sum()), n, shift)
         again = ranked(met(index, saved(all_, "forest-visits"), shift, k)).join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
         out = out.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return out

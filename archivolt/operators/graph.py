@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
+from archivolt.operators.matching import found_phrases
 from archivolt.operators.pairs import similar
 
 HASH_ID = "^[A-Z]_[0-9A-F]{8}$"
@@ -280,19 +281,6 @@ def redirected(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
-def found_phrases(docs: DataFrame, phrases: DataFrame, width: int = 8) -> DataFrame:
-    """(doc_id, eid) of the phrases (eid, part) that stand anywhere in a text.
-
-    Both meet on the first `width` characters of the phrase, so nothing is compared with all; the texts join back once for
-    the check of the whole phrase. The empty phrase stands in every text.
-    """
-    p = phrases.where("part IS NOT NULL").withColumn("gram", F.substring("part", 1, width))
-    sizes = [r[0] for r in p.select(F.length("gram")).distinct().collect()]  # at most width + 1 numbers
-    grams = [F.array(F.lit("")) if n == 0 else F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes or [0]]
-    met = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.concat(*grams))).alias("gram")).join(p, "gram")
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("part"))).select("doc_id", "eid").distinct()
-
-
 def timeline_mentions(docs: DataFrame, events: DataFrame, lead: int = 12) -> tuple[DataFrame, DataFrame]:
     """(doc_id, eid) of events whose label or start of description stands in the text, and (doc_id, eid, place) relations.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
-from archivolt.operators.graph import found_phrases
+from archivolt.operators.matching import found_phrases
 
 
 def word_terms(c: Column, pairs: bool = True) -> Column:

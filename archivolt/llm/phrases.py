@@ -7,7 +7,7 @@ goes on with the next word, and parts with less than `least` suffixes are abando
 
 A bucket holds about BUCKET suffixes. Leaders that alone have more than HOT route by one word more, and so on to all words and
 then by portion, so no leader fills a task. Which they are is read from a sketch: counters of all leaders of all texts by hash,
-which can only overstate, so a wrong guess costs balance and never a count. Counts of such leaders come in parts from many
+so a wrong guess costs balance and never a count. Counts of such leaders come in parts from many
 buckets and are added up at the end. The sketch has 2^22 counters at most and travels as that many bits.
 
 Edge cases: a null text is empty, an empty text has no words; a null language is `und`; texts of any length are cut between
@@ -32,9 +32,9 @@ from .util import input_columns, portions, saved
 from .words import mix
 
 LONGEST = 5
-PORTION = 4_000_000
-BUCKET = 1_000_000
-HOT = 250_000
+PORTION = 2_000_000
+BUCKET = 500_000
+HOT = 125_000
 COUNTERS = 1 << 22
 
 # What parts words, and what parts pieces.
@@ -125,7 +125,9 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
                 yield Suffixes(raw[begin:sight], np.array([0, sight - begin]), langs, own - begin)
 
 
-def _sketched(counters: int):
+def _sketched(counters: int, share: float):
+    """(slot, n): a task's counters that hold the given share of its words or more, and its words at the slot behind."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(counters + 1, np.int64)
         for s in suffixes(batches):
@@ -134,7 +136,7 @@ def _sketched(counters: int):
                 some = h[:, j][s.codes[:, 1 + j] >= 0]
                 held[:counters] += np.bincount((some & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
             held[counters] += len(h)
-        at = np.flatnonzero(held)
+        at = np.flatnonzero(held > share * held[counters])
         yield pa.record_batch([at, held[at]], names=["slot", "n"])
 
     return run
@@ -254,9 +256,10 @@ def counts(docs: DataFrame, *, least: int = 100, text_col: str = "text", lang_co
     texts = input_columns(docs, text_col, lang_col).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = 1 << int(np.clip(np.ceil(np.log2(64 * max(size, 1) / HOT)), 12, np.log2(COUNTERS)))  # a counter then overstates by HOT / 16 on average
-    sketch = texts.mapInArrow(_sketched(counters), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    # There are at most size / 2 + 1 words: what the tasks leave out of a counter adds up to HOT / 2 at most.
+    sketch = texts.mapInArrow(_sketched(counters, HOT / max(size + 2, HOT)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     hot = np.zeros(counters, bool)
-    large = sketch.where((F.col("n") > HOT) | (F.col("slot") == counters)).toArrow()  # a row for each counter at most
+    large = sketch.where((F.col("n") > HOT // 2) | (F.col("slot") == counters)).toArrow()  # a row for each counter at most
     slots = large["slot"].to_numpy()
     n = int(large["n"].to_numpy()[slots == counters].sum())
     hot[slots[slots < counters]] = True

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
+from archivolt.operators import terms as T
 from archivolt.operators.matching import found_phrases
 
 
@@ -33,30 +34,24 @@ def char_terms(c: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[grams(w, n) for n in range(low, high + 1)]))))
 
 
-def weights(units: DataFrame, terms: Column, features: int, sublinear: bool = False, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def weights(units: DataFrame, terms: T.Terms, features: int, sublinear: bool = False, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(vocab: term, df, idf) and (unit, term, w): L2-normalised TF-IDF of the most frequent terms.
 
-    Ties of the vocabulary go to the smaller term; it has at most `features` rows. Vocabulary, norms and index all need the
-    counted terms: with `save` (a table written and read back) the texts are cut into terms once.
+    Ties of the vocabulary go to the smaller term; it has at most `features` rows. `save` keeps it, as a table written and
+    read back, for all that uses it.
     """
-    tf = save(counted(units, terms))
-    total = units.select("unit").distinct().count()
-    vocab = tf.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df")).orderBy(F.desc("n"), "term").limit(features)
-    vocab = save(vocab.select("term", "df", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")))
-    return vocab, transform(tf, vocab, sublinear)
+    vocab = save(T.vocabulary(units, terms, features))
+    return vocab, T.vectors(units, terms, vocab, sublinear)
 
 
-def transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
-    """TF-IDF of counted terms (unit, term, tf) with a fixed vocabulary."""
-    raw = tf.join(F.broadcast(vocab), "term").select("unit", "term", ((1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")).alias("x"))
-    norm = raw.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "unit").select("unit", "term", (F.col("x") / F.col("norm")).alias("w"))
+def searched(units: DataFrame, queries: DataFrame, terms: T.Terms, features: int, k: int, sublinear: bool = False, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """qid, unit, score, rank: the k best units (unit, text) of each query (unit = qid, text).
 
-
-def counted(units: DataFrame, terms: Column) -> DataFrame:
-    """(unit, term, tf). The units are dealt before they are cut: a text is smaller than its terms, and counts, norms and
-    joins by unit then stay where it is."""
-    return units.repartition("unit").select("unit", F.explode(terms).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    Units give out the terms that a query has, no others; their norms are over the whole vocabulary.
+    """
+    vocab = save(T.vocabulary(units, terms, features))
+    asked = save(T.vectors(queries, terms, vocab, sublinear))
+    return top_k(T.vectors(units, terms, vocab, sublinear, asked), asked, k)
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from archivolt.operators import chunks as C
 from archivolt.operators import graph as K
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
+from archivolt.operators import terms as T
 from archivolt.plans.registry import CHAR, HAV, LEGS_SQL, LETTER, QUERIES, SEARCH_SQL, SITE, SQL, STRIP, TERMS, UNITS, char_search, docs, points, query, ranked_legs, search, search_sql, sites, text_units, tf_sql
 from archivolt.sources import tables as S
 from archivolt.sources.shared import saved
@@ -100,7 +101,7 @@ def field_units(spark, d):
 
 @query("r3_field_tfidf", f"WITH {FIELD_UNITS}, {tf_sql(*CHAR, 2000)} SELECT unit, term, round(w, 6) AS w FROM ix")
 def r3(spark, d):
-    return R.weights(field_units(spark, d), R.char_terms(F.col("text")), 2000, True, saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
+    return R.weights(field_units(spark, d), T.CHAR, 2000, True, saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
 
 
 @query("r6_place_candidates", f"""WITH {UNITS}, {SEARCH_SQL}, pl AS (SELECT place, doc_id AS unit FROM documents, (SELECT unnest(['and', 'the', 'une', 'der', 'que']) AS place) WHERE contains(text, place)),

@@ -10,6 +10,7 @@ from archivolt.operators import chunks as C
 from archivolt.operators import graph as K
 from archivolt.operators import pairs as L
 from archivolt.operators import search as R
+from archivolt.operators import terms as T
 from archivolt.plans.further import QUERIES, SQL
 from archivolt.plans.further import VERDICT_SQL as JUDGED_SQL
 from archivolt.plans.registry import SEARCH_SQL, UNITS, docs, query
@@ -84,11 +85,12 @@ def e6(spark, d):
     gold = saved(K.found_phrases(x, anchor).join(anchor, "eid").select(F.col("eid").alias("qid"), F.col("doc_id").alias("unit"), "part"))
     latest_first = F.sort_array(F.collect_list(F.struct("qid", "part")), asc=False)
     prefix = gold.groupBy("unit").agg(F.array_join(F.transform(latest_first, lambda r: r["part"]), " ").alias("prefix"))
-    units, terms = x.select(F.col("doc_id").alias("unit"), "text"), R.word_terms(F.col("text"))
-    vocab, _ = R.weights(units, terms, 8000, save=saved)
+    units = x.select(F.col("doc_id").alias("unit"), "text")
+    vocab = saved(T.vocabulary(units, T.WORD, 8000))
     told = units.join(prefix, "unit", "left").select("unit", F.concat_ws(" ", "prefix", "text").alias("text"))
     asked = b.select(F.col("item_id").alias("unit"), "text")
-    ranked = R.top_k(R.transform(R.counted(told, terms), vocab), R.transform(R.counted(asked, terms), vocab), 5)
+    q = saved(T.vectors(asked, T.WORD, vocab))
+    ranked = R.top_k(T.vectors(told, T.WORD, vocab, only=q), q, 5)
     every = b.select(F.col("item_id").alias("qid")).join(gold.select("qid", "unit"), "qid", "left")
     return R.gold_metrics(ranked, every)
 

@@ -12,6 +12,7 @@ from archivolt.operators import chunks as C
 from archivolt.operators import graph as K
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
+from archivolt.operators import terms as T
 from archivolt.sources import tables as S
 from archivolt.sources.shared import saved
 
@@ -268,25 +269,23 @@ def questions(spark, d):
     return S.table(spark, d, "benchmark").select(F.col("item_id").alias("unit"), "text")
 
 
-def search(spark, d, k=5, units=None, terms=R.word_terms, most=8000, sublinear=False):
+def search(spark, d, k=5, units=None, terms=T.WORD, most=8000, sublinear=False):
     """The benchmark's items against the units: ranked lists over the shared terms."""
-    cut = terms(F.col("text"))
-    vocab, index = R.weights(text_units(spark, d) if units is None else units, cut, most, sublinear, saved)
-    return R.top_k(index, R.transform(R.counted(questions(spark, d), cut), vocab, sublinear), k)
+    return R.searched(text_units(spark, d) if units is None else units, questions(spark, d), terms, most, k, sublinear, saved)
 
 
 def char_search(spark, d, k=5, units=None, most=3000):
-    return search(spark, d, k, units, R.char_terms, most, True)
+    return search(spark, d, k, units, T.CHAR, most, True)
 
 
 @query("r1_char_tfidf", f"WITH {UNITS}, {tf_sql(*CHAR, 3000)} SELECT unit, term, round(w, 6) AS w FROM ix")
 def r1(spark, d):
-    return R.weights(text_units(spark, d), R.char_terms(F.col("text")), 3000, True, saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
+    return R.weights(text_units(spark, d), T.CHAR, 3000, True, saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
 
 
 @query("r2_word_tfidf", f"WITH {UNITS}, {TF_SQL} SELECT unit, term, round(w, 6) AS w FROM ix")
 def r2(spark, d):
-    return R.weights(text_units(spark, d), R.word_terms(F.col("text")), 8000, save=saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
+    return R.weights(text_units(spark, d), T.WORD, 8000, save=saved)[1].select("unit", "term", F.round("w", 6).alias("w"))
 
 
 @query("r5_cosine_top_k", f"WITH {UNITS}, {SEARCH_SQL} SELECT qid, unit, score, rank FROM rk WHERE rank <= 5")

@@ -12,6 +12,7 @@ from archivolt.operators import graph as K
 from archivolt.operators import pairs as L
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
+from archivolt.operators import terms as T
 from archivolt.sources import tables as S
 from archivolt.sources.shared import saved
 
@@ -39,8 +40,8 @@ def test_pages_by_interpolation(spark):
 def test_lists_are_filled_with_the_least_units(spark):
     units = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue fox", "green", "red", None])], "unit long, text string")
     asked = spark.createDataFrame([(10, "red"), (11, "nothing here")], "unit long, text string")
-    vocab, index = R.weights(units, R.word_terms(F.col("text")), 100, save=saved)
-    found = R.top_k(index, R.transform(R.counted(asked, R.word_terms(F.col("text"))), vocab), 3)
+    vocab, index = R.weights(units, T.WORD, 100, save=saved)
+    found = R.top_k(index, T.vectors(asked, T.WORD, vocab), 3)
     got = {}
     for r in R.zero_filled(found, asked.select(F.col("unit").alias("qid")), units, 3).collect():
         got.setdefault(r.qid, []).append((r.rank, r.unit, r.score > 0))

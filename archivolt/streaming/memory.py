@@ -8,34 +8,65 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from archivolt.operators.chunks import line_chunks, tag_places
 
 
-def memory_stream(turns: DataFrame, keep: int = 8, batch: int = 6) -> DataFrame:
-    """conv_id, batch, turns: the oldest `batch` turns of a conversation each time more than `keep` are held.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    turns: conv_id, turn, role, text, in the order of `turn` from trigger to trigger. The state of a conversation is at
-    most `keep` turns; over a whole log the batches equal those of memory_batches.
-    """
 
-    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, held = state.get if state.exists else (0, [])
-        held = [tuple(x) for x in held]
-        fresh = sorted((int(t), r or "", c or "") for f in frames for t, r, c in zip(f["turn"], f["role"], f["text"], strict=True))
+class Memory(StatefulProcessor):
+    """The last turns of one conversation and the number of batches that left it; both go when it stays idle."""
+
+    def __init__(self, keep: int, batch: int, idle_ms: int) -> None:
+        self.keep, self.batch, self.idle_ms = keep, batch, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "turn long, role string, text string")
+        self.done = handle.getValueState("done", "done int")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        fresh, times = [], []
+        for f in rows:
+            fresh += [(int(t), r or "", c or "") for t, r, c in zip(f["turn"], f["role"], f["text"], strict=True)]
+            times += f["ms"].tolist()
+        done = self.done.get()[0] if self.done.exists() else 0
+        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
         out = []
-        for x in fresh:
+        for x in sorted(fresh):
             held.append(x)
-            if len(held) > keep:
-                out.append((key[0], done, [t for t, _, _ in held[:batch]]))
-                done, held = done + 1, held[batch:]
-        state.update((done, held))
+            if len(held) > self.keep:
+                out.append((key[0], done, [t for t, _, _ in held[: self.batch]]))
+                done, held = done + 1, held[self.batch :]
+        self.held.put(held)
+        self.done.update((done,))
+        before = list(self.handle.listTimers())
+        for t in before:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(max([max(times) + self.idle_ms, *before])))
         yield pd.DataFrame(out, columns=["conv_id", "batch", "turns"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        run, "conv_id long, batch int, turns array<long>", "done int, held array<struct<turn: long, role: string, text: string>>", "append", GroupStateTimeout.NoTimeout
-    )
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        self.done.clear()
+        yield pd.DataFrame([], columns=["conv_id", "batch", "turns"])
+
+
+def memory_stream(turns: DataFrame, keep: int = 8, batch: int = 6, idle: str = "7 days", at: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """conv_id, batch, turns: the oldest `batch` turns of a conversation each time more than `keep` are held.
+
+    turns: conv_id, turn, role, text, in the order of `turn` from trigger to trigger. Over a whole log the batches equal those
+    of memory_batches. The state of a conversation is at most `keep` turns and a number, and a timer takes it once no turn came
+    for `idle` by the watermark of the column `at`, which waits for `late`; without such a column the time of arrival counts.
+    A conversation that comes back after that begins anew. State is kept in RocksDB, which this session is set to use.
+    """
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    turns = turns.select("conv_id", "turn", "role", "text", (F.current_timestamp() if at is None else F.col(at)).cast("timestamp").alias("at"))
+    turns = turns.withWatermark("at", late).withColumn("ms", F.unix_millis("at"))
+    process = Memory(keep, batch, int(pd.Timedelta(idle) / pd.Timedelta("1ms")))
+    return turns.groupBy("conv_id").transformWithStateInPandas(process, outputStructType="conv_id long, batch int, turns array<long>", outputMode="append", timeMode="EventTime")
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, clean, terms: tuple[str, ...]):

@@ -66,6 +66,38 @@ def test_streamed_memory_equals_the_log(spark, tmp_path):
     assert {(r.conv_id, r.batch, t) for r in spark.table("memory_out").collect() for t in r.turns} == want
 
 
+def test_idle_conversations_leave_the_state(spark, tmp_path):
+    from archivolt.streaming.memory import memory_stream
+
+    def feed(name, rows):  # (conversation, turn, second)
+        df = spark.createDataFrame([(c, t, "user", f"{c}-{t}", s) for c, t, s in rows], "conv_id long, turn long, role string, text string, s long")
+        df.withColumn("at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    feed("a", [(1, t, 1000 + t) for t in range(7)] + [(2, t, 1000 + t) for t in range(7)])
+    schema = "conv_id long, turn long, role string, text string, at timestamp"
+    stream = memory_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), idle="100 seconds", at="at")
+    q = stream.writeStream.format("memory").queryName("idle_out").outputMode("append").start()
+    held = lambda: q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    try:
+        q.processAllAvailable()
+        both = held()
+        feed("b", [(2, t, 1050 + t) for t in range(7, 16)])  # the second conversation goes on, the first is idle
+        q.processAllAvailable()
+        feed("c", [(2, t, 1130 + t) for t in range(16, 21)])  # now the first is idle for more than 100 s
+        q.processAllAvailable()
+        feed("d", [(1, t, 1160 + t) for t in range(7, 10)] + [(2, 21, 1161)])  # and begins anew: no batch of ten turns
+        q.processAllAvailable()
+        assert both > 0
+    finally:
+        q.stop()
+    got = {(r.conv_id, r.batch): r.turns for r in spark.table("idle_out").collect()}
+    log = spark.createDataFrame([(2, t, "user", f"2-{t}") for t in range(22)], "conv_id long, turn long, role string, text string")
+    want = {}
+    for r in G.memory_batches(log).where("batch IS NOT NULL").orderBy("turn").collect():
+        want.setdefault((r.conv_id, r.batch), []).append(r.turn)
+    assert got == want and all(c == 2 for c, _ in got)
+
+
 def test_only_new_files_are_ingested(spark, tmp_path):
     from archivolt.streaming.memory import ingest
 

@@ -47,11 +47,15 @@ def weights(units: DataFrame, terms: T.Terms, features: int, sublinear: bool = F
 def searched(units: DataFrame, queries: DataFrame, terms: T.Terms, features: int, k: int, sublinear: bool = False, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """qid, unit, score, rank: the k best units (unit, text) of each query (unit = qid, text).
 
-    Units give out the terms that a query has, no others; their norms are over the whole vocabulary.
+    Few queries are scored in the rows of the units, which give out k candidates a query and block. Many meet the units on
+    shared terms: units give out the terms that a query has, no others; their norms are over the whole vocabulary.
     """
     vocab = save(T.vocabulary(units, terms, features))
     asked = save(T.vectors(queries, terms, vocab, sublinear))
-    return top_k(T.vectors(units, terms, vocab, sublinear, asked), asked, k)
+    if queries.limit(T.QUERIES + 1).count() > T.QUERIES:
+        return top_k(T.vectors(units, terms, vocab, sublinear, asked), asked, k)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit"))
+    return T.best(units, terms, vocab, asked, k, sublinear).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -215,8 +219,8 @@ def gold(questions: DataFrame, units: DataFrame, most: int = 20) -> DataFrame:
 
 def hybrid(legs: DataFrame, names: tuple[str, ...], top: int = 5) -> DataFrame:
     """Fusion of the legs that found anything for a query; a leg alone scores by its length less the rank. Adds the mode."""
-    m = legs.groupBy("qid").agg(F.sort_array(F.collect_set("leg")).alias("has"), F.count("*").alias("n"))
-    f = legs.join(m, "qid").groupBy("qid", "unit", "has", "n").agg(F.round(F.sum(F.col("weight") / (60 + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("leg", "rank")).alias("first"))
+    of = Window.partitionBy("qid")  # a list is short: the legs of one query meet once, and are read once
+    f = legs.withColumn("has", F.sort_array(F.collect_set("leg").over(of))).withColumn("n", F.count("*").over(of)).groupBy("qid", "unit", "has", "n").agg(F.round(F.sum(F.col("weight") / (60 + F.col("rank"))), 9).alias("rrf"), F.min(F.struct("leg", "rank")).alias("first"))
     score = F.when(F.size("has") == 1, (F.col("n") - F.col("first.rank")).cast("double")).otherwise(F.col("rrf"))
     mode = F.array_join(F.transform("has", lambda i: F.get(F.array(*[F.lit(x) for x in names]), i)), "+")
     r = f.select("qid", "unit", score.alias("score"), mode.alias("mode"), "first")

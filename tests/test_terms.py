@@ -65,5 +65,24 @@ def test_portions_and_many_letters_change_nothing(monkeypatch, spark):
 def test_nothing_is_shuffled_but_the_vocabulary(spark):
     units = spark.createDataFrame(texts(), "unit long, text string")
     vocab, index = R.weights(units, T.CHAR, 50)
-    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange RoundRobin") == 1  # few rows are dealt over the cores
     assert R.searched(units, units.limit(0), T.CHAR, 50, 3).count() == 0 and R.weights(units.limit(0), T.WORD, 50)[1].count() == 0
+
+
+def test_best_units_are_those_of_the_full_join_from_few_rows(monkeypatch, spark):
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(40_000)]
+    units = spark.createDataFrame([(i, " ".join(words[i * 20 % 39_000 : i * 20 % 39_000 + 5 + i % 40])) for i in range(1500)] + [(2000 + i, "w1 w2 w3") for i in range(200)] + [(5000, None)], "unit long, text string").repartition(2)
+    asked = spark.createDataFrame([(i, " ".join(words[i * 700 : i * 700 + 3 + i])) for i in range(40)] + [(90, "w1 w2 w3"), (91, "nowhere"), (92, None)], "unit long, text string")
+    vocab, index = R.weights(units, T.WORD, 400)
+    q = T.vectors(asked, T.WORD, vocab)
+    want = {(r["qid"], r["rank"]): (r["unit"], r["score"]) for r in R.top_k(index, q, 5).collect()}
+    for weights in (64_000_000, 20_000):
+        monkeypatch.setattr(T, "WEIGHTS", weights)
+        got = {(r["qid"], r["rank"]): (r["unit"], r["score"]) for r in R.searched(units, asked, T.WORD, 400, 5).collect()}
+        assert got == want and len({q for q, _ in got}) > 30
+    assert T.best(units, T.WORD, vocab, q, 5).count() < 0.1 * index.join(q.select("term", F.col("unit").alias("qid")), "term").count()
+    assert R.searched(units, asked, T.WORD, 400, 5).count() == len(want)
+    monkeypatch.setattr(T, "QUERIES", 3)  # the join of many queries
+    assert {(r["qid"], r["rank"]): (r["unit"], r["score"]) for r in R.searched(units, asked, T.WORD, 400, 5).collect()} == want

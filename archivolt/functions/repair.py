@@ -26,7 +26,7 @@ class NearTerms:
     """
 
     def __init__(self, terms: Sequence[str], suffixes: str = OWN_SUFFIX) -> None:
-        self.terms = sorted({t for t in terms if len(t) >= 3}, key=lambda t: (-len(t), t))
+        self.terms = sorted(dict.fromkeys(t for t in terms if len(t) >= 3), key=lambda t: -len(t))  # terms of one length in order of the list
         self.known, self.suffixes = set(self.terms), suffixes
         self.masks: dict[tuple[int, str, str], list[int]] = defaultdict(list)
         for rank, t in enumerate(self.terms):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
+from archivolt.operators.matching import found_phrases
 
 # The mark of a page; what stands between a title and its page number in a table of contents.
 MARK = r"\[PAGE:(\d+)\]"
@@ -143,14 +144,17 @@ def totals(chunks: DataFrame) -> DataFrame:
 
 
 def match_book(files: DataFrame, titles: DataFrame) -> DataFrame:
-    """fid, title: the longest title that stands in a file's name as a run of its words, the first of equal ones.
+    """fid, title: the longest title that contains a file's name or is contained in it, both normalized; the first of equals.
 
-    files: fid, name. titles: title. A name is cut into all its word runs, so the join is an equi-join.
+    files: fid, name. titles: ord, title. Names and titles without a character left match nothing. Each side is searched once
+    with an automaton of the other, so nothing is compared in pairs.
     """
-    w = F.split("name", " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    keys = files.select("fid", F.explode(F.array_distinct(runs)).alias("title"))
-    return keys.join(titles.select("title").distinct(), "title").groupBy("fid").agg(F.min_by("title", F.struct(-F.length("title"), F.col("title"))).alias("title"))
+    f = files.select("fid", X.normalize(F.col("name"), X.PUNCTUATION_TOC).alias("fn")).where("fn <> ''")
+    t = titles.select("ord", "title", X.normalize(F.col("title"), X.PUNCTUATION_TOC).alias("tn")).where("tn <> ''")
+    inside = found_phrases(f.select(F.col("fid").alias("doc_id"), F.col("fn").alias("text")), t.select(F.col("ord").alias("eid"), F.col("tn").alias("part"))).select(F.col("doc_id").alias("fid"), F.col("eid").alias("ord"))
+    around = found_phrases(t.select(F.col("ord").alias("doc_id"), F.col("tn").alias("text")), f.select(F.col("fid").alias("eid"), F.col("fn").alias("part"))).select(F.col("eid").alias("fid"), F.col("doc_id").alias("ord"))
+    hit = inside.unionByName(around).join(t, "ord")
+    return hit.groupBy("fid").agg(F.min_by("title", F.struct(-F.length("tn"), F.col("ord"))).alias("title"))
 
 
 def books(pages: DataFrame, letter: str = X.HAN) -> DataFrame:

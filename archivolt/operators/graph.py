@@ -223,6 +223,30 @@ def side_by_side(pairs: DataFrame, members: DataFrame, first: int = 5) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def nodes(entities: DataFrame, kind: str | None = None) -> DataFrame:
+    """id, type, name, description, aliases of all entities or those of one type; what is missing is empty."""
+    e = entities if kind is None else entities.where(F.col("type") == kind)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return e.select(*[blank(c) for c in ("id", "type", "name", "description")], F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def compared(pairs: DataFrame, profiles: DataFrame, events: DataFrame, relations: DataFrame, limit: int = 5) -> DataFrame:
+    """a, b, side, kind, ord, item: what is known of both sites of each pair, a row each.
+
+    kind: profile (one row, `not found` without a profile, and then nothing else), event (all events by their order) and
+    relation (the first `limit` that touch the site). profiles: site, profile. events: site, ord, label. relations: ord, rid,
+    source, target. Long rows instead of lists: a site with many events stays many rows.
+    """
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("site")), F.struct(F.lit("b").alias("side"), F.col("b").alias("site")))).alias("x")).select("a", "b", "x.side", "x.site")
+    known = sides.join(profiles.select("site", "profile"), "site", "left")
+    row = lambda df, kind, ord_, item: df.select("a", "b", "side", F.lit(kind).alias("kind"), ord_.cast("long").alias("ord"), item.cast("string").alias("item"))
+    found = known.where("profile IS NOT NULL")
+    seeds = found.select(F.col("site").alias("qid"), F.col("site").alias("id")).distinct()
+    near = neighbours(seeds, relations, limit).select(F.col("qid").alias("site"), F.col("place"), "rid")
+    out = row(known, "profile", F.lit(0), F.coalesce("profile", F.lit("not found")))
+    return out.unionByName(row(found.join(events, "site"), "event", F.col("ord"), F.col("label"))).unionByName(row(found.join(near, "site"), "relation", F.col("place"), F.col("rid")))
+
+
 def with_verdicts(entities: DataFrame, verdicts: DataFrame) -> DataFrame:
     """ord, name, verdict, canonical, confidence: a name without verdict is suspicious (0.5); verdicts: one row a name."""
     v = verdicts.select(F.col("name").alias("_n"), "verdict", "canonical", "confidence")

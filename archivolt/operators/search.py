@@ -87,44 +87,74 @@ def fuse(legs: DataFrame, k: int = 60, top: int = 5) -> DataFrame:
     return score.withColumn("rank", rank).where(F.col("rank") <= top).select("qid", "unit", "score", "rank")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows of unit length; a zero vector stays zero."""
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors padded with 0 as rows of unit length; a zero vector stays zero."""
+    long = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = np.zeros((len(column), dim))
+    m[np.arange(dim)[None, :] < long[:, None]] = flat
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
+def _usable(df: DataFrame) -> DataFrame:
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192, places: DataFrame | None = None, least: int = 20) -> DataFrame:
     """qid, vec_id, score, rank: cosine of all vectors but a query's own, k best of each query; ties to the smaller id.
 
     Queries go in blocks of about `block`, so what is broadcast is bounded; a block is one pass over the vectors, each batch
-    a matrix product that keeps k rows a query. Null vectors take no part.
+    a matrix product that keeps k rows a query. Vectors that are null or hold null or non-finite components take no part;
+    shorter ones count as padded with 0. places (place, unit): a query with a place (column `place`) that has `least` units
+    or more searches those units only.
     """
     spark, sc = vectors.sparkSession, vectors.sparkSession.sparkContext
-    asked = queries.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    asked = _usable(queries.select("vec_id", "embedding", F.col("place") if places is not None else F.lit(None).cast("string").alias("place")))
+    rows = _usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
+    if places is not None:
+        wide = places.groupBy("place").agg(F.count("*").alias("many")).where(F.col("many") >= least).select("place", F.lit(True).alias("wide"))
+        asked = asked.join(wide, "place", "left").withColumn("place", F.when(F.col("wide"), F.col("place")))
+        of = places.join(asked.select("place").distinct(), "place", "left_semi").groupBy(F.col("unit").alias("vec_id")).agg(F.collect_set("place").alias("places"))
+        rows = rows.join(of, "vec_id", "left")
+    else:
+        rows = rows.withColumn("places", F.lit(None).cast("array<string>"))
+    size = F.coalesce(F.max(F.size("embedding")), F.lit(0))
+    dim = max(asked.agg(size).first()[0], rows.agg(size).first()[0])
     parts = max(1, -(-asked.count() // block))
     found = spark.createDataFrame([], "qid long, vec_id long, score double")
     for part in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toArrow()  # about `block` rows
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "embedding", "place").toArrow()  # about `block` rows
         if not own.num_rows:
             continue
-        held = sc.broadcast((own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks())))
+        held = sc.broadcast((own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), dim), own["place"].to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
+            ids, q, wanted = held.value
+            narrow = {p: np.array([i for i, x in enumerate(wanted) if x == p]) for p in set(wanted) - {None}}
             for b in batches:
                 unit = b["vec_id"].to_numpy()
-                score = np.round(q @ _matrix(b["embedding"]).T, 6) + 0.0
+                score = np.round(q @ _matrix(b["embedding"], dim).T, 6) + 0.0
                 score[ids[:, None] == unit[None, :]] = -np.inf
+                if narrow:
+                    has = [set(x or ()) for x in b["places"].to_pylist()]
+                    for p, i in narrow.items():
+                        score[np.ix_(i, np.flatnonzero([p not in x for x in has]))] = -np.inf
                 order = np.lexsort((np.broadcast_to(unit, score.shape), -score), axis=1)[:, :k]
                 top = np.take_along_axis(score, order, axis=1)
                 good = top > -np.inf
                 yield pa.record_batch([np.broadcast_to(ids[:, None], order.shape)[good], unit[order][good], top[good]], names=["qid", "vec_id", "score"])
 
-        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-        found = found.unionByName(rows.mapInArrow(run, found.schema))
+        found = found.unionByName(rows.select("vec_id", "embedding", "places").mapInArrow(run, found.schema))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def method_rows(metrics: DataFrame) -> DataFrame:
+    """metric, value: hit@1 and MRR of each method (method, hit_1, mrr) as rows of a catalogue."""
+    pair = F.explode(F.array(F.struct(F.concat(F.lit("hit_1 "), "method").alias("metric"), F.col("hit_1").cast("double").alias("value")), F.struct(F.concat(F.lit("mrr "), "method").alias("metric"), F.col("mrr").cast("double").alias("value"))))
+    return metrics.select(pair.alias("x")).select("x.metric", "x.value")
+
+
 def gold_metrics(rankings: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """hit@k and MRR over all questions: gold (qid, unit or null). Questions without gold stay in the denominator."""
     hit = gold.join(rankings.select("qid", "unit", "rank"), ["qid", "unit"], "left").groupBy("qid").agg(F.min("rank").alias("r"))

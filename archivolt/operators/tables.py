@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.functions import text as X
+from archivolt.operators.order import numbered, with_blocks
+
 # Speed km/h, overhead h, detour, least km, and order of preference per mode.
 MODES = (("road", 50.0, 0.0, 1.35, 0.0, 0), ("rail", 200.0, 0.75, 1.2, 80.0, 1), ("air", 700.0, 2.5, 1.05, 400.0, 2))
 LEVELS = ((0.9, "alert"), (0.7, "crowded"), (0.4, "moderate"))
@@ -64,6 +69,21 @@ def price_quote(rows: DataFrame, fee: Column, size: Column, days: Column, per_gu
     return rows.withColumn("per_head", fee * d).withColumn("total", fee * d * n).withColumn("guides", F.ceil(n / per_guide))
 
 
+def stage_quote(rows: DataFrame, aliases: Sequence[tuple[str, str]], fees: DataFrame, default_stage: str, default_size: int = 40, default_days: int = 2) -> DataFrame:
+    """Adds stage, per_head, total and guides; rows: said, size, days.
+
+    The stage is that of the first alias that the text contains, else the default; a size or days that are null or 0 are the
+    default ones. fees: stage, fee (a day and head), per_guide; a stage without a row costs nothing and has 20 heads a guide.
+    """
+    r = rows.withColumn("stage", F.coalesce(X.first_of(F.coalesce("said", F.lit("")), aliases), F.lit(default_stage)))
+    known = r.join(F.broadcast(fees.limit(10_000)), "stage", "left")  # a price list
+    held = lambda c, default, most: F.least(F.greatest(F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(default)), F.lit(1)), F.lit(most)).cast("int")
+    n, d = held("size", default_size, 200), held("days", default_days, 7)
+    fee = F.coalesce("fee", F.lit(0))
+    guides = F.ceil(n / F.coalesce(F.nullif(F.col("per_guide"), F.lit(0)), F.lit(20)))
+    return known.select(*rows.columns, "stage", (fee * d).alias("per_head"), (fee * d * n).alias("total"), guides.alias("guides"))
+
+
 def latency(rows: DataFrame) -> DataFrame:
     """path, n, mean, lo, hi, flagged per path, and over all of them under `all`. rows: path, seconds, flag."""
     by = lambda df: df.agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 6).alias("mean"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"), F.count_if("flag").alias("flagged"))
@@ -179,18 +199,18 @@ def last_turns(turns: DataFrame, n: int = 24) -> DataFrame:
 
 def memory_batches(turns: DataFrame, keep: int = 8, batch: int = 6) -> DataFrame:
     """The oldest turns in batches once more than `keep` are there; the rest stays verbatim (batch null)."""
-    w = Window.partitionBy("conv_id")
-    i = F.row_number().over(w.orderBy("turn", "role", "text")) - 1
-    n = F.count("*").over(w)
-    many = F.when(n <= keep, 0).otherwise(F.floor((n - (keep - batch + 1)) / batch))
-    b = F.floor(i / batch)
-    return turns.select("conv_id", "turn", F.when(b < many, b).cast("int").alias("batch"))
+    r = numbered(turns.select("conv_id", "turn", "role", "text"), "conv_id", ("turn", "role", "text"))
+    batches = F.when(F.col("many") <= keep, 0).otherwise(F.floor((F.col("many") - (keep - batch + 1)) / batch))
+    b = F.floor(F.col("number") / batch)
+    return r.select("conv_id", "turn", F.when(b < batches, b).cast("int").alias("batch"))
 
 
 def context(turns: DataFrame, n: int = 6) -> DataFrame:
     """Each user turn with the last n turns of its conversation before it, joined by line breaks."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(-n, -1)
-    return turns.withColumn("before", F.array_join(F.collect_list("text").over(w), "\n")).where("role = 'user'").select("conv_id", "turn", F.concat_ws("\n", F.nullif("before", F.lit("")), "text").alias("query"))
+    r = with_blocks(numbered(turns.select("conv_id", "turn", "role", "text"), "conv_id", ("turn", "role", "text")), n)
+    w = Window.partitionBy("conv_id", "block").orderBy("number").rowsBetween(-n, -1)
+    before = r.withColumn("before", F.array_join(F.collect_list("text").over(w), "\n"))
+    return before.where("own AND role = 'user'").select("conv_id", "turn", F.concat_ws("\n", F.nullif("before", F.lit("")), "text").alias("query"))
 
 
 # The personas; the questions that a profile keeps and shows.
@@ -255,6 +275,36 @@ def legs(stops: DataFrame) -> DataFrame:
     return s.withColumn("hours", F.coalesce(F.round(F.col("km") / speed + overhead, 2), F.lit(0.0))).withColumn("km", F.coalesce("km", F.lit(0.0)))
 
 
+def whole_legs(stops: DataFrame, requests: DataFrame) -> DataFrame:
+    """request, leg (outbound, internal or return), ord, day, km, hours: all ways of an itinerary by its mode.
+
+    stops as of itinerary_days. requests: request, mode (road if unknown), dlat, dlng (the departure; null: no way there and
+    back), last_day (of the whole course; null: that of the last stop). The way there counts on the first day, the way back
+    on the last; ways to or from an unknown place are 0.
+    """
+    w = Window.partitionBy("request").orderBy("ord")
+    s = stops.select("request", "ord", "day", "lat", "lng", F.lag("lat").over(w).alias("plat"), F.lag("lng").over(w).alias("plng"), (F.row_number().over(w) == 1).alias("first"), F.lead("ord").over(w).isNull().alias("last"))
+    known = F.broadcast(modes(stops.sparkSession))
+    r = requests.withColumn("mode", F.when(F.col("mode").isin(*[m[0] for m in MODES]), F.col("mode")).otherwise(MODES[0][0])).join(known, "mode")
+    j = s.join(r, "request")
+    way = lambda kind, day, a, b: F.struct(F.lit(kind).alias("leg"), day.cast("int").alias("day"), *[F.col(x).alias(n) for x, n in zip((*a, *b), ("alat", "alng", "blat", "blng"), strict=True)])
+    start, here, before = ("dlat", "dlng"), ("lat", "lng"), ("plat", "plng")
+    away = F.col("dlat").isNotNull() & F.col("dlng").isNotNull()
+    ways = F.array_compact(F.array(
+        F.when(~F.col("first"), way("internal", F.col("day"), before, here)), F.when(F.col("first") & away, way("outbound", F.lit(1), start, here)),
+        F.when(F.col("last") & away, way("return", F.coalesce("last_day", "day"), here, start)),
+    ))
+    e = j.select("request", "ord", "speed", "overhead", "detour", F.explode(ways).alias("x"))
+    km = F.round(haversine(F.col("x.alat"), F.col("x.alng"), F.col("x.blat"), F.col("x.blng")) * F.col("detour"), 1)
+    hours = F.round(km / F.col("speed") + F.col("overhead"), 2)
+    return e.select("request", "x.leg", "ord", "x.day", F.coalesce(km, F.lit(0.0)).alias("km"), F.coalesce(hours, F.lit(0.0)).alias("hours"))
+
+
+def whole_totals(legs_: DataFrame) -> DataFrame:
+    """request, ways, total_km, total_hours over the way there, those between stops and the way back."""
+    return legs_.groupBy("request").agg(F.count("*").alias("ways"), F.round(F.sum("km"), 1).alias("total_km"), F.round(F.sum("hours"), 2).alias("total_hours"))
+
+
 def itinerary_totals(stops: DataFrame) -> DataFrame:
     """request, days, total_km, total_hours."""
     return legs(stops).groupBy("request").agg(F.count_distinct("day").alias("days"), F.round(F.sum("km"), 1).alias("total_km"), F.round(F.sum("hours"), 2).alias("total_hours"))
@@ -275,6 +325,37 @@ def expected_load(bases: DataFrame, weights: DataFrame) -> DataFrame:
     return bases.join(F.broadcast(weights), F.col("hour") >= 0).select("site", "hour", F.bround(F.col("base") * F.col("weight"), 0).cast("long").alias("expected"))
 
 
+def factored_snapshot(asked: DataFrame, expected: DataFrame, capacity: DataFrame, weather: DataFrame, days: DataFrame, hours: tuple[int, ...]) -> DataFrame:
+    """day, site, base, visitors, ratio, level, weather_factor, day_factor of the (day, site) that are asked for.
+
+    The base is the half-even mean of the hours; it is corrected by the weather at the site on the day (day, site, text, temp)
+    and by the kind of day (day, factor), 1 where either is unknown. No capacity gives ratio 0.
+    """
+    base = expected.where(F.col("hour").isin(*hours)).groupBy("site").agg(F.bround(F.avg("expected"), 0).cast("long").alias("base"))
+    w = weather.select("day", "site", weather_factor(F.coalesce("text", F.lit("")), F.col("temp")).alias("weather_factor"))
+    one = lambda c: F.coalesce(c, F.lit(1.0))
+    r = asked.select("day", "site").join(base, "site").join(capacity, "site", "left").join(w, ["day", "site"], "left").join(days.select("day", F.col("factor").alias("day_factor")), "day", "left")
+    r = r.withColumn("weather_factor", one(F.col("weather_factor"))).withColumn("day_factor", one(F.col("day_factor")))
+    r = r.withColumn("visitors", F.bround(F.col("base") * F.col("weather_factor") * F.col("day_factor"), 0).cast("long"))
+    ratio = F.when(F.col("capacity") > 0, F.col("visitors") / F.col("capacity")).otherwise(0.0)
+    return r.select("day", "site", "base", "visitors", F.round(ratio, 3).alias("ratio"), level(ratio).alias("level"), "weather_factor", "day_factor")
+
+
+def snapshot_report(points: DataFrame) -> DataFrame:
+    """day, total, alerts: visitors of all sites and the names of those at the level `alert`; sites of a day are few."""
+    alerts = F.sort_array(F.collect_list(F.when(F.col("level") == "alert", F.col("site"))))
+    return points.groupBy("day").agg(F.sum("visitors").alias("total"), F.array_join(alerts, ",").alias("alerts"))
+
+
+def day_curve(expected: DataFrame, capacity: DataFrame, now: int) -> DataFrame:
+    """site, series (the 24 hours in order), peak_hour (the first of equal ones), peak, current and its level at hour `now`."""
+    by = expected.where(F.col("hour").between(0, 23)).groupBy("site")
+    at = F.struct("hour", "expected")
+    r = by.agg(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["expected"]).alias("series"), F.max("expected").alias("peak"), F.max_by("hour", F.struct("expected", -F.col("hour"))).alias("peak_hour"), F.max(F.when(F.col("hour") == now % 24, F.col("expected"))).alias("current"))
+    ratio = F.when(F.col("capacity") > 0, F.col("current") / F.col("capacity")).otherwise(0.0)
+    return r.join(capacity, "site", "left").select("site", "series", "peak_hour", "peak", "current", level(ratio).alias("current_level"))
+
+
 def load_snapshot(expected: DataFrame, capacity: DataFrame, hours: tuple[int, ...], factor: float) -> DataFrame:
     """site, visitors, ratio, level for a slot of hours under the weather and day factor; no capacity gives ratio 0."""
     m = expected.where(F.col("hour").isin(*hours)).groupBy("site").agg(F.bround(F.avg("expected"), 0).alias("mean"))

@@ -22,7 +22,7 @@ __all__ = ["QUERIES", "SQL"]
 WORDS = ("widget", "bracket", "bolt", "ring")
 
 
-@query("t14_normalize_query", "SELECT p_partkey, p_name AS mended FROM part")
+@query("t14_normalize_query", "WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(replace(p_name, 'widget', 'widgxt'), 'bolt', 'boxt') END AS spoilt FROM part) SELECT p_partkey, regexp_replace(regexp_replace(spoilt, 'widg[^e]t', 'widget', 'g'), 'bo[^l]t', 'bolt', 'g') AS mended FROM s")
 def t14(spark, d):
     # Every third letter run of a name is spoilt by one character, so mending gives the names back.
     part = S.table(spark, d, "part")
@@ -58,12 +58,12 @@ def c11(spark, d):
     return L.linked_source(part.select(F.concat_ws(" ", F.col("p_name"), F.lower("p_type")).alias("stem")), names)
 
 
-@query("c12_evidence_page", "SELECT a.conv_id * 1000 + a.turn AS eid, min(b.turn) AS page FROM conversations a JOIN conversations b USING (conv_id) WHERE length(a.text) >= 30 AND contains(regexp_replace(b.text, '{SP}+', '', 'g'), regexp_replace(substr(a.text, 1, 30), '{SP}+', '', 'g')) AND regexp_replace(substr(a.text, 1, 30), '{SP}+', '', 'g') <> '' GROUP BY 1")
+@query("c12_evidence_page", "SELECT a.conv_id * 1000 + a.turn AS eid, min(b.turn) AS page FROM (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE length(text) >= 30 GROUP BY 1, 2) a JOIN conversations b USING (conv_id) WHERE contains(regexp_replace(b.text, '{SP}+', '', 'g'), regexp_replace(a.text, '{SP}+', '', 'g')) AND regexp_replace(a.text, '{SP}+', '', 'g') <> '' GROUP BY 1")
 def c12(spark, d):
     c = S.table(spark, d, "conversations")
-    asked = c.where("length(text) >= 30").select((F.col("conv_id") * 1000 + F.col("turn")).alias("eid"), F.col("conv_id").alias("doc"), F.substring("text", 1, 30).alias("snippet"))
+    asked = c.where("length(text) >= 30").groupBy("conv_id", "turn").agg(F.min("text").alias("snippet")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("eid"), F.col("conv_id").alias("doc"), "snippet")
     pages = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text")
-    return L.evidence_page(asked.dropDuplicates(["eid"]), pages, lambda x: X.sub(x, f"{X.SPACE}+", "")).select("eid", "page")
+    return L.evidence_page(asked, pages, lambda x: X.sub(x, f"{X.SPACE}+", "")).select("eid", "page")
 
 
 PREFIXED_SQL = r""",

@@ -159,12 +159,17 @@ def c3(spark, d):
     return C.body_samples(docs(spark, d))
 
 
-@query("c4_match_book", """WITH b AS (SELECT DISTINCT p_name AS title FROM part), f AS (SELECT p_partkey, p_brand || ' ' || p_name || ' x' AS file FROM part),
-m AS (SELECT f.p_partkey, b.title, row_number() OVER (PARTITION BY p_partkey ORDER BY length(title) DESC, title) AS r FROM f JOIN b ON contains(f.file, b.title)) SELECT p_partkey, title FROM m WHERE r = 1""")
+BARE_SQL = r"""regexp_replace({}, '[\s,.()\[\]<>"''_/;:!?-]', '', 'g')"""
+
+
+@query("c4_match_book", f"""WITH t AS (SELECT p_partkey AS ord, p_name AS title, {BARE_SQL.format("p_name")} AS tn FROM part), f AS (SELECT p_partkey AS fid, {BARE_SQL.format("CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 2) || '-' || split_part(p_name, ' ', 3) ELSE p_brand || ' (' || p_name || '), x.txt' END")} AS fn FROM part),
+m AS (SELECT fid, title, row_number() OVER (PARTITION BY fid ORDER BY length(tn) DESC, ord) AS r FROM f JOIN t ON contains(fn, tn) OR contains(tn, fn) WHERE fn <> '' AND tn <> '') SELECT fid AS p_partkey, title FROM m WHERE r = 1""")
 def c4(spark, d):
-    part = S.table(spark, d, "part")
-    files = part.select(F.col("p_partkey").alias("fid"), F.concat_ws(" ", "p_brand", "p_name", F.lit("x")).alias("name"))
-    return C.match_book(files, part.select(F.col("p_name").alias("title"))).withColumnRenamed("fid", "p_partkey")
+    part, w = S.table(spark, d, "part"), F.split("p_name", " ")
+    part_of = F.concat_ws("-", F.coalesce(F.get(w, F.lit(1)), F.lit("")), F.coalesce(F.get(w, F.lit(2)), F.lit("")))
+    name = F.when(F.col("p_partkey") % 5 == 0, part_of).otherwise(F.concat("p_brand", F.lit(" ("), "p_name", F.lit("), x.txt")))
+    titles = part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"))
+    return C.match_book(part.select(F.col("p_partkey").alias("fid"), name.alias("name")), titles).withColumnRenamed("fid", "p_partkey")
 
 
 @query("c8_place_tags", "SELECT doc_id, array_to_string(list_filter(['and', 'the', 'une', 'der', 'que'], lambda w: contains(text, w)), ',') AS locations FROM documents")

@@ -58,6 +58,26 @@ def not_done(rows: DataFrame, done: DataFrame, key: str, least_chars: int, most:
     return rows.join(done.select(key), key, "left_anti").where(F.length("text") >= least_chars).orderBy(key).limit(most)
 
 
+def write_slices(rows: DataFrame, slices: DataFrame, path: str, column: str, run: int) -> None:
+    """Replaces the named slices (column) of the table at `path` by the rows; all others stay.
+
+    A run writes its rows to a folder of its own and marks its slices when they are all there: until then readers see the
+    slices of earlier runs, so a lost job drops nothing. The same run again overwrites its own folders and doubles nothing.
+    A slice that is named and has no rows is empty from then on. Runs count upward.
+    """
+    named = slices.select(column).distinct()
+    rows.join(named, column, "left_semi").write.mode("overwrite").partitionBy(column).parquet(f"{path}/data/run={run}")
+    named.withColumnRenamed(column, "slice").write.mode("overwrite").parquet(f"{path}/marks/run={run}")
+
+
+def read_slices(spark: SparkSession, path: str, column: str, schema: str) -> DataFrame:
+    """The rows of the last marked run of each slice. schema: the columns of the rows, with the slice's column."""
+    marks = spark.read.schema("slice string, run long").option("basePath", f"{path}/marks").parquet(f"{path}/marks")
+    last = marks.groupBy("slice").agg(F.max("run").alias("run"))
+    rows = spark.read.schema(f"{schema}, run long").option("basePath", f"{path}/data").parquet(f"{path}/data")
+    return rows.join(last, (rows[column].cast("string") == last["slice"]) & (rows["run"] == last["run"])).select(*[c for c in rows.columns if c != "run"])
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """The chunks by source under `chunks`, and one row that sums them up, as JSON, under `summary`."""
     chunks.write.mode("overwrite").partitionBy("source").parquet(f"{path}/chunks")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
 from archivolt.operators.matching import found_phrases
-from archivolt.operators.pairs import similar
+from archivolt.operators.pairs import similar, within_edits
 
 HASH_ID = "^[A-Z]_[0-9A-F]{8}$"
 
@@ -91,7 +91,7 @@ def near_pairs(names: DataFrame, most: int = 2) -> DataFrame:
     """Pairs of different names within an edit distance, blocked without loss.
 
     An edit destroys two bigrams at most: names meet on bigrams, rarest first, as many as the edits can destroy and one more.
-    Names with fewer bigrams than that can lose all of them: they meet every name whose length is near enough.
+    Names with fewer bigrams than that can lose all of them: they meet on what is left of them without a few characters.
     """
     n = names.select("name").distinct()
     grams = n.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(2))))).alias("g"))
@@ -100,10 +100,11 @@ def near_pairs(names: DataFrame, most: int = 2) -> DataFrame:
     prefix = grams.join(df, "g").withColumn("r", order).where(F.col("r") <= 2 * most + 1).select("name", "g")
     a, b = prefix.select(F.col("name").alias("a"), "g"), prefix.select(F.col("name").alias("b"), "g")
     met = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= most)).select("a", "b")
-    few = grams.groupBy("name").agg(F.count("*").alias("many")).where(F.col("many") <= 2 * most)
-    lengths = few.select(F.col("name").alias("x"), F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("long"))
-    short = lengths.join(n.select(F.col("name").alias("y"), F.length("name").alias("long")), "long").where("x <> y")
-    met = met.union(short.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    many = grams.groupBy("name").agg(F.count("*").alias("many"))
+    few = lambda most_, c: many.where(F.col("many") <= most_).select(F.col("name").alias(c))
+    # A name near one of few bigrams has few itself: an edit makes two new ones at most.
+    alike = within_edits(few(2 * most, "a"), few(4 * most, "b"), most).where("a <> b")
+    met = met.union(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     return met.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most)
 
 

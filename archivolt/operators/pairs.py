@@ -12,8 +12,49 @@ from pyspark.sql.types import DoubleType
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio of the longest matching blocks; not symmetric. Nulls give null."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype=float)
+    """The ratio of the longest matching blocks; not symmetric. Nulls give null. What is known of a second text is kept."""
+    held: dict[str, SequenceMatcher] = {}
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        m = held.get(y)
+        if m is None:
+            if len(held) > 10_000:
+                held.clear()
+            m = held[y] = SequenceMatcher(None, "", y)
+        m.set_seq1(x)
+        return m.ratio()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def shared_characters(a: str, b: str) -> Column:
+    """How many characters two text columns share, each as often as in both: no matching is larger."""
+    times = lambda c, of: F.length(of) - F.length(F.replace(F.col(of), c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(c, a), times(c, b))))
+
+
+def without(c: Column, most: int) -> Column:
+    """The text and all that is left of it without one to `most` of its characters, once each."""
+    every = F.array(c)
+    last = every
+    for _ in range(most):
+        one = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+        last = F.array_distinct(F.flatten(F.transform(last, one)))
+        every = F.concat(every, last)
+    return F.array_distinct(every)
+
+
+def within_edits(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(a, b, distance) of all names a of `left` and b of `right` within an edit distance, from an equi-join.
+
+    Two names within `most` edits become equal when the right `most` characters at most are left out of either, so they meet
+    on what is left of them: keys are near whole names, and none is as common as a letter or a length.
+    """
+    keys = lambda df, c: df.select(c).distinct().select(c, F.explode(without(F.col(c), most)).alias("key"))
+    met = keys(left, "a").join(keys(right, "b"), "key").select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most)
 
 
 def _letters(names: DataFrame, column: str) -> DataFrame:
@@ -24,13 +65,14 @@ def _letters(names: DataFrame, column: str) -> DataFrame:
     return n.select(column, "letter", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float, also: Column | None = None) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, least: float, also: Column | None = None, same_first: bool = False) -> DataFrame:
     """(a, b, ratio) of all distinct names a of `left` and b of `right` with a ratio of `least` or more.
 
     Lossless prefix filter: M characters match, so the multisets of characters share M at least. Since M <= len b, a pair
     needs least / (2 - least) of either side's characters; so both have one in common among their rarest
-    len - needed + 1. Names meet on those. Before the exact ratio go `also`, a bound on lengths, and one on the edit distance,
-    which is never more than len a + len b - 2 M.
+    len - needed + 1. Names meet on those, and with `same_first` on their first character too. Before the exact ratio go
+    `also` and bounds on lengths, on shared characters, which are M at least, and on the edit distance, which is never more
+    than len a + len b - 2 M. The pairs that are left are dealt evenly, whatever key they met on.
     """
     x = _letters(left.select("a"), "a"), _letters(right.select("b"), "b")
     rare = x[0].select("letter", "nth").unionAll(x[1].select("letter", "nth")).groupBy("letter", "nth").agg(F.count("*").alias("df"))
@@ -39,12 +81,14 @@ def similar(left: DataFrame, right: DataFrame, least: float, also: Column | None
     def prefix(t: DataFrame, name: str) -> DataFrame:
         at = F.row_number().over(Window.partitionBy(name).orderBy("df", "letter", "nth"))
         n = F.length(name)
-        return t.join(rare, ["letter", "nth"]).withColumn("at", at).where(F.col("at") <= n - F.ceil(n * share - 1e-9) + 1).select(name, "letter", "nth")
+        first = F.substring(name, 1, 1) if same_first else F.lit("")
+        return t.join(rare, ["letter", "nth"]).withColumn("at", at).where(F.col("at") <= n - F.ceil(n * share - 1e-9) + 1).select(name, "letter", "nth", first.alias("first"))
 
-    met = prefix(x[0], "a").join(prefix(x[1], "b"), ["letter", "nth"])
+    met = prefix(x[0], "a").join(prefix(x[1], "b"), ["letter", "nth", "first"])
     met = met.where(2 * F.least(F.length("a"), F.length("b")) >= (least - 1e-9) * (F.length("a") + F.length("b"))).select("a", "b").distinct()
-    near = F.levenshtein("a", "b") <= (1 - least + 1e-9) * (F.length("a") + F.length("b"))
-    met = met.where(near if also is None else also & near)
+    both = F.length("a") + F.length("b")
+    met = met.where(F.lit(True) if also is None else also).where(2 * shared_characters("a", "b") >= (least - 1e-9) * both).where(F.levenshtein("a", "b") <= (1 - least + 1e-9) * both)
+    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
     return met.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
 
 
@@ -78,17 +122,13 @@ def variants(counts: DataFrame, canonical: DataFrame, least_count: int = 3, most
     counts: run, n. canonical: name. Same first character, lengths at most two apart, 1 - ratio at most `most_apart`.
     """
     runs = counts.where(F.col("n") >= least_count).join(canonical.select(F.col("name").alias("run")), "run", "left_anti")
-    fits = (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.abs(F.length("a") - F.length("b")) <= 2)
-    met = similar(runs.select(F.col("run").alias("a")), canonical.select(F.col("name").alias("b")), 1 - most_apart, fits)
+    fits = F.abs(F.length("a") - F.length("b")) <= 2
+    met = similar(runs.select(F.col("run").alias("a")), canonical.select(F.col("name").alias("b")), 1 - most_apart, fits, same_first=True)
     return met.where("ratio < 1").join(runs, met["a"] == runs["run"]).select(F.col("a").alias("variant"), F.col("b").alias("name"), "n", "ratio")
 
 
 def edit_variants(counts: DataFrame, canonical: DataFrame, least_count: int = 3, most: int = 2) -> DataFrame:
-    """variant, name, n, distance: the same with an edit distance of at most `most`; meets on first character and length."""
+    """variant, name, n, distance: frequent runs within an edit distance of `most` of a name, with its first character."""
     runs = counts.where(F.col("n") >= least_count).join(canonical.select(F.col("name").alias("run")), "run", "left_anti")
-    near = F.sequence(F.length("run") - most, F.length("run") + most)
-    a = runs.select(F.col("run").alias("variant"), "n", F.substring("run", 1, 1).alias("first"), F.explode(near).alias("len"))
-    b = canonical.select("name", F.substring("name", 1, 1).alias("first"), F.length("name").alias("len"))
-    met: DataFrame = a.join(b, ["first", "len"])
-    apart: Column = F.levenshtein("variant", "name")
-    return met.withColumn("distance", apart).where(F.col("distance") <= most).select("variant", "name", "n", "distance")
+    met = within_edits(runs.select(F.col("run").alias("a")), canonical.select(F.col("name").alias("b")), most).where(F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    return met.join(runs, met["a"] == runs["run"]).select(F.col("a").alias("variant"), F.col("b").alias("name"), "n", "distance")

@@ -85,10 +85,11 @@ def similar(left: DataFrame, right: DataFrame, least: float, also: Column | None
         return t.join(rare, ["letter", "nth"]).withColumn("at", at).where(F.col("at") <= n - F.ceil(n * share - 1e-9) + 1).select(name, "letter", "nth", first.alias("first"))
 
     met = prefix(x[0], "a").join(prefix(x[1], "b"), ["letter", "nth", "first"])
-    met = met.where(2 * F.least(F.length("a"), F.length("b")) >= (least - 1e-9) * (F.length("a") + F.length("b"))).select("a", "b").distinct()
     both = F.length("a") + F.length("b")
-    met = met.where(F.lit(True) if also is None else also).where(2 * shared_characters("a", "b") >= (least - 1e-9) * both).where(F.levenshtein("a", "b") <= (1 - least + 1e-9) * both)
-    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
+    met = met.where(2 * F.least(F.length("a"), F.length("b")) >= (least - 1e-9) * both).where(F.lit(True) if also is None else also).select("a", "b")
+    # Dealt by b in a stated number of parts: the pairs are few bytes each and much work.
+    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b").distinct()
+    met = met.where(F.levenshtein("a", "b") <= (1 - least + 1e-9) * both).where(2 * shared_characters("a", "b") >= (least - 1e-9) * both)
     return met.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least)
 
 

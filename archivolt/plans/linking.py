@@ -97,7 +97,8 @@ def e6(spark, d):
 
 def names_and_runs(spark, d):
     long = S.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("name"))
-    return QUERIES["v1_run_counts"](spark, d), long.where("length(name) BETWEEN 4 AND 8").distinct()
+    # Both are read several times; cut from the texts once.
+    return saved(QUERIES["v1_run_counts"](spark, d)), saved(long.where("length(name) BETWEEN 4 AND 8").distinct())
 
 
 @query("v2_variants")

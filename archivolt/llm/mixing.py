@@ -22,6 +22,11 @@ from .util import saved
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def named(c: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col(f"`{c.replace('`', '``')}`")
+
+
 def words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -72,10 +77,10 @@ def mix(
     seed: int = 17,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies, taken, and the columns named in `keep`."""
+    """One row per input row: doc_id, size, source_size, target, copies, taken, and the columns named in `keep` as `_keep_0` on."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        named(id_col).alias("doc_id"), named(source_col).alias("source"), words(named(text_col)).alias("size"),
+        *[named(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     joined = rows.alias("d").join(targets.alias("s"), F.expr("d.source <=> s.source"), "left")
@@ -84,12 +89,12 @@ def mix(
     copies = whole + (draw(F.col("d.doc_id"), seed) < rate - whole).cast("long")
     return joined.select(
         F.col("d.doc_id").alias("doc_id"), F.col("d.size").alias("size"), "source_size", "target",
-        copies.cast("long").alias("copies"), *[F.col(f"_keep_{c}").alias(f"_keep_{c}") for c in keep],
+        copies.cast("long").alias("copies"), *[f"_keep_{i}" for i in range(len(keep))],
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each input row as many times as the mix takes it."""
     mixed = mix(docs, keep=tuple(docs.columns), **options)
-    many = mixed.withColumn("_copy", F.explode(F.expr("IF(copies > 0, sequence(1L, copies), array())")))
-    return many.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    many = mixed.select("*", F.explode(F.expr("IF(copies > 0, sequence(1L, copies), array())")).alias("_copy"))
+    return many.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])

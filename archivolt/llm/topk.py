@@ -7,7 +7,8 @@ carry-save bitmap arithmetic; the sum's slices are walked from the most signific
 rows that the quantisation error leaves open at the boundary are scored exactly.
 
 Edge cases: null vectors and vectors with null or non-finite components, and rows without an id, take no part; components
-beyond REACH steps count as REACH steps, so that no sum leaves the range of a long; shorter vectors count as padded with 0
+are not bounded, but vectors whose sums could leave the range of a long (dimension times the largest step squared is 2^62 or
+more) raise an error, as no score could be stated; shorter vectors count as padded with 0
 (the empty vector scores 0); rows that repeat both id and vector are candidates as often as they stand there; where rows of
 a query's id differ, the least vector asks; a query never meets rows of its own id; ties go to the smaller id; an empty
 table or no query gives an empty result; further columns, whatever their names, are not read.
@@ -23,12 +24,11 @@ from pyspark.sql import functions as F
 from .util import saved
 
 BITS = 6
-REACH = 1 << 26
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    steps = lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(REACH)), F.lit(-REACH))
-    return F.transform(vector, lambda x: steps(x).cast("long"))
+    most = float(1 << 62)  # beyond what top_k takes
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(F.lit(float(scale)) * x.cast("double"), F.lit(most)), F.lit(-most))).cast("long"))
 
 
 def whole(vector: Column) -> Column:
@@ -163,7 +163,9 @@ def top_k(
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("e")).where(F.col("vec_id").isNotNull() & whole(F.col("e")))
     ints = saved(clean.select("vec_id", quantised(F.col("e"), scale).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "bsi-rows")
     asking = ints.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, dim = ints.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n, dim, reach = ints.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0))).first()
+    if dim * reach * reach >= 1 << 62:
+        raise ValueError("inner products of these vectors do not fit a long")
     nq = asking.count()
     blocks = max(-(-n // row_block), min(least_blocks, -(-n // 64)), 1)
     query_blocks = max(-(-nq // query_block), 1)

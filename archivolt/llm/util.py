@@ -99,7 +99,7 @@ def quoted(df: DataFrame, *names: str) -> DataFrame:
 def input_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that further columns of any name cannot clash; missing ones are null."""
     have = set(df.columns)
-    return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
+    return df.select(*[F.col(f"`{n.replace('`', '``')}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from archivolt.llm import forest, phrases, whiten
+from archivolt.llm import forest, mixing, phrases, topk, whiten
 
 SF = "/root/testdata/sf0.1"
 VECTORS = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(DoubleType()))])
@@ -207,3 +207,22 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
 def test_no_phrases(spark):
     for rows in ([], [(None, None)], [("", "en")]):
         assert phrases.collocations(spark.createDataFrame(rows, "text string, lang string")).count() == 0
+
+
+def test_large_components_are_scored_as_they_are(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-200_000, 200_000, 4)]) for i in range(300)]
+    ints = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows}
+    assert max(np.abs(v).max() for v in ints.values()) > 1 << 27
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, VECTORS)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, -s) for s, i in sorted((-int(ints[q] @ ints[i]), i) for i in ints if i != q)[:10]] for q in (0, 100, 200)}
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], VECTORS))
+
+
+def test_mixing_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b", f"s{i % 2}") for i in range(20)], "doc_id long, text string, source string").select("*", F.lit("x").alias("a.b"), F.lit("y").alias("x`y"), F.lit("z").alias("_copy"))
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {("x", "y", "z")}

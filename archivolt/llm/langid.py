@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import fold, free_name, portions, quoted, saved, typed
+from .util import fold, portions, quoted, saved
 
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000  # labelled rows that the filters are learned from, shared evenly by the languages, by hash of the id
@@ -149,13 +149,16 @@ def learn(docs: DataFrame, *, rows: int = TRAIN_ROWS, grams: int = GRAMS, seen:
 
 def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns in `keep`, then the language and the score under `names`, for every row. Map only: no shuffle."""
-    text = text_col if text_col in keep else free_name([*keep, *names], "text")  # whole rows carry the text once
+    plain = [f"c{i}" for i in range(len(keep))]  # Python takes plain names only
+    whole = text_col in keep  # whole rows carry the text once
+    text = plain[keep.index(text_col)] if whole else "words"
     share = docs.sparkSession.sparkContext.broadcast(filters)  # size set by GRAMS, the languages and `spare`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches, text, PORTION):
             said, score = share.value.decide(b[text].to_pylist())
-            yield pa.record_batch([*[b[c] for c in keep], pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
+            yield pa.record_batch([*[b[c] for c in plain], pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*plain, "said", "sure"])
 
-    source = quoted(docs, *keep) if text_col in keep else quoted(docs.withColumn(text, F.col(text_col)), *keep, text)
-    return source.mapInArrow(run, f"{typed(docs, *keep)}, `{names[0]}` string, `{names[1]}` double")
+    source = quoted(docs, *keep, *([] if whole else [text_col]))
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, source.schema, strict=False))
+    return source.toDF(*plain, *([] if whole else [text])).mapInArrow(run, f"{kinds}, said string, sure double").toDF(*keep, *names)

@@ -66,7 +66,7 @@ def test_stages_keep_columns_of_clashing_names_and_empty_tables(spark, tmp_path)
     from pyspark.sql import functions as F
 
     rows, base = planted()
-    clash = ("lang_pred", "Score", "class_id", "lcs", "size", "shard", "copies", "rid", "text_")
+    clash = ("lang_pred", "Score", "class_id", "lcs", "size", "shard", "copies", "rid", "text_", "a.b", "x`y")
     docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(c).alias(c) for c in clash])
     bench = spark.createDataFrame([(0, " ".join(base[8]))], "item_id long, text string")
     for given, folder in ((docs, "some"), (docs.limit(0), "none")):

@@ -99,10 +99,10 @@ def test_pages_of_every_kind(spark):
 
 
 def test_topk_repeats_ties_and_large_components(spark):
-    rows = [(0, [1.0, 0.5]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [1e30, 1.0]), (4, [1.0]), (5, []), (6, None), (None, [1.0, 1.0]), (0, [2.0, 0.0])]
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [100_000.0, 1.0]), (4, [1.0]), (5, []), (6, None), (None, [1.0, 1.0]), (0, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("score"), F.lit(1).alias("copies"))
     got = [(r.rank, r.vec_id, r.score) for r in sorted(topk.top_k(df, k=5).collect(), key=lambda r: r.rank)]
-    u, far = 1024, 1 << 26  # the least vector of id 0 asks: [1, 0.5]
+    u, far = 1024, 102_400_000  # the least vector of id 0 asks: [1, 0.5]
     assert got == [(1, 3, far * u + u * u // 2), (2, 1, u * u * 3 // 2), (3, 1, u * u * 3 // 2), (4, 2, u * u * 3 // 2), (5, 4, u * u)]
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 1")).count() == 0
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
 from archivolt.operators.order import numbered, with_blocks
+from archivolt.sources.shared import saved
 
 # Speed km/h, overhead h, detour, least km, and order of preference per mode.
 MODES = (("road", 50.0, 0.0, 1.35, 0.0, 0), ("rail", 200.0, 0.75, 1.2, 80.0, 1), ("air", 700.0, 2.5, 1.05, 400.0, 2))
@@ -96,11 +97,38 @@ def path_difference(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.round(mean(a) - mean(b), 6).alias("difference"))
 
 
-def nearest(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
-    """k nearest sites of each point; sites (ord, site, lat, lng) are few. Ties by order."""
-    d = F.round(haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")), 6)
-    j = points.join(sites, F.col("lat").isNotNull()).withColumn("km", d)
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "ord"))).where(F.col("rank") <= k).select("point", "site", "km", "rank")
+def nearest(points: DataFrame, sites: DataFrame, k: int, cell: int = 10) -> DataFrame:
+    """point, site, km, rank: the k nearest sites of each point; ties by order. Rows without coordinates take no part.
+
+    points: point, plat, plng. sites: ord, site, lat, lng. A point meets the sites in the cells of `cell` degrees around its
+    own, over the date line too, by an equi-join. What lies beyond that ring is farther than the ring is wide, in latitude
+    or, at the point's own latitude, in longitude; points whose k-th site is not nearer than that look into a wider ring, and
+    those that are left, near a pole or far from all sites, into all cells.
+    """
+    rows, columns = 180 // cell, 360 // cell
+    i = lambda lat: F.least(F.floor((lat + 90) / cell), F.lit(rows - 1)).cast("int")
+    j = lambda lng: F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / cell), F.lit(columns - 1)).cast("int")
+    s = sites.where("lat IS NOT NULL AND lng IS NOT NULL").select("ord", "site", "lat", "lng", i(F.col("lat")).alias("ci"), j(F.col("lng")).alias("cj"))
+    left = points.where("plat IS NOT NULL AND plng IS NOT NULL").select("point", "plat", "plng")
+    out = None
+    for ring in (1, 3, None):
+        near = F.sequence(i(F.col("plat")) - ring, i(F.col("plat")) + ring) if ring else F.sequence(F.lit(0), F.lit(rows - 1))
+        along = F.transform(F.sequence(j(F.col("plng")) - ring, j(F.col("plng")) + ring), lambda x: F.pmod(x, F.lit(columns))) if ring else F.sequence(F.lit(0), F.lit(columns - 1))
+        met = left.withColumn("ci", F.explode(near)).withColumn("cj", F.explode(along)).join(s, ["ci", "cj"])
+        met = met.withColumn("km", F.round(haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")), 6))
+        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "ord"))).where(F.col("rank") <= k).select("point", "plat", "site", "km", "rank")
+        if ring:
+            best = saved(best)
+            turn = F.radians(F.lit(float(ring * cell)))
+            wide = 6371 * F.least(turn, F.asin(F.cos(F.radians("plat")) * F.sin(turn)))
+            sure = best.groupBy("point").agg(F.count("*").alias("n"), F.max("km").alias("far"), F.max(wide).alias("wide")).where((F.col("n") == k) & (F.col("far") < F.col("wide") - 1e-6)).select("point")
+            left = saved(left.join(sure, "point", "left_anti"))
+            best = best.join(sure, "point", "left_semi")
+        best = best.select("point", "site", "km", "rank")
+        out = best if out is None else out.unionByName(best)
+        if ring and not left.limit(1).count():
+            break
+    return out
 
 
 def day_type(days: DataFrame, calendar: DataFrame) -> DataFrame:

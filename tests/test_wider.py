@@ -157,3 +157,17 @@ def test_evidence_pages_by_ratio(spark, least):
                 want[eid] = (near[0][1], -near[0][0])
     got = L.evidence_page(spark.createDataFrame(asked, "eid long, doc string, snippet string"), spark.createDataFrame(pages, "doc string, page int, text string"), lambda c: F.replace(c, F.lit(" "), F.lit("")), least)
     assert {r["eid"]: (r["page"], r["ratio"]) for r in got.collect()} == want and any(r != 1.0 for _, r in want.values())
+
+
+def test_nearest_sites_by_rings_equal_all_pairs(spark):
+    rng = random.Random(3)
+    sites = [(i, f"s{i}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(300 + i, f"d{i}", rng.uniform(-5, 5), 179.5 - i % 2 * 359) for i in range(20)] + [(400, "same", 10.0, 10.0), (401, "twin", 10.0, 10.0), (402, "nowhere", None, 1.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)] + [(200, 0.0, 179.99), (201, 0.0, -179.99), (202, 90.0, 0.0), (203, -90.0, 5.0), (204, 10.0, 10.0), (205, None, 1.0), (206, 89.9, 179.0), (207, 0.0, 180.0)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    p, s = frame(points, "point int, plat double, plng double"), frame(sites, "ord int, site string, lat double, lng double")
+    km = F.round(G.haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")), 6)
+    all_ = p.crossJoin(s).where("plat IS NOT NULL AND lat IS NOT NULL").withColumn("km", km)
+    want = all_.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "ord"))).where("rank <= 4").select("point", "site", "km", "rank")
+    got = G.nearest(p, s, 4)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 4 * 157
+    assert G.nearest(p, s.limit(2), 4).count() == 2 * 157 and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

@@ -146,6 +146,42 @@ def entity_id(kind: Column, name: Column) -> Column:
     return F.concat(F.upper(F.substring(kind, 1, 1)), F.lit("_"), F.upper(F.substring(F.sha1(F.concat_ws(":", kind, name)), 1, 8)))
 
 
+def field_text(title: Column, section: Column, places: Column) -> Column:
+    """Title, section and places (an array) joined by blanks; nulls and empty parts are left out."""
+    return F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(section, F.lit("")), F.nullif(F.array_join(places, " "), F.lit("")))
+
+
+def prefixed(rows: DataFrame, prefixes: DataFrame, key: str) -> DataFrame:
+    """The rows with the text behind its prefix (key, prefix) and a line break; a blank or missing prefix changes nothing."""
+    j = rows.join(prefixes.select(key, "prefix"), key, "left")
+    text = F.when(F.trim(F.coalesce("prefix", F.lit(""))) != "", F.concat_ws("\n", "prefix", "text")).otherwise(F.col("text"))
+    return j.select(*[text.alias("text") if c == "text" else c for c in rows.columns])
+
+
+def fix_recall(rows: DataFrame, old: str, new: str, fixes: Sequence[tuple[str, str]]) -> DataFrame:
+    """known and done of each row that has a known error: errors in the old text, and those that the new one has put right."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("good")) for a, b in fixes if a])
+    r = rows.withColumn("_known", F.filter(pairs, lambda x: F.contains(old, x["wrong"]))).where("size(_known) > 0")
+    done = F.filter("_known", lambda x: ~F.contains(new, x["wrong"]) & F.contains(new, x["good"]))
+    return r.withColumn("known", F.size("_known").cast("long")).withColumn("done", F.size(done).cast("long")).drop("_known")
+
+
+def evidence(calls: DataFrame, tool: str, most: int = 5, chars: int = 1000) -> DataFrame:
+    """i, text behind the other columns: the first `most` hits of each call of the tool, each cut to `chars`.
+
+    calls: tool, result (a JSON list of texts); what cannot be read has no hits.
+    """
+    hits = F.posexplode(F.slice(F.from_json("result", "array<string>"), 1, most)).alias("i", "text")
+    keep = [c for c in calls.columns if c not in ("tool", "result")]
+    return calls.where(F.col("tool") == tool).select(*keep, hits).withColumn("text", F.substring("text", 1, chars))
+
+
+def run_counts(rows: DataFrame, column: str, run: str = f"{HAN}+", low: int = 2, high: int = 8, least: int = 1) -> DataFrame:
+    """run, n: all runs of letters (Han by default) of `low` to `high` characters that stand `least` times or more."""
+    r = rows.select(F.explode(F.regexp_extract_all(column, F.lit(run), F.lit(0))).alias("run"))
+    return r.where(F.length("run").between(low, high)).groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def fact_check(rows: DataFrame, column: str) -> DataFrame:
     """worst, confidence and verified from a JSON answer {"claims": [{"status", "severity"}]}.
 

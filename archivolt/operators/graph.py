@@ -138,6 +138,16 @@ def review_stats(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     return done.unionByName(missing)
 
 
+def pending(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The names of a review list that are not resolved yet."""
+    return names.join(resolved.select("name").distinct(), "name", "left_anti")
+
+
+def values_by_type(entities: DataFrame, column: str) -> DataFrame:
+    """type, entities, values: how many entities a type has, and the different values of a column of few values."""
+    return entities.groupBy("type").agg(F.count("*").alias("entities"), F.array_join(F.sort_array(F.collect_set(column)), ",").alias("values"))
+
+
 def graph_summary(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """metric, name, n: totals of both tables, entities per type, relations per relation type."""
     count = lambda df, metric, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), "name", "n")

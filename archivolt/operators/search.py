@@ -217,6 +217,13 @@ def weak_metrics(rankings: DataFrame, questions: DataFrame, relevant: DataFrame,
     return q.agg(F.count("*").alias("questions"), *out, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
 
 
+def unmatched(rankings: DataFrame, questions: DataFrame, relevant: DataFrame) -> DataFrame:
+    """qid, gold of the questions without a relevant unit in their lists. relevant: (qid, unit), once each."""
+    n = relevant.groupBy("qid").agg(F.count("*").alias("gold"))
+    found = rankings.join(relevant.select("qid", "unit"), ["qid", "unit"], "left_semi").select("qid").distinct()
+    return questions.select("qid").join(n, "qid", "left").join(found, "qid", "left_anti").select("qid", F.coalesce("gold", F.lit(0)).alias("gold"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "method") -> DataFrame:
     """New rows in place of the old rows of the same key; other rows stay."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -33,10 +33,7 @@ FIX_SQL = "f AS (SELECT doc_id, text, replace(replace(text, 'thth', 'th'), 'erer
 @query("t13_fix_recall", f"WITH {FIX_SQL} SELECT doc_id, count(*) AS known, count_if(NOT contains(fixed, wrong) AND contains(fixed, good))::BIGINT AS done FROM f JOIN e ON contains(text, wrong) GROUP BY doc_id")
 def t13(spark, d):
     fixed = F.replace(F.replace("text", F.lit("thth"), F.lit("th")), F.lit("erer"), F.lit("er"))
-    known = F.array(*[F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("good")) for a, b in (("thth", "th"), ("erer", "er"), ("anan", "an"))])
-    k = docs(spark, d).withColumn("fixed", fixed).withColumn("known", F.filter(known, lambda x: F.contains("text", x["wrong"]))).where("size(known) > 0")
-    done = F.filter("known", lambda x: ~F.contains("fixed", x["wrong"]) & F.contains("fixed", x["good"]))
-    return k.select("doc_id", F.size("known").cast("long").alias("known"), F.size(done).cast("long").alias("done"))
+    return X.fix_recall(docs(spark, d).withColumn("fixed", fixed), "text", "fixed", (("thth", "th"), ("erer", "er"), ("anan", "an"))).select("doc_id", "known", "done")
 
 
 @query("t19_fact_check", """WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'contradicted' WHEN 1 THEN 'unsupported' ELSE 'supported' END AS status, CASE o_orderkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE '?' END AS sev FROM orders),
@@ -64,9 +61,8 @@ def t19_legacy(spark, d):
 @query("t22_evidence", "SELECT conv_id, turn, i::INTEGER AS i, substr(text, (i * 20 + 1)::BIGINT, 20) AS text FROM conversations, (SELECT unnest(range(5)) AS i) WHERE role = 'user' AND length(text) > i * 20")
 def t22(spark, d):
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 20).cast("int")), lambda i: F.substring(F.col("text"), i * 20 + 1, F.lit(20)))
-    calls = S.table(spark, d, "conversations").where("length(text) > 0").select("conv_id", "turn", "role", F.to_json(cut).alias("result"))
-    got = calls.where("role = 'user'").select("conv_id", "turn", F.posexplode(F.slice(F.from_json("result", "array<string>"), 1, 5)).alias("i", "text"))
-    return got.withColumn("text", F.substring("text", 1, 1000))
+    calls = S.table(spark, d, "conversations").where("length(text) > 0").select("conv_id", "turn", F.col("role").alias("tool"), F.to_json(cut).alias("result"))
+    return X.evidence(calls, "user")
 
 
 @query("c7_anchored", """WITH c AS (SELECT doc_id AS book, s::INTEGER AS chunk_id, (s * 400)::BIGINT AS offset, CASE WHEN s % 2 = 0 THEN 'page' || s END AS section FROM documents, LATERAL (SELECT unnest(generate_series(0, length(text) // 400)) AS s)),
@@ -186,8 +182,7 @@ def e2(spark, d):
 def e10(spark, d):
     q = asked(spark, d)
     gold = saved(R.labelled(q, text_units(spark, d)).select("qid", "unit"))
-    found = search(spark, d).join(gold, ["qid", "unit"], "left_semi").select("qid").distinct()
-    return q.select("qid").join(gold.groupBy("qid").agg(F.count("*").alias("gold")), "qid", "left").join(found, "qid", "left_anti").select("qid", F.coalesce("gold", F.lit(0)).alias("gold"))
+    return R.unmatched(search(spark, d), q, gold)
 
 
 @query("e4_gold_only", f"""WITH g AS (SELECT b.item_id AS qid, d.doc_id AS unit FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 21, 40))), rk AS (WITH {UNITS}, {SEARCH_SQL} SELECT qid, unit, rank FROM rk WHERE rank <= 5),
@@ -297,7 +292,7 @@ def k15(spark, d):
 @query("k17_pending", "SELECT c_name AS name FROM customer WHERE c_custkey % 3 <> 0")
 def k17(spark, d):
     c = S.table(spark, d, "customer")
-    return c.select(F.col("c_name").alias("name")).join(c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name")), "name", "left_anti")
+    return K.pending(c.select(F.col("c_name").alias("name")), c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name")))
 
 
 @query("k21_export", "SELECT o_orderkey AS id, 'C' || o_custkey AS source, o_orderpriority AS relation, CASE WHEN o_orderkey % 3 = 0 THEN 'order' ELSE o_orderpriority END AS label FROM orders WHERE o_orderstatus = 'F'")

@@ -95,14 +95,13 @@ def t9(spark, d):
 
 @query("t10_field_text", "SELECT doc_id, concat_ws(' ', nullif(source, 'src0'), lang) AS field FROM documents")
 def t10(spark, d):
-    return docs(spark, d).select("doc_id", F.concat_ws(" ", F.nullif("source", F.lit("src0")), "lang").alias("field"))
+    return docs(spark, d).select("doc_id", X.field_text(F.nullif("source", F.lit("src0")), F.lit(""), F.array("lang")).alias("field"))
 
 
 @query("t11_prefix", "SELECT d.doc_id, CASE WHEN trim(coalesce(b.text, '')) <> '' THEN b.text || chr(10) || d.text ELSE d.text END AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def t11(spark, d):
     pre = S.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("prefix"))
-    j = docs(spark, d).join(pre, "doc_id", "left")
-    return j.select("doc_id", F.when(F.trim(F.coalesce("prefix", F.lit(""))) != "", F.concat_ws("\n", "prefix", "text")).otherwise(F.col("text")).alias("text"))
+    return X.prefixed(docs(spark, d).select("doc_id", "text"), pre, "doc_id")
 
 
 GUARD_SQL = "p AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'the', 'th') WHEN doc_id % 3 = 1 THEN text END AS new FROM documents)"
@@ -379,8 +378,7 @@ def e9_difference(spark, d):
 
 @query("v1_run_counts", "WITH r AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}]+')) AS run FROM documents) SELECT run, count(*) AS n FROM r WHERE length(run) BETWEEN 2 AND 8 GROUP BY run HAVING count(*) >= 3")
 def v1(spark, d):
-    r = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("run"))
-    return r.where(F.length("run").between(2, 8)).groupBy("run").agg(F.count("*").alias("n")).where("n >= 3")
+    return X.run_counts(docs(spark, d), "text", r"[\p{L}]+", least=3)
 
 
 @query("k1_dictionary_mentions", "WITH e AS (SELECT DISTINCT p_name AS name, lower(p_brand) AS alias FROM part UNION SELECT unnest(['the', 'and the', 'une']), 'der'), p AS (SELECT name, name AS part FROM e UNION SELECT name, alias FROM e) SELECT DISTINCT doc_id, name FROM documents JOIN p ON contains(text, part)")
@@ -494,7 +492,7 @@ def k18(spark, d):
 
 @query("k19_summary", "SELECT p_type AS type, count(*) AS entities, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS brands FROM part GROUP BY p_type")
 def k19(spark, d):
-    return S.table(spark, d, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("entities"), F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"))
+    return K.values_by_type(S.table(spark, d, "part").select(F.col("p_type").alias("type"), "p_brand"), "p_brand").withColumnRenamed("values", "brands")
 
 
 @query("k19_graph_summary", "SELECT 'total' AS metric, 'entities' AS name, count(*) AS n FROM part UNION ALL SELECT 'total', 'relations', count(*) FROM orders UNION ALL SELECT 'entities', p_type, count(*) FROM part GROUP BY p_type UNION ALL SELECT 'relations', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority")

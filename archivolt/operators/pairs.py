@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from archivolt.sources.shared import saved
+
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -107,12 +109,17 @@ def linked_source(stems: DataFrame, candidates: DataFrame, least: float = 0.55)
 def evidence_page(evidence: DataFrame, pages: DataFrame, normal, least: float = 0.45) -> DataFrame:
     """eid, page, ratio: the first page with the snippet (1.0), else that of the best ratio; pages join on their document.
 
-    evidence: eid, doc, snippet. pages: doc, page, text. Blank pages and snippets are passed over.
+    evidence: eid, doc, snippet. pages: doc, page, text. Blank pages and snippets are passed over. Shared characters bound
+    the ratio: the page of the largest bound is compared first, and then only pages whose bound reaches its ratio.
     """
     e = evidence.select("eid", "doc", normal(F.col("snippet")).alias("s")).where("s <> ''")
     p = pages.select("doc", "page", normal(F.col("text")).alias("t")).where("t <> ''")
     exact = e.join(p, "doc").where(F.contains("t", F.col("s"))).groupBy("eid").agg(F.min("page").alias("page")).withColumn("ratio", F.lit(1.0))
-    near = e.join(exact, "eid", "left_anti").join(p, "doc").withColumn("r", ratio("s", "t")).where(F.col("r") >= least)
+    bound = (2 * shared_characters("s", "t") / (F.length("s") + F.length("t"))).alias("bound")
+    may = saved(e.join(exact, "eid", "left_anti").join(p, "doc").select("eid", "doc", "page", bound).where(F.col("bound") >= least - 1e-9))
+    texts = lambda df: df.join(e, ["eid", "doc"]).join(p, ["doc", "page"]).select("eid", "page", ratio("s", "t").alias("r"))
+    first = texts(may.groupBy("eid", "doc").agg(F.max_by("page", F.struct("bound", -F.col("page"))).alias("page"))).groupBy("eid").agg(F.max("r").alias("least"))
+    near = texts(may.join(first, "eid").where(F.col("bound") >= F.col("least") - 1e-9)).where(F.col("r") >= least)
     best = near.groupBy("eid").agg(F.max_by("page", F.struct(F.col("r"), -F.col("page"))).alias("page"), F.max("r").alias("ratio"))
     return exact.unionByName(best)
 

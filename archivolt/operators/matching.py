@@ -57,7 +57,7 @@ def found_phrases(docs: DataFrame, phrases: DataFrame, budget: int = BUDGET) ->
     size, n = of[0] or 0, of[1] or 0
     passes = max(1, -(-size // budget))
     p = F.broadcast(p) if n <= SMALL else p
-    texts = spread(docs.select("doc_id", "text").where("text IS NOT NULL"))
+    texts = spread(docs.select("doc_id", "text")).where("text IS NOT NULL")
     out = None
     for i in range(passes):
         own = one.where(F.pmod(F.xxhash64("part"), F.lit(passes)) == i).toArrow()["part"].combine_chunks()  # about `budget` characters

@@ -52,7 +52,7 @@ def searched(units: DataFrame, queries: DataFrame, terms: T.Terms, features: int
     """
     vocab = save(T.vocabulary(units, terms, features))
     asked = save(T.vectors(queries, terms, vocab, sublinear))
-    if queries.limit(T.QUERIES + 1).count() > T.QUERIES:
+    if queries.count() > T.QUERIES:
         return top_k(T.vectors(units, terms, vocab, sublinear, asked), asked, k)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit"))
     return T.best(units, terms, vocab, asked, k, sublinear).withColumn("rank", rank).where(F.col("rank") <= k)

@@ -28,5 +28,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, few: int = 200_000) -> DataFrame:
-    """A table of few rows dealt over all cores, however few files it comes in; a larger one stays as its files give it."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.limit(few + 1).count() <= few else df
+    """A table of few rows dealt over all cores, however few files it comes in; a larger one stays as its files give it.
+
+    Rows are counted, which reads no column of a Parquet table; a limit would send rows of every file to one task.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() <= few else df

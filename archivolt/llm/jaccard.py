@@ -2,8 +2,8 @@
 
 Texts are sets of word shingles. In each of RUNS runs a set chooses about 1 / similarity of its shingles by a hash that
 all sets share, so similar sets choose alike; each chosen shingle is a bucket. Buckets of at most `limit` sets are compared
-by brute force; larger ones split again on further shared shingles (a path), and so on. The number of runs follows from the
-target recall. Every link is checked on the whole sets, and the links within a class are counted over all its pairs.
+by brute force; larger ones split again on further shared choices whose buckets are large too (a path), and so on: sets that
+share a smaller bucket meet there already. The number of runs follows from the target recall. Every link is checked on the whole sets, and the links within a class are counted over all its pairs.
 
 What keeps large groups of near copies linear:
 - each large bucket first compares its sets with one of them (its pivot), so that groups of near copies get one label;
@@ -241,7 +241,6 @@ def linked(join: Join, reps: DataFrame, live: DataFrame) -> DataFrame | None:
         tops = saved(stands.join(reps.select("rep", F.size("pool").alias("all")), "rep").where("hot >= 0.5 * all").select("rep", "lab", "tops"), "cp-tops")
         at = tops.select("rep", "lab", F.col("lab").alias("met"), F.explode("tops").alias("key"))
         edges.append(join.in_blocks(cored(at, "cp-dense-size"), "cp-dense"))
-        pools = saved(reps.select("rep", "pool").join(big.select("rep").distinct(), "rep", "left_semi"), "cp-pools")
         again = relabelled(big.select("rep", "n", "sig", "key"), edges).join(tops.select("rep", F.col("tops")[0].alias("top")), "rep", "left")
         live = saved(cored(again.withColumn("met", F.coalesce("top", "lab")).drop("top"), "cp-size"), "cp-live")
         big = live
@@ -253,8 +252,12 @@ def linked(join: Join, reps: DataFrame, live: DataFrame) -> DataFrame | None:
             big = big.where(~few)
         if depth == DEPTH or not big.limit(1).count():
             break
-        # About 1.5 choices a set: enough that paths of similar sets live on, and those of sets that share little die out.
-        chosen = F.expr("filter(pool, t -> t <> key AND pmod(xxhash64(key, t), 1000000) < 1500000 / size(pool))")
+        if not depth:
+            # Sets that share any other choice are compared there, whole: in a leaf, in one go, or they are connected already.
+            open_ = big.groupBy("rep").agg(F.collect_list("key").alias("pool"))
+            pools = saved(open_.join(reps.select("rep", F.size("pool").alias("all")), "rep"), "cp-pools")
+        # About 1.5 of all choices a set: enough that paths of similar sets live on, and those of sets that share little die out.
+        chosen = F.expr("filter(pool, t -> t <> key AND pmod(xxhash64(key, t), 1000000) < 1500000 / all)")
         paths = big.join(pools, "rep").withColumn("t", F.explode(chosen)).select("rep", "n", "sig", "lab", "met", F.xxhash64("key", "t").alias("key"))
         live = saved(cored(paths, "cp-size"), "cp-live")
         leaves.append(live.where(F.col("m") <= join.limit))

@@ -91,6 +91,23 @@ def test_classes_match_brute_force(spark, monkeypatch, block):
     assert [(got[i].class_id, got[i].n_links) for i in range(len(texts))] == [(root(i), links[i]) for i in range(len(texts))]
 
 
+def test_paths_take_only_large_buckets(spark, monkeypatch):
+    taken, cored = [], jaccard.cored
+
+    def counted(rows, name):
+        taken.append((name, rows.count()))
+        return cored(rows, name)
+
+    monkeypatch.setattr(jaccard, "cored", counted)
+    passage = [f"a{i}" for i in range(30)]  # a third of each of 200 texts, else unlike
+    texts = [" ".join([*passage, *(f"q{i}v{j}" for j in range(60))]) for i in range(200)]
+    texts += [t.replace("v59", "v60") for t in texts[:3]]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(frame(spark, texts)).collect()}
+    assert got == {i: (i % 200, int(i % 200 < 3)) for i in range(203)}
+    _, large, paths, *_ = [n for name, n in taken if name == "cp-size"]
+    assert large >= 2 * 203 and 0 < paths < large
+
+
 def test_segments_match_the_definition():
     rnd = random.Random(5)
     for _ in range(200):

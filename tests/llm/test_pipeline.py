@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 
 import corpus_pipeline
+from archivolt.llm import jaccard
 from archivolt.llm.words import shingles
 
 DOCS = "doc_id long, text string, lang string, source string, row_key long"
@@ -81,3 +82,21 @@ def test_stages_keep_columns_of_clashing_names_and_empty_tables(spark, tmp_path)
         assert corpus_pipeline.sharded(spark, kept, at).count() == len(out)
     english = corpus_pipeline.language(spark, docs, "").collect()
     assert {r.text for r in english} == {r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+
+
+def test_near_duplicates_of_a_shared_passage(spark, monkeypatch):
+    taken, cored = [], jaccard.cored
+
+    def counted(rows, name):
+        taken.append((name, rows.count()))
+        return cored(rows, name)
+
+    monkeypatch.setattr(jaccard, "cored", counted)
+    passage = [f"a{i}" for i in range(30)]
+    texts = [" ".join([*passage, *(f"q{i}v{j}" for j in range(60))]) for i in range(100)]
+    texts += [t.replace("v59", "v60") for t in texts[:3]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(100))
+    _, large, paths, *_ = [n for name, n in taken if name == "cp-size"]
+    assert large >= 2 * 103 and 0 < paths < large

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as X
 from archivolt.operators.matching import found_phrases
+from archivolt.sources.shared import saved
 
 # The mark of a page; what stands between a title and its page number in a table of contents.
 MARK = r"\[PAGE:(\d+)\]"
@@ -147,14 +148,18 @@ def match_book(files: DataFrame, titles: DataFrame) -> DataFrame:
     """fid, title: the longest title that contains a file's name or is contained in it, both normalized; the first of equals.
 
     files: fid, name. titles: ord, title. Names and titles without a character left match nothing. Each side is searched once
-    with an automaton of the other, so nothing is compared in pairs.
+    with an automaton of the other, so nothing is compared in pairs. Equal names and equal titles are searched as one: where
+    either side has copies, pairs of files and titles would grow with their product.
     """
-    f = files.select("fid", X.normalize(F.col("name"), X.PUNCTUATION_TOC).alias("fn")).where("fn <> ''")
-    t = titles.select("ord", "title", X.normalize(F.col("title"), X.PUNCTUATION_TOC).alias("tn")).where("tn <> ''")
-    inside = found_phrases(f.select(F.col("fid").alias("doc_id"), F.col("fn").alias("text")), t.select(F.col("ord").alias("eid"), F.col("tn").alias("part"))).select(F.col("doc_id").alias("fid"), F.col("eid").alias("ord"))
-    around = found_phrases(t.select(F.col("ord").alias("doc_id"), F.col("tn").alias("text")), f.select(F.col("fid").alias("eid"), F.col("fn").alias("part"))).select(F.col("eid").alias("fid"), F.col("doc_id").alias("ord"))
-    hit = inside.unionByName(around).join(t, "ord")
-    return hit.groupBy("fid").agg(F.min_by("title", F.struct(-F.length("tn"), F.col("ord"))).alias("title"))
+    bare = lambda c: F.explode(F.array(X.normalize(F.col(c), X.PUNCTUATION_TOC)))  # noqa: E731  (a column that the filter does not compute again)
+    f = files.select("fid", bare("name").alias("fn")).where("fn <> ''")
+    t = titles.select("ord", "title", bare("title").alias("tn")).where("tn <> ''")
+    n = saved(f.select("fn").distinct())
+    t = saved(t.groupBy("tn").agg(F.min(F.struct((-F.length("tn")).alias("short"), "ord", "title")).alias("book")))
+    inside = found_phrases(n.select(F.col("fn").alias("doc_id"), F.col("fn").alias("text")), t.select(F.col("book").alias("eid"), F.col("tn").alias("part"))).select(F.col("doc_id").alias("fn"), F.col("eid").alias("book"))
+    around = found_phrases(t.select(F.col("book").alias("doc_id"), F.col("tn").alias("text")), n.select(F.col("fn").alias("eid"), F.col("fn").alias("part"))).select(F.col("eid").alias("fn"), F.col("doc_id").alias("book"))
+    best = inside.unionByName(around).groupBy("fn").agg(F.min("book").alias("book"))
+    return f.join(best, "fn").groupBy("fid").agg(F.min("book")["title"].alias("title"))
 
 
 def books(pages: DataFrame, letter: str = X.HAN) -> DataFrame:

@@ -26,6 +26,26 @@ def test_files_meet_books_by_containment_either_way(spark):
     assert dict(got.collect()) == {0: titles[0], 1: titles[1], 2: titles[2], 3: "Old Book", 9: titles[2]}
 
 
+def test_copies_of_names_and_titles_are_not_paired(spark, monkeypatch):
+    search, met = C.found_phrases, []
+
+    def counted(*args):
+        out = search(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "found_phrases", counted)
+    k = F.col("id")
+    files = spark.range(300).select(k.alias("fid"), F.when(k % 2 == 0, "red bolt (x).txt").otherwise("bolt").alias("name"))
+    titles = spark.range(300).select((1000 - k).alias("ord"), F.when(k % 2 == 0, "Red Bolt").when(k % 3 == 0, "red bolt").otherwise("red  (bolt)").alias("title"))
+    got = C.match_book(files, titles)
+    assert {(r["fid"] % 2, r["title"]) for r in got.collect()} == {(0, "red  (bolt)"), (1, "red  (bolt)")} and got.count() == 300
+    assert met == [1, 1]
+    again = spark.createDataFrame([(1, "bolt"), (1, "the old ring"), (2, "old ring")], "fid long, name string")
+    rings = spark.createDataFrame([(1, "bolt"), (2, "old ring"), (3, "old-ring")], "ord long, title string")
+    assert sorted(map(tuple, C.match_book(again, rings).collect())) == [(1, "old ring"), (2, "old ring")]
+
+
 def test_terms_of_one_length_go_by_the_list():
     assert P.NearTerms(["bcde", "acde", "xyz", "bcde"]).terms == ["bcde", "acde", "xyz"]
     assert P.NearTerms(["bcde", "acde"]).mended("ycde") == "bcde" and P.NearTerms(["acde", "bcde"]).mended("ycde") == "acde"

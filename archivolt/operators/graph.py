@@ -293,26 +293,45 @@ def merged_relations(new: DataFrame, names: DataFrame, rules: DataFrame, base: D
     return fresh.select(F.concat(F.lit("X_"), digest).alias("id"), "source", "target", "relation", F.coalesce("label", "relation").alias("label"))
 
 
+def kept_ids(entities: DataFrame) -> DataFrame:
+    """(key, keep_id, n, first): the id that entities of a normal name keep, their number and the place of the first.
+
+    entities: ord, id, name. Ids given by hand go before hash ids, then the first counts. Blank names have no group.
+    """
+    e = entities.withColumn("key", X.normalize(F.lower("name"))).where("key <> ''")
+    return e.groupBy("key").agg(F.min_by("id", F.struct(F.col("id").rlike(HASH_ID), F.col("ord"))).alias("keep_id"), F.count("*").alias("n"), F.min("ord").alias("first"))
+
+
 def merged_duplicates(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, keep_id, n, aliases, properties) of each normal name, and the map id → keep_id.
+    """(key, keep_id, n, aliases, properties) of each normal name, and the map id → keep_id, one row an id.
 
     entities: ord, id, name, aliases, properties. Of each property the first value by ord stays. Groups shuffle as sets
-    of distinct aliases and one value a property, so copies do not pile up.
+    of distinct aliases and one value a property, so copies do not pile up. An id of several groups goes to the first of
+    those that have copies.
     """
     e = entities.withColumn("key", X.normalize(F.lower("name"))).where("key <> ''")
-    kept = e.groupBy("key").agg(F.min_by("id", F.struct(F.col("id").rlike(HASH_ID), F.col("ord"))).alias("keep_id"), F.count("*").alias("n"))
+    kept = kept_ids(entities)
     alias = e.select("key", F.explode("aliases").alias("a")).groupBy("key").agg(F.sort_array(F.collect_set("a")).alias("aliases"))
     prop = e.select("key", "ord", F.explode("properties").alias("k", "v")).groupBy("key", "k").agg(F.min_by("v", "ord").alias("v"))
     prop = prop.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("properties"))
-    return kept.join(alias, "key", "left").join(prop, "key", "left"), e.join(kept, "key").select("id", "keep_id")
+    ids = e.select("key", "id").join(kept, "key").groupBy("id").agg(F.min_by("keep_id", F.struct(F.col("n") == 1, F.col("first"))).alias("keep_id"))
+    return kept.drop("first").join(alias, "key", "left").join(prop, "key", "left"), ids
+
 
+def redirected(relations: DataFrame, ids: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Relations with both ends redirected by a map id → keep_id, one row each; equal relations are not joined up.
 
-def redirected(relations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Relations with both ends redirected by a map id → keep_id; equal relations are not joined up."""
+    Hash ids have 32 bits, so different entities may share one. Where the relations hold the name of an end's entity
+    (source_name, target_name), that end goes by the name to `kept` (key, keep_id) instead, and the name is left out.
+    """
     out = relations
     for end in ("source", "target"):
-        m = ids.select(F.col("id").alias("_i"), F.col("keep_id").alias("_k"))
-        out = out.join(m, out[end] == m["_i"], "left").withColumn(end, F.coalesce("_k", end)).drop("_i", "_k")
+        name = f"{end}_name"
+        if kept is not None and name in out.columns:
+            m, by = kept.select(F.col("key").alias("_i"), F.col("keep_id").alias("_k")), X.normalize(F.lower(name))
+        else:
+            m, by = ids.select(F.col("id").alias("_i"), F.col("keep_id").alias("_k")), F.col(end)
+        out = out.join(m, by == m["_i"], "left").withColumn(end, F.coalesce("_k", end)).drop("_i", "_k", name)
     return out
 
 

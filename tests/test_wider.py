@@ -16,6 +16,7 @@ from archivolt.operators import pairs as L
 from archivolt.operators import search as R
 from archivolt.operators import tables as G
 from archivolt.operators.order import numbered, with_blocks
+from archivolt.plans.wider import QUERIES
 from archivolt.sources import tables as S
 
 
@@ -46,6 +47,21 @@ def test_copies_of_names_and_titles_are_not_paired(spark, monkeypatch):
     assert sorted(map(tuple, C.match_book(again, rings).collect())) == [(1, "old ring"), (2, "old ring")]
 
 
+def test_entities_with_one_hash_id_are_redirected_by_name(spark, tmp_path):
+    rows = [(1, "A_0000000A", "Old Ring"), (2, "P2", "old ring"), (3, "A_0000000A", "Gear"), (4, "A_0000000A", "gear"), (5, "A_0000000B", "Bolt"), (6, "A_0000000B", "old ring")]
+    e = spark.createDataFrame(rows, "ord long, id string, name string").withColumn("aliases", F.array("name")).withColumn("properties", F.create_map("name", "name"))
+    groups, ids = K.merged_duplicates(e)
+    assert {r["key"]: (r["keep_id"], r["n"]) for r in groups.collect()} == {"oldring": ("P2", 3), "gear": ("A_0000000A", 2), "bolt": ("A_0000000B", 1)}
+    assert sorted(map(tuple, ids.collect())) == [("A_0000000A", "P2"), ("A_0000000B", "P2"), ("P2", "P2")]
+    r = spark.createDataFrame([(1, "A_0000000A", "A_0000000B", "GEAR"), (2, "A_0000000A", "x", "old ring"), (3, "A_0000000A", "x", None)], "n long, source string, target string, source_name string")
+    assert sorted(map(tuple, K.redirected(r.drop("source_name"), ids).collect())) == [(1, "P2", "P2"), (2, "P2", "x"), (3, "P2", "x")]
+    assert sorted(map(tuple, K.redirected(r, ids, K.kept_ids(e)).collect())) == [(1, "A_0000000A", "P2"), (2, "P2", "x"), (3, "A_0000000A", "x")]
+    # SHA-1 of the keys 601 and 737407 begins with the same 32 bits.
+    part = spark.createDataFrame([(601, "small anvil", "b"), (603, "small  Anvil", "b"), (737407, "large widget", "b"), (5, None, "b")], "p_partkey long, p_name string, p_brand string")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, QUERIES["k14_redirected"](spark, str(tmp_path)).collect())) == [(601, "P603", "x"), (603, "P603", "x"), (737407, "A_3BB18D9A", "x")]
+
+
 def test_terms_of_one_length_go_by_the_list():
     assert P.NearTerms(["bcde", "acde", "xyz", "bcde"]).terms == ["bcde", "acde", "xyz"]
     assert P.NearTerms(["bcde", "acde"]).mended("ycde") == "bcde" and P.NearTerms(["acde", "bcde"]).mended("ycde") == "acde"
